@@ -50,13 +50,9 @@ def category(ext: Column, table: dict[str, str] | None = None) -> Column:
 
 def ancestors(path: Column) -> Column:
     """The path itself and every folder above it, for prefix equi-joins."""
-    parts = F.split(path, "/")
-    return F.transform(
-        F.sequence(F.lit(1), F.size(parts)),
-        lambda n: F.when(F.array_join(F.slice(parts, 1, n), "/") == "", F.lit("/")).otherwise(
-            F.array_join(F.slice(parts, 1, n), "/")
-        ),
-    )
+    depth = F.regexp_count(path, F.lit("/")) + 1
+    above = F.transform(F.sequence(F.lit(1), depth), lambda n: F.call_function("substring_index", path, F.lit("/"), n))
+    return F.transform(above, lambda a: F.when(a == "", F.lit("/")).otherwise(a))
 
 
 def route(path: Column, size_mb: Column) -> Column:

@@ -9,7 +9,7 @@ from codicil import fixed_values as fv
 from codicil.functions import unicode as uc
 from codicil.functions.text import strip, words
 
-_TERM = F.lit(r"(?U)\w[\w-]*")
+_TERM = r"(?U)\w[\w-]*"
 
 
 def _in(value: Column, items: tuple[str, ...]) -> Column:
@@ -19,7 +19,7 @@ def _in(value: Column, items: tuple[str, ...]) -> Column:
 def salient_terms(query: Column) -> Column:
     """Words of two letters or more that are no stop words, spelling kept."""
     return F.filter(
-        F.regexp_extract_all(query, _TERM, 0),
+        F.regexp_extract_all(query, F.lit(_TERM), 0),
         lambda w: (F.length(w) >= 2) & ~_in(uc.strip_latin_accents(F.lower(w)), fv.STOP_WORDS),
     )
 

@@ -214,12 +214,10 @@ def markdown_headings(content: Column) -> Column:
 
 
 def word_shingles(text: Column, size: int) -> Column:
-    """Runs of ``size`` consecutive lower-cased words."""
-    parts = words(F.lower(text))
-    starts = F.when(F.size(parts) >= size, F.sequence(F.lit(1), F.size(parts) - size + 1)).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.transform(starts, lambda i: F.array_join(F.slice(parts, i, size), " "))
+    """Runs of ``size`` consecutive lower-cased words, in one linear pass."""
+    spaced = strip(F.regexp_replace(F.lower(text), WS + "+", " "))
+    run = f"(?<![^ ])(?=([^ ]+(?: [^ ]+){{{size - 1}}}))"
+    return F.regexp_extract_all(spaced, F.lit(run), 1)
 
 
 def flatten_metadata(metadata: Column, core_keys: list[str]) -> Column:

@@ -28,16 +28,28 @@ _NFC = _normaliser("NFC")
 _NFKC = _normaliser("NFKC")
 
 
+def _fold_one(text: str) -> str:
+    text = text.lower()
+    if text.isascii():
+        return text
+    parts = unicodedata.normalize("NFKD", text)
+    return "".join(c for c in parts if not unicodedata.combining(c))
+
+
 @F.pandas_udf(T.StringType())
 def _fold(texts: pd.Series) -> pd.Series:
-    def one(text: str) -> str:
-        text = text.lower()
-        if text.isascii():
-            return text
-        parts = unicodedata.normalize("NFKD", text)
-        return "".join(c for c in parts if not unicodedata.combining(c))
+    return texts.map(_fold_one, na_action="ignore")
+
 
-    return texts.map(one, na_action="ignore")
+@F.pandas_udf(T.BooleanType())
+def _contains_any_folded(texts: pd.Series, terms: pd.Series) -> pd.Series:
+    def test(text, wanted) -> bool:
+        if not text or wanted is None or not len(wanted):
+            return False
+        folded = _fold_one(text)
+        return any(_fold_one(term) in folded for term in wanted)
+
+    return pd.Series([test(t, w) for t, w in zip(texts, terms)], dtype=bool)
 
 
 @F.pandas_udf(T.StringType())
@@ -63,6 +75,10 @@ def fold(text: Column) -> Column:
     return _fold(text)
 
 
+def contains_any_folded(text: Column, terms: Column) -> Column:
+    return _contains_any_folded(text, terms)
+
+
 def nfc_casefold(text: Column) -> Column:
     return _nfc_casefold(text)
 

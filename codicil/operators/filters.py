@@ -50,12 +50,8 @@ def filter_score(df: DataFrame, minimum: float = fv.MIN_RELEVANCE_SCORE) -> Data
 
 
 def contains_any_term(text: Column, terms: Column) -> Column:
-    """Accent- and case-blind substring test of any term."""
-    folded = uc.fold(text)
-    # Terms are folded as one joined string: a UDF cannot run inside a lambda.
-    separator = "\x1f"
-    folded_terms = F.filter(F.split(uc.fold(F.array_join(terms, separator)), separator), lambda t: t != "")
-    return F.exists(folded_terms, lambda t: F.contains(folded, t))
+    """Accent- and case-blind substring test of any term of an array."""
+    return uc.contains_any_folded(text, terms)
 
 
 def with_language(df: DataFrame, raw: str = "language") -> DataFrame:

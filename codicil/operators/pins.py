@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codicil import fixed_values as fv
@@ -113,11 +113,15 @@ def rank_pins(pins: DataFrame) -> DataFrame:
     return best.select("query_id", "path", F.col("_b.source").alias("source"), F.col("_b._s").alias("_s"), F.col("_b.rank").alias("_r"))
 
 
+def _order(group: Column, source: Column, rank: Column) -> Column:
+    return F.struct(group.alias("group"), source.alias("source"), rank.cast("long").alias("rank"))
+
+
 def union_pins(pinned: DataFrame, retrieved: DataFrame) -> DataFrame:
     """Pinned documents first, then retrieved ones, each path once per question."""
-    lead = pinned.select("query_id", "path", F.struct(F.lit(0), F.col("_s"), F.col("_r")).alias("_o"), F.lit(True).alias("pinned"))
+    lead = pinned.select("query_id", "path", _order(F.lit(0), F.col("_s"), F.col("_r")).alias("_o"), F.lit(True).alias("pinned"))
     rest = retrieved.select(
-        "query_id", "path", F.struct(F.lit(1), F.lit(0), F.col("rank")).alias("_o"), F.lit(False).alias("pinned")
+        "query_id", "path", _order(F.lit(1), F.lit(0), F.col("rank")).alias("_o"), F.lit(False).alias("pinned")
     )
     return (
         lead.unionByName(rest)
