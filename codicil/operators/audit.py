@@ -504,10 +504,10 @@ def label_profile(scored: DataFrame) -> DataFrame:
     """min, median, max and mean score of each label."""
     return scored.groupBy("label").agg(
         F.count("*").alias("n"),
-        F.round(F.min("score"), 6).alias("lo"),
-        F.round(F.median("score"), 6).alias("med"),
-        F.round(F.max("score"), 6).alias("hi"),
-        F.round(F.avg("score"), 6).alias("mean"),
+        F.round(F.min("score"), 9).alias("lo"),
+        F.round(F.median("score"), 9).alias("med"),
+        F.round(F.max("score"), 9).alias("hi"),
+        F.round(F.avg("score"), 9).alias("mean"),
     )
 
 

@@ -51,7 +51,7 @@ def all_weak(context: DataFrame, scope: str = "query_id") -> DataFrame:
 def closest_titles(context: DataFrame, limit: int = 3, scope: str = "query_id") -> DataFrame:
     """Distinct titles among the first ``limit`` documents, in order."""
     label = F.when(F.coalesce("title", F.lit("")) != "", F.col("title")).otherwise(F.col("path"))
-    top = top_per_query(context.drop("rank").withColumn("_label", label).withColumn("_rank", context["rank"]), limit, [F.asc("_rank")], scope)
+    top = top_per_query(context.withColumn("_label", label).withColumnRenamed("rank", "_rank"), limit, [F.asc("_rank")], scope)
     return top.where(F.coalesce("_label", F.lit("")) != "").groupBy(scope).agg(
         # at most ``limit`` labels per question
         F.array_join(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("_rank", "_label"))), lambda s: s["_label"])), " | ").alias("titles")

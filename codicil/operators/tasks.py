@@ -83,8 +83,7 @@ def duration_stats(tasks: DataFrame) -> DataFrame:
     """n, mean, min and max of positive task durations per extension."""
     timed = tasks.where("status = 'completed'").withColumn("_d", duration_seconds()).where("_d > 0")
     return timed.groupBy(extension_bucket(F.col("file_path")).alias("extension")).agg(
-        F.count("*").alias("n"), F.round(F.avg("_d"), 3).alias("mean_s"),
-        F.round(F.min("_d"), 3).alias("min_s"), F.round(F.max("_d"), 3).alias("max_s"),
+        F.count("*").alias("n"), F.avg("_d").alias("mean_s"), F.min("_d").alias("min_s"), F.max("_d").alias("max_s"),
     )
 
 
@@ -250,8 +249,8 @@ def perf_summary(runs: DataFrame) -> DataFrame:
         runs.groupingSets([["backend"], ["backend", "prompt_type"]], "backend", "prompt_type")
         .agg(
             F.count("*").alias("runs"), F.count_if(ok).alias("successful_runs"),
-            F.round(F.avg(F.when(ok, F.col("tokens_per_second"))), 4).alias("avg_tps"),
-            F.round(F.avg(F.when(ok, F.col("ttft_ms"))), 4).alias("avg_ttft_ms"),
+            F.avg(F.when(ok, F.col("tokens_per_second"))).alias("avg_tps"),
+            F.avg(F.when(ok, F.col("ttft_ms"))).alias("avg_ttft_ms"),
             F.grouping("prompt_type").alias("_g"),
         )
         .withColumn("prompt_type", F.when(F.col("_g") == 1, "(all)").otherwise(F.col("prompt_type"))).drop("_g")
