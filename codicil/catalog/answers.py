@@ -8,6 +8,7 @@ from codicil.catalog.base import query
 from codicil.catalog.tables import ANSWERS, answers, contexts, table
 from codicil.operators import audit
 from codicil.operators.retrieval import embed_hashed
+from codicil.session import materialise
 
 _SPLIT = r"""sents AS (SELECT answer_id, (row_number() OVER (PARTITION BY answer_id ORDER BY p) - 1)::INT AS sentence_no, s AS sentence FROM (
  SELECT answer_id, generate_subscripts(parts, 1) AS p, trim(unnest(parts), ' ' || chr(10)) AS s FROM (SELECT answer_id,
@@ -34,7 +35,8 @@ def _rows(spark, sf):
 
 
 def _roles(spark, sf):
-    return audit.sentence_roles(_rows(spark, sf), contexts(spark, sf))
+    # Read several times by every check that follows.
+    return materialise(audit.sentence_roles(_rows(spark, sf), contexts(spark, sf)), "roles")
 
 
 @query("answer_sentences", f"WITH {ANSWERS}, {_SPLIT} SELECT answer_id, sentence_no, sentence FROM sents")

@@ -16,6 +16,7 @@ from codicil.functions import unicode as uc
 from codicil.functions.queries import structured_tokens
 from codicil.functions.text import markdown_headings, sentences
 from codicil.operators.verbatim import bearers, digit_support
+from codicil.session import materialise
 
 SENTENCE = ["answer_id", "sentence_no"]
 
@@ -144,6 +145,8 @@ def mentions(rows: DataFrame, contexts: DataFrame) -> DataFrame:
         rows.join(by_file, SENTENCE, "left")
         .withColumn("_rest", _without(folded, F.array_sort(F.coalesce("_names", F.array().cast("array<string>")), lambda a, b: F.length(b) - F.length(a))))
     )
+    # Read three times below: once written, the folding and file look-ups are not repeated.
+    staged = materialise(staged, "mentions")
     headings = contexts.select("answer_id", "path", F.explode(markdown_headings(F.coalesce("content", F.lit("")))).alias("known"))
     variants = (
         allowed_names(contexts).unionByName(headings)
@@ -151,7 +154,7 @@ def mentions(rows: DataFrame, contexts: DataFrame) -> DataFrame:
         .select("answer_id", "path", F.lower(uc.nfkc(F.col("known"))).alias("known"))
         .distinct()
     )
-    found = bearers(variants, staged.select(*SENTENCE, "_rest"), "known", "_rest", ["sentence_no"], within=("answer_id",))
+    found = bearers(variants, staged.select(*SENTENCE, "_rest"), "known", "_rest", ["sentence_no"], within=("answer_id",), least=4)
     by_name = found.groupBy(*SENTENCE).agg(
         # bounded by the length of one sentence
         F.array_sort(
@@ -321,7 +324,7 @@ def stale_sentences(rows: DataFrame, fabricated: DataFrame) -> DataFrame:
     """Sentences naming an absent source, with the names stripped out."""
     names = fabricated.select("answer_id", "candidate", uc.nfkc_casefold(F.col("candidate")).alias("_name"))
     folded = rows.select(*SENTENCE, uc.nfkc_casefold(F.col("sentence")).alias("_folded"))
-    found = bearers(names, folded, "_name", "_folded", ["sentence_no"], within=("answer_id",))
+    found = bearers(names, folded, "_name", "_folded", ["sentence_no"], within=("answer_id",), least=4)
     listed = found.groupBy(*SENTENCE).agg(
         # bounded by the length of one sentence
         F.array_sort(F.collect_set("_name"), lambda a, b: F.length(b) - F.length(a)).alias("_names"),
@@ -365,7 +368,7 @@ def multi_source_token(questions: DataFrame, contexts: DataFrame) -> DataFrame:
     ).withColumn("_needle", F.lower(uc.nfkc(F.col("token"))))
     label = F.when(F.coalesce("path", F.lit("")) != "", F.col("path")).otherwise(F.col("title"))
     texts = contexts.select("answer_id", label.alias("label"), F.lower(uc.nfkc(F.coalesce("content", F.lit("")))).alias("_body"))
-    hits = bearers(wanted, texts, "_needle", "_body", ["label"], within=("answer_id",))
+    hits = bearers(wanted, texts, "_needle", "_body", ["label"], within=("answer_id",), least=2)
     counted = hits.groupBy("answer_id", "pos", "token").agg(F.count_distinct("label").alias("sources")).where("sources >= 2")
     best = counted.groupBy("answer_id").agg(F.max(F.struct("sources", (-F.col("pos")).alias("_p"), "token")).alias("_b"))
     return best.select("answer_id", "_b.token", "_b.sources")

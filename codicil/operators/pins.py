@@ -29,7 +29,7 @@ def _folded(docs: DataFrame, key: str, content: str) -> DataFrame:
 def token_hits(queries: DataFrame, docs: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
     """(query_id, pos, token, key): every document holding a distinctive token."""
     wanted = query_tokens_table(queries)
-    hits = bearers(wanted.select("needle").distinct(), _folded(docs, key, content), "needle", "_body", [key])
+    hits = bearers(wanted.select("needle").distinct(), _folded(docs, key, content), "needle", "_body", [key], least=2)
     return hits.join(small_or_shuffled(wanted), "needle").select("query_id", "pos", "token", key)
 
 

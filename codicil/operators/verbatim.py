@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codicil.functions.text import word_shingles
-from codicil.scale import small_or_shuffled
+from codicil.scale import is_small, small_or_shuffled
 
 ANCHOR = 4
 
@@ -17,31 +17,33 @@ def _grams(text: Column, size: int) -> Column:
 
 
 def bearers(
-    needles: DataFrame, texts: DataFrame, needle: str, text: str, key: list[str], within: tuple[str, ...] = ()
+    needles: DataFrame, texts: DataFrame, needle: str, text: str, key: list[str], within: tuple[str, ...] = (),
+    least: int = 1,
 ) -> DataFrame:
     """(needle columns, key) of every text containing a needle verbatim.
 
     A text holding a needle holds the needle's first characters, so the
     candidates come from an equality join on that short anchor and are then
-    checked in full.  ``within`` names columns both sides must share.  Only
-    keys travel in the first join; the texts are met again by key, where
-    adaptive execution broadcasts the candidates when they are few.
+    checked in full.  ``within`` names columns both sides must share;
+    ``least`` is the length of the shortest needle.  Only keys travel in the
+    first join; the texts are met again by key, where adaptive execution
+    broadcasts the candidates when they are few.
     """
-    anchored = needles.where(F.length(needle) > 0).withColumn("_anchor", F.substring(needle, 1, ANCHOR))
-    # At most ANCHOR distinct lengths come back.
-    sizes = [r[0] for r in anchored.select(F.length("_anchor")).distinct().collect()]
-    if not sizes:
-        return anchored.drop("_anchor").join(texts.select(*key).limit(0), list(within) or None, "inner") if within else (
-            anchored.drop("_anchor").withColumns({k: F.lit(None).cast(dict(texts.dtypes)[k]) for k in key}).limit(0)
-        )
-    grams = F.concat(*[_grams(F.col(text), n) for n in sizes])
-    ids = [c for c in dict.fromkeys([*within, *key])]
+    anchored = needles.where(F.length(needle) >= least).withColumn("_anchor", F.substring(needle, 1, ANCHOR))
+    grams = F.concat(*[_grams(F.col(text), n) for n in range(min(least, ANCHOR), ANCHOR + 1)])
+    ids = list(dict.fromkeys([*within, *key]))
     exploded = texts.select(*ids, F.explode(grams).alias("_anchor"))
-    candidates = (
-        exploded.join(small_or_shuffled(anchored), ["_anchor", *within]).drop("_anchor").distinct()
-    )
+    if within:
+        # Drop the text's other windows before anything is shuffled.
+        anchors = anchored.select("_anchor").distinct()
+        if is_small(anchors):
+            exploded = exploded.join(F.broadcast(anchors), "_anchor", "left_semi")
+        candidates = exploded.join(anchored, ["_anchor", *within])
+    else:
+        candidates = exploded.join(small_or_shuffled(anchored), "_anchor")
     return (
-        candidates.join(texts.select(*ids, F.col(text).alias("_text")), ids)
+        candidates.drop("_anchor").distinct()
+        .join(texts.select(*ids, F.col(text).alias("_text")), ids)
         .where(F.contains(F.col("_text"), F.col(needle)))
         .drop("_text")
     )
