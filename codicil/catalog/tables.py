@@ -9,9 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codicil.scale import spread
+
+
+TEXTS = ("documents", "pages", "conversations")
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/{name}.parquet")
+    df = spark.read.parquet(f"{sf}/{name}.parquet")
+    return spread(df) if name in TEXTS else df
 
 
 # --- corpus ------------------------------------------------------------------------------

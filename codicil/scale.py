@@ -24,6 +24,19 @@ def small_or_shuffled(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFram
     return F.broadcast(df) if is_small(df, max_rows) else df
 
 
+FEW_SPLITS = 32
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A table of very few splits dealt out to the cores; larger tables as they are.
+
+    A small file with one row group would otherwise run its text work in one task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores) if splits < min(cores, FEW_SPLITS) else df
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[Column], row_id: list[str]) -> DataFrame:
     """The first row of each key in ``order``, safe for very hot keys.
 

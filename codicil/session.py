@@ -36,8 +36,8 @@ def local_session(cpus: int = 8, app: str = "codicil", memory: str = "12g") -> S
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
-        .config("spark.sql.files.maxPartitionBytes", str(8 << 20))
-        .config("spark.sql.files.openCostInBytes", str(1 << 20))
+        # One machine and small tables: keep every core busy after a shuffle.
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
     )
     return configure(builder.getOrCreate())
 
