@@ -63,24 +63,40 @@ def title_coverage(
     path: str = "path", title: str = "title",
 ) -> DataFrame:
     """(query_id, rank, path, coverage): documents whose title the question spells out."""
-    words = query_tokens_table_of_words(queries)
+    asked = queries.select("query_id", F.array_distinct(query_tokens(F.col("text"))).alias("_q"))
+    words = asked.select("query_id", F.explode("_q").alias("token"))
     found = docs.select(path, title_tokens(F.col(title)).alias("_t"))
     named = found.where(F.size("_t") > 0).where(F.exists("_t", is_distinctive))
-    rows = named.select(path, F.size("_t").alias("_n"), F.explode("_t").alias("token"))
+    # Titles holding each asked word: the rarest words of a title find its questions.
+    vocabulary = words.select("token").distinct()
+    rows = named.select(path, "_t", F.explode(F.array_distinct("_t")).alias("token"))
+    common = (
+        rows.select("token").join(small_or_shuffled(vocabulary), "token", "left_semi")
+        .groupBy("token").agg(F.count("*").alias("_df"))
+    )
+    # At most this many words may be missing, so a match holds one of the
+    # first ``missing + 1`` words in any fixed order; rare words come first.
+    missing = F.size("_t") - F.ceil(F.size("_t") * F.lit(threshold) - F.lit(1e-9))
+    ordered = (
+        rows.join(small_or_shuffled(common), "token", "left")
+        .groupBy(path).agg(
+            F.first("_t").alias("_t"),
+            # the words of one title
+            F.array_sort(F.collect_list(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), "token"))).alias("_w"),
+        )
+    )
+    keys = ordered.select(path, "_t", F.explode(F.slice("_w", F.lit(1), (missing + 1).cast("int"))).alias("_k")).where("_k.df > 0")
+    candidates = keys.select(path, "_t", F.col("_k.token").alias("token")).join(small_or_shuffled(words), "token")
+    held = F.size(F.filter("_t", lambda t: F.array_contains("_q", t)))
     covered = (
-        rows.join(small_or_shuffled(words), "token")
-        .groupBy("query_id", path, "_n")
-        .agg(F.count("*").alias("_hits"))
-        .select("query_id", path, (F.col("_hits") / F.col("_n")).alias("coverage"))
+        candidates.join(small_or_shuffled(asked), "query_id")
+        .select("query_id", path, (held / F.size("_t")).alias("coverage"))
         .where(F.col("coverage") >= threshold)
+        .distinct()
     )
     return top_per_query(covered, limit, [F.desc("coverage"), F.asc(path)]).select("query_id", "rank", path, "coverage")
 
 
-def query_tokens_table_of_words(queries: DataFrame) -> DataFrame:
-    return queries.select("query_id", F.explode(F.array_distinct(query_tokens(F.col("text")))).alias("token"))
-
-
 def stem_match(queries: DataFrame, docs: DataFrame, path: str = "path") -> DataFrame:
     """(query_id, pos, path): files whose stem is one of the question's terms."""
     terms = (

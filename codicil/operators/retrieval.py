@@ -7,19 +7,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codicil import fixed_values as fv
 from codicil.functions.text import tokens
-from codicil.scale import is_small, small_or_shuffled
+from codicil.operators import scoring
+from codicil.scale import small_or_shuffled
 
-K1, B = 1.2, 0.75
-SCORE_DIGITS = 6
-# Query vectors sent to the tasks at once; more are answered block by block.
-VECTOR_BLOCK = 4096
 
 
 def top_per_query(scored: DataFrame, limit: int, order: list[Column], key: str = "query_id") -> DataFrame:
@@ -45,50 +41,11 @@ def document_frequency(docs: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
-def _postings(docs: DataFrame, vocabulary: DataFrame, key: str, content: str) -> DataFrame:
-    """(key, dl, term, tf) for the terms of the vocabulary only.
-
-    Rows are spread by document, so counting terms, scoring and the first cut
-    of the top lists all happen without another shuffle.
-    """
-    exploded = docs.select(key, tokens(F.col(content)).alias("_t")).select(
-        key, F.size("_t").alias("dl"), F.explode("_t").alias("term")
-    )
-    return (
-        exploded.join(small_or_shuffled(vocabulary), "term", "left_semi")
-        .repartition(key)
-        .groupBy(key, "dl", "term")
-        .agg(F.count("*").alias("tf"))
-    )
-
-
-def lexical_scores(queries: DataFrame, docs: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
-    """(query_id, key, score, matched): BM25 of every document sharing a term."""
-    wanted = query_terms(queries)
-    postings = _postings(docs, wanted.select("term").distinct(), key, content)
-    sizes = docs.select(F.size(tokens(F.col(content))).alias("dl"))
-    n_docs = sizes.agg(F.count("*").cast("double")).scalar()
-    mean_dl = sizes.agg(F.avg("dl")).scalar()
-    found_in = postings.groupBy("term").agg(F.count("*").alias("df"))
-    weights = wanted.join(found_in, "term").select(
-        "query_id", "term", F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")
-    )
-    if is_small(wanted):
-        weights = F.broadcast(weights)
-    length = K1 * (1 - B + B * F.col("dl") / mean_dl)
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + length)
-    return (
-        postings.join(weights, "term")
-        .groupBy("query_id", key)
-        .agg(F.round(F.sum(part), SCORE_DIGITS).alias("score"), F.count("*").alias("matched"))
-    )
-
-
 def keyword_search(
     queries: DataFrame, docs: DataFrame, limit: int = 10, key: str = "id", content: str = "content"
 ) -> DataFrame:
     """Best documents per query: (query_id, rank, key, score, matched)."""
-    scored = lexical_scores(queries, docs, key, content)
+    scored = scoring.lexical_scores(queries, docs, key, content, limit)
     return top_per_query(scored, limit, [F.desc("score"), F.asc(key)]).select("query_id", "rank", key, "score", "matched")
 
 
@@ -205,69 +162,12 @@ def title_search(queries: DataFrame, docs: DataFrame, limit: int = 10, key: str
 # --- vectors ---------------------------------------------------------------------------
 
 
-def _unit(rows: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(rows, axis=1, keepdims=True)
-    norms[norms == 0] = 1.0
-    return rows / norms
-
-
-def _local_best(ids: list, matrix: np.ndarray, limit: int | None, key: str, vector: str):
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if batch.empty:
-                continue
-            found = np.round(_unit(np.stack(batch[vector].to_numpy()).astype(float)) @ matrix.T, SCORE_DIGITS) + 0.0
-            n = len(batch)
-            if limit is None or limit >= n:
-                rows = np.tile(np.arange(n), len(ids))
-                cols = np.repeat(np.arange(len(ids)), n)
-            else:
-                # Ties at the cut stay in, so the final ranking sees every contender.
-                cut = -np.partition(-found, limit - 1, axis=0)[limit - 1]
-                cols, rows = np.nonzero((found >= cut).T)
-            yield pd.DataFrame(
-                {"query_id": np.asarray(ids)[cols], key: batch[key].to_numpy()[rows], "score": found[rows, cols]}
-            )
-
-    return score
-
-
-def vector_scores(
-    queries: DataFrame, vectors: DataFrame, key: str = "id", vector: str = "vector", limit: int | None = None
-) -> DataFrame:
-    """(query_id, key, score): cosine of each query with each vector.
-
-    With ``limit`` every Arrow batch passes on only its best rows per query;
-    the global best are among them.  Query vectors travel to the tasks in
-    blocks of bounded size.
-    """
-    schema = f"query_id {dict(queries.dtypes)['query_id']}, {key} {dict(vectors.dtypes)[key]}, score double"
-    spread = vectors.select(key, vector).where(F.col(vector).isNotNull())
-    n_blocks = 1 if is_small(queries, VECTOR_BLOCK) else -(-queries.count() * 2 // VECTOR_BLOCK)
-    parts = []
-    for block in range(n_blocks):
-        rows = (
-            queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block)
-            .select("query_id", "vector")
-            .collect()
-        )
-        if rows:
-            matrix = _unit(np.array([r["vector"] for r in rows], dtype=float))
-            parts.append(spread.mapInPandas(_local_best([r["query_id"] for r in rows], matrix, limit, key, vector), schema))
-    if not parts:
-        return spread.sparkSession.createDataFrame([], schema)
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
-
-
 def vector_top_k(
     queries: DataFrame, vectors: DataFrame, limit: int = 10, key: str = "id", vector: str = "vector",
     min_score: float | None = None,
 ) -> DataFrame:
     """Nearest vectors per query: (query_id, rank, key, score); a zero vector scores 0."""
-    scored = vector_scores(queries, vectors, key, vector, limit)
+    scored = scoring.vector_scores(queries, vectors, key, vector, limit)
     if min_score is not None:
         scored = scored.where(F.col("score") >= min_score)
     return top_per_query(scored, limit, [F.desc("score"), F.asc(key)]).select("query_id", "rank", key, "score")
@@ -302,17 +202,6 @@ def embed_with(df: DataFrame, text: str, make_encoder: Callable, output: str = "
 # --- hybrid -----------------------------------------------------------------------------
 
 
-def _min_max(df: DataFrame, column: str, few_queries: bool) -> DataFrame:
-    """Scores scaled to 0..1 per query; the bounds are a partial aggregate, not a window."""
-    bounds = df.groupBy("query_id").agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    if few_queries:  # one row per query: a hot query must not gather its rows in one task
-        bounds = F.broadcast(bounds)
-    scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(
-        F.lit(1.0)
-    )
-    return df.join(bounds, "query_id").withColumn(column, scaled).drop("_lo", "_hi")
-
-
 def hybrid_search(
     queries: DataFrame,
     docs: DataFrame,
@@ -322,47 +211,26 @@ def hybrid_search(
     key: str = "id",
     content: str = "content",
     vector: str = "vector",
-    pool: int | None = None,
     min_score: float | None = None,
 ) -> DataFrame:
     """One blended ranking: ``ratio`` of the semantic and the rest of the lexical score.
 
-    ``mode`` semantic or fulltext is a ratio of 1 or 0.  Without ``pool`` every
-    document with either signal is blended; with it each leg passes on its
-    best ``pool`` documents per query.
+    ``mode`` semantic or fulltext is a ratio of 1 or 0.  Every document with
+    either signal takes part; ``queries`` carries a ``vector`` column.
     """
     ratio = {"semantic": 1.0, "fulltext": 0.0}.get(mode, ratio)
-    few = is_small(queries)
-    legs = []
-    if ratio < 1.0:
-        lexical = lexical_scores(queries, docs, key, content).select("query_id", key, F.col("score").alias("lex"))
-        if pool:
-            lexical = top_per_query(lexical, pool, [F.desc("lex"), F.asc(key)]).drop("rank")
-        legs.append(_min_max(lexical, "lex", few))
-    if ratio > 0.0:
-        semantic = vector_scores(queries, docs, key, vector, pool).withColumnRenamed("score", "sem")
-        if pool:
-            semantic = top_per_query(semantic, pool, [F.desc("sem"), F.asc(key)]).drop("rank")
-        legs.append(_min_max(semantic, "sem", few))
-    blended = legs[0] if len(legs) == 1 else legs[0].join(legs[1], ["query_id", key], "full_outer")
-    for name in ("lex", "sem"):
-        value = F.coalesce(F.col(name), F.lit(0.0)) if name in blended.columns else F.lit(0.0)
-        blended = blended.withColumn(name, value)
-    scored = blended.withColumn("score", F.round(ratio * F.col("sem") + (1 - ratio) * F.col("lex"), 4))
-    if min_score is not None:
-        scored = scored.where(F.col("score") >= min_score)
+    scored = scoring.blended_scores(queries, docs, key, content, vector, ratio, limit, min_score)
     return top_per_query(scored, limit, [F.desc("score"), F.asc(key)]).select("query_id", "rank", key, "score")
 
 
 def chunk_search(
     queries: DataFrame, chunks: DataFrame, limit: int = 5, min_score: float = fv.MIN_RELEVANCE_SCORE,
     ratio: float = 0.5, doc_id=None, key: str = "chunk_id", vector: str = "vector", mode: str = "hybrid",
-    pool: int | None = None,
 ) -> DataFrame:
     """Best chunks per query above a score, optionally within one document."""
     if doc_id is not None:
         chunks = chunks.where(F.col("doc_id") == doc_id)
-    return hybrid_search(queries, chunks, limit, ratio, mode, key, "content", vector, pool, min_score)
+    return hybrid_search(queries, chunks, limit, ratio, mode, key, "content", vector, min_score)
 
 
 def top_chunks(scored: DataFrame, limit: int = 5, min_score: float = fv.MIN_RELEVANCE_SCORE, key: str = "chunk_id") -> DataFrame:
