@@ -28,30 +28,37 @@ def answer_sentences(answers: DataFrame) -> DataFrame:
 # --- which names a source may be cited under -----------------------------------------------
 
 
-def allowed_names(contexts: DataFrame) -> DataFrame:
-    """(answer_id, path, known): lower-cased path, file name, stem and title."""
+def _names() -> Column:
+    """Lower-cased path, file name, stem and title of a source row."""
     path, title = F.coalesce("path", F.lit("")), F.coalesce("title", F.lit(""))
     names = F.array_distinct(F.transform(F.array(path, paths.name(path), paths.stem(path), title), F.lower))
-    return contexts.select("answer_id", "path", F.explode(F.filter(names, lambda n: n != "")).alias("known"))
+    return F.filter(names, lambda n: n != "")
+
 
+def allowed_names(contexts: DataFrame) -> DataFrame:
+    """(answer_id, path, known): the names a source may be cited under."""
+    return contexts.select("answer_id", "path", F.explode(_names()).alias("known"))
 
-def _known_keys(known: DataFrame) -> DataFrame:
-    """Every string under which a citation counts as known, as join keys.
 
-    exact: the name itself; tail: what follows a non-alphanumeric character;
-    head: what precedes a version or date separator.
+def _known_keys(contexts: DataFrame) -> DataFrame:
+    """(answer_id, path, _key): every string under which a citation counts as known.
+
+    e: the name itself; t: what follows a non-alphanumeric character, for
+    names that end like a file; h: what precedes a version or date separator.
     """
     breaks = "".join(fv.CITATION_PREFIX_BREAKS)
-    tails = F.regexp_extract_all("known", F.lit(r"(?s)(?:^|(?<=[^\p{L}\p{N}]))(?=(.+)$)"), 1)
-    heads = F.transform(
-        F.regexp_extract_all(F.reverse("known"), F.lit(rf"(?s)(?<=[{breaks}])(?=(.+)$)"), 1), F.reverse
-    )
-    keys = F.concat(
-        F.array(F.concat(F.lit("e:"), F.col("known"))),
-        F.transform(tails, lambda t: F.concat(F.lit("t:"), t)),
-        F.transform(F.filter(heads, lambda h: F.length(h) >= 4), lambda h: F.concat(F.lit("h:"), h)),
-    )
-    return known.select("answer_id", "path", F.explode(F.array_distinct(keys)).alias("_key")).distinct()
+
+    def keys(known: Column) -> Column:
+        tails = F.regexp_extract_all(known, F.lit(r"(?s)(?:^|(?<=[^\p{L}\p{N}]))(?=(.+\.[a-z]+)$)"), 1)
+        heads = F.regexp_extract_all(F.reverse(known), F.lit(rf"(?s)(?<=[{breaks}])(?=(.{{4,}})$)"), 1)
+        return F.concat(
+            F.array(F.concat(F.lit("e:"), known)),
+            F.transform(tails, lambda t: F.concat(F.lit("t:"), t)),
+            F.transform(heads, lambda h: F.concat(F.lit("h:"), F.reverse(h))),
+        )
+
+    named = contexts.select("answer_id", "path", _names().alias("_names"))
+    return named.select("answer_id", "path", F.explode(F.array_distinct(F.flatten(F.transform("_names", keys)))).alias("_key"))
 
 
 def _candidate_keys(candidate: Column) -> Column:
@@ -76,7 +83,7 @@ def fabricated_citations(answers: DataFrame, contexts: DataFrame) -> DataFrame:
     cited = cited_files(answers)
     keyed = cited.withColumn("_key", F.explode(_candidate_keys(F.col("candidate"))))
     known = keyed.join(
-        _known_keys(allowed_names(contexts)).select("answer_id", "_key").distinct(), ["answer_id", "_key"], "left_semi"
+        _known_keys(contexts), ["answer_id", "_key"], "left_semi"
     )
     return cited.join(known.select("answer_id", "pos").distinct(), ["answer_id", "pos"], "left_anti")
 
@@ -116,7 +123,7 @@ def _file_mentions(rows: DataFrame, contexts: DataFrame) -> DataFrame:
     cited = rows.select(*SENTENCE, F.explode(fa.citations(F.col("sentence"))).alias("candidate"))
     keyed = cited.withColumn("_key", F.explode(_candidate_keys(F.col("candidate"))))
     return (
-        keyed.join(_known_keys(allowed_names(contexts)), ["answer_id", "_key"])
+        keyed.join(_known_keys(contexts), ["answer_id", "_key"])
         .select(*SENTENCE, "candidate", "path")
         .distinct()
     )
@@ -147,12 +154,9 @@ def mentions(rows: DataFrame, contexts: DataFrame) -> DataFrame:
     )
     # Read three times below: once written, the folding and file look-ups are not repeated.
     staged = materialise(staged, "mentions")
-    headings = contexts.select("answer_id", "path", F.explode(markdown_headings(F.coalesce("content", F.lit("")))).alias("known"))
-    variants = (
-        allowed_names(contexts).unionByName(headings)
-        .where(F.length("known") >= 4)
-        .select("answer_id", "path", F.lower(uc.nfkc(F.col("known"))).alias("known"))
-        .distinct()
+    known = F.concat(_names(), markdown_headings(F.coalesce("content", F.lit(""))))
+    variants = contexts.select("answer_id", "path", F.explode(F.array_distinct(known)).alias("known")).select(
+        "answer_id", "path", F.lower(uc.nfkc(F.col("known"))).alias("known")
     )
     found = bearers(variants, staged.select(*SENTENCE, "_rest"), "known", "_rest", ["sentence_no"], within=("answer_id",), least=4)
     by_name = found.groupBy(*SENTENCE).agg(
@@ -202,7 +206,7 @@ def context_digits(contexts: DataFrame) -> DataFrame:
     """(answer_id, ctx_token): numbers of content, title and path of the sources."""
     own = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("path", F.lit("")))
     found = F.concat(fa.digit_tokens(F.coalesce("content", F.lit(""))), fa.digit_tokens(own))
-    return contexts.select("answer_id", F.explode(found).alias("ctx_token")).distinct()
+    return contexts.select("answer_id", F.explode(F.array_distinct(found)).alias("ctx_token"))
 
 
 def unsupported_digits(rows: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -272,7 +276,8 @@ def best_similarity(sentence_vectors: DataFrame, context_vectors: DataFrame) ->
 
 def _doc_support(needles: DataFrame, contexts: DataFrame) -> DataFrame:
     """(sentence, path, n): how many of the sentence's numbers each source contains."""
-    tokens = contexts.select("answer_id", "path", F.explode(fa.digit_tokens(F.coalesce("content", F.lit("")))).alias("ctx_token")).distinct()
+    found = F.array_distinct(fa.digit_tokens(F.coalesce("content", F.lit(""))))
+    tokens = contexts.select("answer_id", "path", F.explode(found).alias("ctx_token"))
     hits = digit_support(needles, tokens, "answer_id", "inner", ("path",)).select(*SENTENCE, "token", "path").distinct()
     return hits
 

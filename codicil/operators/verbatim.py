@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codicil.functions.text import word_shingles
-from codicil.scale import is_small, small_or_shuffled
+from codicil.scale import small_or_shuffled
 
 ANCHOR = 4
 
@@ -16,31 +16,60 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), 1))
 
 
+# Groups (the sources of one answer) up to this many strings are tested row by
+# row; larger ones take the anchor join, whose work does not grow with pairs.
+GROUP_ROWS = 256
+
+
+def _by_group_size(df: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of ordinary groups, rows of oversized groups or None)."""
+    large = df.groupBy(*group).agg(F.count("*").alias("_c")).where(F.col("_c") > GROUP_ROWS).select(*group)
+    if large.isEmpty():
+        return df, None
+    large = small_or_shuffled(large)
+    return df.join(large, group, "left_anti"), df.join(large, group, "left_semi")
+
+
 def bearers(
     needles: DataFrame, texts: DataFrame, needle: str, text: str, key: list[str], within: tuple[str, ...] = (),
     least: int = 1,
 ) -> DataFrame:
     """(needle columns, key) of every text containing a needle verbatim.
 
+    ``within`` names columns both sides must share; ``least`` is the length of
+    the shortest needle.
+    """
+    needles = needles.where(F.length(needle) >= least)
+    if not within:
+        return _anchored(needles, texts, needle, text, key, within, least)
+    few, many = _by_group_size(needles, list(within))
+    own = [c for c in needles.columns if c not in within]
+    lists = few.groupBy(*within).agg(F.collect_set(F.struct(*own)).alias("_n"))
+    ids = list(dict.fromkeys([*within, *key]))
+    held = F.filter("_n", lambda n: F.contains(F.col("_text"), n[needle]))
+    rows = (
+        texts.select(*ids, F.col(text).alias("_text")).join(lists, list(within))
+        .select(*ids, F.explode(held).alias("_h")).select(*ids, "_h.*")
+    )
+    if many is not None:
+        rows = rows.unionByName(_anchored(many, texts, needle, text, key, within, least).select(*rows.columns))
+    return rows
+
+
+def _anchored(needles, texts, needle, text, key, within, least) -> DataFrame:
+    """Containment through anchors, for texts of any number.
+
     A text holding a needle holds the needle's first characters, so the
     candidates come from an equality join on that short anchor and are then
-    checked in full.  ``within`` names columns both sides must share;
-    ``least`` is the length of the shortest needle.  Only keys travel in the
-    first join; the texts are met again by key, where adaptive execution
-    broadcasts the candidates when they are few.
+    checked in full.  Only keys travel in the first join; the texts are met
+    again by key, where adaptive execution broadcasts the candidates when they
+    are few.
     """
-    anchored = needles.where(F.length(needle) >= least).withColumn("_anchor", F.substring(needle, 1, ANCHOR))
+    anchored = needles.withColumn("_anchor", F.substring(needle, 1, ANCHOR))
     grams = F.concat(*[_grams(F.col(text), n) for n in range(min(least, ANCHOR), ANCHOR + 1)])
     ids = list(dict.fromkeys([*within, *key]))
     exploded = texts.select(*ids, F.explode(grams).alias("_anchor"))
-    if within:
-        # Drop the text's other windows before anything is shuffled.
-        anchors = anchored.select("_anchor").distinct()
-        if is_small(anchors):
-            exploded = exploded.join(F.broadcast(anchors), "_anchor", "left_semi")
-        candidates = exploded.join(anchored, ["_anchor", *within])
-    else:
-        candidates = exploded.join(small_or_shuffled(anchored), "_anchor")
+    candidates = exploded.join(anchored if within else small_or_shuffled(anchored), ["_anchor", *within])
     return (
         candidates.drop("_anchor").distinct()
         .join(texts.select(*ids, F.col(text).alias("_text")), ids)
@@ -53,9 +82,24 @@ def digit_support(needles: DataFrame, context_tokens: DataFrame, on: str, how: s
     """Join digit tokens to context tokens that contain them.
 
     ``needles`` has ``on`` and ``token``; ``context_tokens`` has ``on``,
-    ``ctx_token`` and ``extra``.  Every number is expanded into its short
-    digit groups, so the containment test is an equality join plus a check.
+    ``ctx_token`` and ``extra``.  ``how`` is inner (adding ``extra``) or
+    left_anti.
     """
+    few, many = _by_group_size(context_tokens, [on])
+    lists = few.groupBy(on).agg(F.collect_set(F.struct("ctx_token", *extra)).alias("_l"))
+    joined = needles.join(lists, on, "left")
+    test = lambda c: F.contains(c["ctx_token"], F.col("token"))
+    if how == "left_anti":
+        left = joined.where(~F.coalesce(F.exists("_l", test), F.lit(False))).drop("_l")
+        return left if many is None else _digit_join(left, many, on, how, extra)
+    found = joined.select(*needles.columns, F.explode(F.filter("_l", test)).alias("_f"))
+    rows = found.select(*needles.columns, *[F.col(f"_f.{e}").alias(e) for e in extra])
+    return rows if many is None else rows.unionByName(_digit_join(needles, many, on, how, extra))
+
+
+def _digit_join(needles: DataFrame, context_tokens: DataFrame, on: str, how: str, extra: tuple[str, ...]) -> DataFrame:
+    """The same for oversized groups: every number is expanded into its short
+    digit groups, so the containment test is an equality join plus a check."""
     anchored = needles.withColumn("_anchor", F.substring("token", 1, ANCHOR))
     grams = F.array_distinct(F.concat(*[_grams(F.col("ctx_token"), n) for n in range(1, ANCHOR + 1)]))
     wide = context_tokens.select(on, *extra, "ctx_token", F.explode(grams).alias("_anchor")).withColumnRenamed(on, "_on")
