@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codicil.catalog.base import query
-from codicil.catalog.tables import ANSWERS, answers, contexts, table
+from codicil.catalog import tables
+from codicil.catalog.tables import ANSWERS, table
 from codicil.operators import audit
 from codicil.operators.retrieval import embed_hashed
 from codicil.session import materialise
@@ -30,13 +31,22 @@ _ROLES = rf"""{ANSWERS}, {_SPLIT}, {_NAMED}, roles AS (SELECT answer_id, sentenc
  FROM sents LEFT JOIN named USING (answer_id, sentence_no))"""
 
 
+def answers(spark, sf):
+    """The derived answers as a stored table, which is what an audit reads."""
+    return materialise(tables.answers(spark, sf), "answers")
+
+
+def contexts(spark, sf):
+    return materialise(tables.contexts(spark, sf), "contexts")
+
+
 def _rows(spark, sf):
     return audit.answer_sentences(answers(spark, sf))
 
 
-def _roles(spark, sf):
+def _roles(spark, sf, sources=None):
     # Read several times by every check that follows.
-    return materialise(audit.sentence_roles(_rows(spark, sf), contexts(spark, sf)), "roles")
+    return materialise(audit.sentence_roles(_rows(spark, sf), contexts(spark, sf) if sources is None else sources), "roles")
 
 
 @query("answer_sentences", f"WITH {ANSWERS}, {_SPLIT} SELECT answer_id, sentence_no, sentence FROM sents")
@@ -115,7 +125,7 @@ _GRADED = f"""{_ROLES}, {_CTXD}, {_TOKS}, {_MISS}, graded AS (SELECT answer_id,
 
 @query("ground_answers", f"WITH {_GRADED} SELECT answer_id, sentence_no, supported FROM graded")
 def _(spark, sf):
-    return audit.ground_answers(_roles(spark, sf), contexts(spark, sf)).select("answer_id", "sentence_no", "supported")
+    return audit.ground_answers(_roles(spark, sf, sources := contexts(spark, sf)), sources).select("answer_id", "sentence_no", "supported")
 
 
 @query(
@@ -124,7 +134,7 @@ def _(spark, sf):
  CASE WHEN count(g.answer_id) = 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS grounding_score FROM answers a LEFT JOIN graded g USING (answer_id) GROUP BY a.answer_id""",
 )
 def _(spark, sf):
-    graded = audit.ground_answers(_roles(spark, sf), contexts(spark, sf))
+    graded = audit.ground_answers(_roles(spark, sf, sources := contexts(spark, sf)), sources)
     return audit.grounding_summary(answers(spark, sf), graded).select("answer_id", "checked", "unsupported", "grounding_score")
 
 
@@ -140,7 +150,7 @@ _ATTR = """claim AS (SELECT answer_id, sentence_no, cited, n FROM roles JOIN (SE
  WHERE (answer_id, sentence_no) NOT IN (SELECT (answer_id, sentence_no) FROM own) GROUP BY answer_id, sentence_no HAVING count(*) = 1""",
 )
 def _(spark, sf):
-    return audit.attribute_digits(_roles(spark, sf), contexts(spark, sf))
+    return audit.attribute_digits(_roles(spark, sf, sources := contexts(spark, sf)), sources)
 
 
 @query(
@@ -174,7 +184,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Claims without digits are graded by their closest source."""
     best = audit.best_similarity(*_vectors(spark, sf))
-    return audit.ground_answers(_roles(spark, sf), contexts(spark, sf), best).select("answer_id", "sentence_no", "supported")
+    return audit.ground_answers(_roles(spark, sf, sources := contexts(spark, sf)), sources, best).select("answer_id", "sentence_no", "supported")
 
 
 @query(
@@ -236,7 +246,7 @@ def _(spark, sf):
     f"WITH {_GRADED} SELECT answer_id, sentence_no FROM graded WHERE NOT supported AND answer_id NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'P')",
 )
 def _(spark, sf):
-    graded = audit.ground_answers(_roles(spark, sf), contexts(spark, sf))
+    graded = audit.ground_answers(_roles(spark, sf, sources := contexts(spark, sf)), sources)
     flags = graded.where("not supported").select("answer_id", "sentence_no")
     cleared = flags.join(table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("answer_id")), "answer_id", "left_semi")
     return audit.apply_appeal(flags, cleared.withColumn("verdict", F.lit("habillage_echo")))
@@ -256,7 +266,7 @@ def _(spark, sf):
  || CASE WHEN n > 4 THEN chr(10) || '…et ' || (n - 3) || ' autres.' WHEN n = 4 THEN chr(10) || '…et 1 autre.' ELSE '' END AS notice FROM u GROUP BY answer_id, n""",
 )
 def _(spark, sf):
-    return audit.grounding_notice(audit.ground_answers(_roles(spark, sf), contexts(spark, sf)))
+    return audit.grounding_notice(audit.ground_answers(_roles(spark, sf, sources := contexts(spark, sf)), sources))
 
 
 @query(
@@ -284,7 +294,8 @@ def _(spark, sf):
 
 @query("attribution_notice")
 def _(spark, sf):
-    sources, roles = contexts(spark, sf), _roles(spark, sf)
+    sources = contexts(spark, sf)
+    roles = _roles(spark, sf, sources)
     flags = audit.attribute_digits(roles, sources).join(roles.select("answer_id", "sentence_no", "sentence", "cited"), ["answer_id", "sentence_no"])
     return audit.attribution_notice(flags.withColumns({"attributed": F.array_join("cited", ", "), "stale": F.lit(False)}))
 

@@ -15,7 +15,7 @@ from codicil.functions import paths
 from codicil.functions import unicode as uc
 from codicil.functions.queries import structured_tokens
 from codicil.functions.text import markdown_headings, sentences
-from codicil.operators.verbatim import bearers, digit_support
+from codicil.operators.verbatim import bearers, by_group_size, digit_support
 from codicil.session import materialise
 
 SENTENCE = ["answer_id", "sentence_no"]
@@ -40,8 +40,8 @@ def allowed_names(contexts: DataFrame) -> DataFrame:
     return contexts.select("answer_id", "path", F.explode(_names()).alias("known"))
 
 
-def _known_keys(contexts: DataFrame) -> DataFrame:
-    """(answer_id, path, _key): every string under which a citation counts as known.
+def _known_keys() -> Column:
+    """Every string under which a citation counts as naming a source row.
 
     e: the name itself; t: what follows a non-alphanumeric character, for
     names that end like a file; h: what precedes a version or date separator.
@@ -57,8 +57,7 @@ def _known_keys(contexts: DataFrame) -> DataFrame:
             F.transform(heads, lambda h: F.concat(F.lit("h:"), F.reverse(h))),
         )
 
-    named = contexts.select("answer_id", "path", _names().alias("_names"))
-    return named.select("answer_id", "path", F.explode(F.array_distinct(F.flatten(F.transform("_names", keys)))).alias("_key"))
+    return F.array_distinct(F.flatten(F.transform(_names(), keys)))
 
 
 def _candidate_keys(candidate: Column) -> Column:
@@ -78,14 +77,31 @@ def cited_files(answers: DataFrame) -> DataFrame:
     return answers.select("answer_id", F.posexplode(fa.citations(F.col("text"))).alias("pos", "candidate"))
 
 
+def _resolve(cited: DataFrame, contexts: DataFrame, keep_unknown: bool) -> DataFrame:
+    """References joined to the sources they name, or those naming none.
+
+    The sources of an answer are few and meet its references as one list; an
+    answer with too many of them is resolved by an equality join on the keys.
+    """
+    known = contexts.select("answer_id", "path", _known_keys().alias("_keys"))
+    few, many = by_group_size(known, ["answer_id"])
+    lists = few.groupBy("answer_id").agg(F.collect_list(F.struct("path", "_keys")).alias("_l"))
+    joined = cited.withColumn("_c", _candidate_keys(F.col("candidate"))).join(lists, "answer_id", "left")
+    same = lambda s: F.arrays_overlap(s["_keys"], F.col("_c"))
+    keyed = None
+    if many is not None:
+        keys = many.select("answer_id", "path", F.explode("_keys").alias("_key"))
+        keyed = cited.withColumn("_key", F.explode(_candidate_keys(F.col("candidate")))).join(keys, ["answer_id", "_key"])
+    if keep_unknown:
+        unknown = joined.where(~F.coalesce(F.exists("_l", same), F.lit(False))).select(*cited.columns)
+        return unknown if keyed is None else unknown.join(keyed.select(*cited.columns).distinct(), cited.columns, "left_anti")
+    rows = joined.select(*cited.columns, F.explode(F.filter("_l", same)).alias("_s")).select(*cited.columns, "_s.path")
+    return rows if keyed is None else rows.unionByName(keyed.select(*rows.columns).distinct())
+
+
 def fabricated_citations(answers: DataFrame, contexts: DataFrame) -> DataFrame:
     """(answer_id, pos, candidate): cited files matching no retrieved source."""
-    cited = cited_files(answers)
-    keyed = cited.withColumn("_key", F.explode(_candidate_keys(F.col("candidate"))))
-    known = keyed.join(
-        _known_keys(contexts), ["answer_id", "_key"], "left_semi"
-    )
-    return cited.join(known.select("answer_id", "pos").distinct(), ["answer_id", "pos"], "left_anti")
+    return _resolve(cited_files(answers), contexts, keep_unknown=True)
 
 
 def sanitize_citations(answers: DataFrame, contexts: DataFrame) -> DataFrame:
@@ -121,12 +137,7 @@ def deleted_citations(answers: DataFrame, contexts: DataFrame, trash: DataFrame)
 def _file_mentions(rows: DataFrame, contexts: DataFrame) -> DataFrame:
     """(sentence, candidate, path): file-like references resolved to sources."""
     cited = rows.select(*SENTENCE, F.explode(fa.citations(F.col("sentence"))).alias("candidate"))
-    keyed = cited.withColumn("_key", F.explode(_candidate_keys(F.col("candidate"))))
-    return (
-        keyed.join(_known_keys(contexts), ["answer_id", "_key"])
-        .select(*SENTENCE, "candidate", "path")
-        .distinct()
-    )
+    return _resolve(cited, contexts, keep_unknown=False).select(*SENTENCE, "candidate", "path")
 
 
 def _without(text: Column, names: Column) -> Column:

@@ -21,7 +21,7 @@ def _grams(text: Column, size: int) -> Column:
 GROUP_ROWS = 256
 
 
-def _by_group_size(df: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame | None]:
+def by_group_size(df: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame | None]:
     """(rows of ordinary groups, rows of oversized groups or None)."""
     large = df.groupBy(*group).agg(F.count("*").alias("_c")).where(F.col("_c") > GROUP_ROWS).select(*group)
     if large.isEmpty():
@@ -42,7 +42,7 @@ def bearers(
     needles = needles.where(F.length(needle) >= least)
     if not within:
         return _anchored(needles, texts, needle, text, key, within, least)
-    few, many = _by_group_size(needles, list(within))
+    few, many = by_group_size(needles, list(within))
     own = [c for c in needles.columns if c not in within]
     lists = few.groupBy(*within).agg(F.collect_set(F.struct(*own)).alias("_n"))
     ids = list(dict.fromkeys([*within, *key]))
@@ -85,7 +85,7 @@ def digit_support(needles: DataFrame, context_tokens: DataFrame, on: str, how: s
     ``ctx_token`` and ``extra``.  ``how`` is inner (adding ``extra``) or
     left_anti.
     """
-    few, many = _by_group_size(context_tokens, [on])
+    few, many = by_group_size(context_tokens, [on])
     lists = few.groupBy(on).agg(F.collect_set(F.struct("ctx_token", *extra)).alias("_l"))
     joined = needles.join(lists, on, "left")
     test = lambda c: F.contains(c["ctx_token"], F.col("token"))
