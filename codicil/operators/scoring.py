@@ -132,13 +132,12 @@ def _lexical(block: Block, column, member, counted, n: int):
     return np.round(weight @ member, SCORE_DIGITS), present @ member
 
 
-def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def _vectors(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(unit vectors, present) of a batch; a missing vector is a zero row."""
     present = pc.is_valid(column).to_numpy(zero_copy_only=False)
     flat = column.drop_null().flatten().to_numpy(zero_copy_only=False).astype(float)
-    held = flat.reshape(int(present.sum()), -1) if present.any() else np.zeros((0, 1))
-    out = np.zeros((len(column), held.shape[1]))
-    out[present] = unit(held)
+    out = np.zeros((len(column), size))
+    out[present] = unit(flat.reshape(-1, size))
     return out, present
 
 
@@ -157,7 +156,7 @@ def _scored(batches: Iterator[pa.RecordBatch], block: Block, content: bool, vect
         for piece in _pieces(batch, block):
             n = piece.num_rows
             counted = _term_counts(piece.column(1), known) if content else None
-            held, present = _vectors(piece.column(piece.num_columns - 1)) if vector else (None, None)
+            held, present = _vectors(piece.column(piece.num_columns - 1), block.vectors.shape[1]) if vector else (None, None)
             for first, last, column, member in groups:
                 lex = matched = sem = None
                 if content:
