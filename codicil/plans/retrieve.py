@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codicil import fixed_values as fv
@@ -78,7 +78,8 @@ def retrieve(
     merged = pins.union_pins(pinned, found.select("query_id", "path", "rank"))
     body = merged.join(docs.select("path", "title", "content"), "path").withColumn("rank", F.struct("_o", "path"))
     unique = ctx.dedup_by_content(body)
-    placed = retrieval.top_per_query(unique.withColumnRenamed("rank", "_rank"), 1 << 30, [F.asc("_rank")])
+    order = Window.partitionBy("query_id").orderBy("_rank")
+    placed = unique.withColumnRenamed("rank", "_rank").withColumn("rank", F.row_number().over(order))
     block = ctx.context_line(
         F.col("rank"), F.col("title"), F.col("path"), F.col("content"), max_chars=None
     )
