@@ -300,3 +300,13 @@ def _(spark, sf):
     return audit.attribution_notice(flags.withColumns({"attributed": F.array_join("cited", ", "), "stale": F.lit(False)}))
 
 
+@query(
+    "contradiction_notice",
+    f"""WITH {_RESP}, c AS (SELECT response_id, CASE WHEN a = 'contradicted' THEN 1 ELSE 0 END + CASE WHEN b = 'CONTRADICTED' THEN 1 ELSE 0 END AS n,
+ concat_ws(chr(10), CASE WHEN a = 'contradicted' THEN '• « claim 1 of ' || response_id || ' »' END, CASE WHEN b = 'CONTRADICTED' THEN '• « claim 2 of ' || response_id || ' »' END) AS bullets FROM resp)
+ SELECT response_id, chr(10) || chr(10) || '⛔ Vérification approfondie : ' || CASE n WHEN 1 THEN '1 affirmation ci-dessus semble contredite' ELSE '2 affirmations ci-dessus semblent contredites' END
+ || ' par vos documents — à corriger en priorité :' || chr(10) || bullets AS notice FROM c WHERE n > 0""",
+)
+def _(spark, sf):
+    claim = F.concat(F.lit("claim "), "claim_no", F.lit(" of "), "response_id")
+    return audit.contradiction_notice(audit.parse_verdicts(_responses(spark, sf)).withColumn("claim", claim))

@@ -462,6 +462,27 @@ def citation_notice(fabricated: DataFrame) -> DataFrame:
     )
 
 
+def contradiction_notice(verdicts: DataFrame, listed: int = 3) -> DataFrame:
+    """(response_id, notice): claims a model found contradicted; ``verdicts`` carries claim_no and claim."""
+    rows = verdicts.where("verdict = 'contradicted'").groupBy("response_id").agg(
+        F.array_sort(F.collect_list(F.struct("claim_no", "claim"))).alias("_c")
+    )
+    n = F.size("_c")
+    s, verb = F.when(n > 1, "s").otherwise(""), F.when(n > 1, "semblent").otherwise("semble")
+    bullets = F.array_join(
+        F.transform(F.slice("_c", 1, listed), lambda c: F.concat(F.lit("• « "), fa.clip(c["claim"]), F.lit(" »"))), "\n"
+    )
+    more = n - listed
+    tail = F.when(more > 1, F.format_string("\n…et %d autres.", more)).when(more == 1, "\n…et 1 autre.").otherwise("")
+    return rows.select(
+        "response_id",
+        F.concat(
+            F.lit("\n\n⛔ Vérification approfondie : "), n.cast("string"), F.lit(" affirmation"), s, F.lit(" ci-dessus "), verb,
+            F.lit(" contredite"), s, F.lit(" par vos documents — à corriger en priorité :\n"), bullets, tail,
+        ).alias("notice"),
+    )
+
+
 def deleted_notice(deleted: DataFrame) -> DataFrame:
     rows = deleted.groupBy("answer_id").agg(F.array_sort(F.collect_set("name")).alias("_d"))
     names = F.array_join(F.transform("_d", lambda d: F.concat(F.lit("« "), d, F.lit(" »"))), ", ")
