@@ -48,3 +48,10 @@ def by_rows(function: Callable[..., Iterable[tuple]], schema: pa.Schema, flush:
 def to_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema]
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema, strict=True)], schema=schema)
+
+
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is; it is read there and never copied."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

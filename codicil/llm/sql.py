@@ -31,3 +31,44 @@ edges AS (
 SELECT id AS doc_id, coalesce(n, 0) AS n_shingles, component_id, id = component_id AS kept
 FROM classes LEFT JOIN sizes USING (id)
 """
+
+NEAR_VECTORS = f"""
+WITH RECURSIVE nodes AS (SELECT vec_id AS id FROM embeddings),
+vectors AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+),
+edges AS (SELECT a.id AS x, b.id AS y FROM vectors a JOIN vectors b ON a.id <> b.id AND list_cosine_similarity(a.v, b.v) >= 0.95),
+degrees AS (SELECT x AS id, count(*) AS n FROM edges GROUP BY x),
+{_COMPONENTS}
+SELECT id AS vec_id, coalesce(n, 0) AS n_links, component_id, id = component_id AS kept
+FROM classes LEFT JOIN degrees USING (id)
+"""
+
+# The least depth at which a document's bucket fits; {{limit}} stands for the byte limit.
+SHARDS = """
+WITH bits AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n_bytes,
+    right(repeat('0', 48) || bin(CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 12) AS BIGINT)), 48) AS b
+  FROM documents
+),
+deep AS (SELECT doc_id, d, substr(b, 1, d) AS p, sum(n_bytes) OVER (PARTITION BY d, substr(b, 1, d)) AS total
+  FROM bits, (SELECT unnest(range(0, 49)) AS d)),
+least AS (SELECT doc_id, min(d) AS d FROM deep WHERE total <= {limit} GROUP BY doc_id)
+SELECT doc_id, n_bytes, substr(b, 1, d) AS shard_id, CAST(d AS INTEGER) AS depth FROM bits JOIN least USING (doc_id)
+"""
+
+TOP_K = """
+WITH w AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id,
+    CAST(list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * c.v[i])) AS BIGINT) AS score
+  FROM w q JOIN w c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id
+),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""

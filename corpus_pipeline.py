@@ -1,18 +1,77 @@
 """Corpus pipeline: the stages that turn the documents table into packed training sequences.
 
 Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; it is written as
-Parquet and read again as the next stage's ``docs``.
+Parquet and read again as the next stage's ``docs``.  All but the last return the
+columns of documents.  Null texts pass every stage (they are packed as empty ones), an
+empty table gives an empty result, and columns besides those of documents are carried
+along untouched up to the last stage.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from codicil.llm.shared import stage, table
+from codicil.llm import near_text, packing, pii, toxicity
+from codicil.llm.shared import stage, table, tokenizer
 
-STAGES: list = []
+TOXIC = 0.5
+CAPACITY = 4096
 
-ORACLE_SQL = None
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of the category ``toxic`` is below ``TOXIC``; trained on the labels table."""
+    chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.label_categories())
+    scored = toxicity.score(docs, chain, keep=docs.columns, prefix="_chain_")
+    return scored.where(F.col("_chain_toxic") < TOXIC).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five words, similarity 0.8): the one with the smallest id.
+
+    Several rows equal in id and text count as one.  Rows without an id stay, since a
+    decision by id cannot name them.
+    """
+    found = near_text.near_duplicate_classes(docs, width=5, similarity=80)
+    decided = stage(found.where("id is not null").groupBy("id").agg(F.bool_or("kept").alias("kept"), (F.count("*") > 1).alias("repeated")), "decided")
+    gone = decided.where(~F.col("kept")).select(F.col("id").alias("_gone"))
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    repeated = decided.where(F.col("kept") & F.col("repeated")).select(F.col("id").alias("_repeated"))
+    if not repeated.limit(1).count():
+        return kept
+    once = kept.join(repeated, F.col("doc_id") == F.col("_repeated"), "left_anti")
+    several = kept.join(repeated, F.col("doc_id") == F.col("_repeated"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return once.unionByName(several)
+
+
+def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data replaced by ``[KIND]`` in the texts; ``n_chars`` is counted anew where something was."""
+    kinds = (*pii.KINDS, pii.CONTEXT)
+    found = pii.find_personal_data(docs)
+    spans = [F.transform(k, lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"))) for k in kinds]
+    found = found.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.array_sort(F.concat(*spans)).alias("_spans"))
+    found = found.where(F.size("_spans") > 0).dropDuplicates(["_id", "_hash"])
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
+    hit = F.col("_spans").isNotNull()
+    joined = docs.join(found, same, "left").withColumn("_masked", F.when(hit, pii.masked(F.col("text"), F.col("_spans"))).otherwise(F.col("text")))
+    changed = {"text": F.col("_masked"), "n_chars": F.when(hit, F.length("_masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}
+    return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents packed into sequences of at most ``CAPACITY`` tokens."""
+    found = packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), end_id=1, capacity=CAPACITY)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("personal_data", mask_personal_data),
+    ("packing", pack_sequences),
+]
+
+ORACLE_SQL = None  # a trained model and a tokenizer; tests/llm compares with plain loops
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
