@@ -7,14 +7,20 @@
    class has are dropped (skip).  Of the rest a class keeps its rarest ones: two
    classes agreeing in ``MATCHES`` coordinates or more must share one of the first
    ``COORDINATES - MATCHES + 1`` in this order (prefix).
-4. Each posting list links its members to three pivots of the list.  A pair goes on
-   if its signatures agree in ``MATCHES`` coordinates and its sizes allow the
-   similarity, and is then confirmed on the full sets.
-5. Lists whose members are not yet in one component give the pairs across
-   components, under the same condition; these are confirmed as well.
+4. Each posting list links its members to a few pivots of the list.  A pair goes on
+   if its signatures agree in ``MATCHES`` coordinates, its sizes allow the similarity
+   and its parity sketches do (below), and is then confirmed on the full sets.
+5. This is repeated with other pivots in lists whose members are not yet in one
+   component.  Such lists then give the pairs across components, under the same
+   condition and each pair in its first list only; these are confirmed as well.
 
 So no list yields all of its pairs: members already connected are never compared
-again.  A pair at similarity 0.8 misses ``MATCHES`` of 32 coordinates with a
+again, and of others only pairs that are links or nearly so come out.
+
+The parity sketch has a bit for each of ``PARITY_BITS`` classes of shingles, telling
+whether their number is odd.  Bits in which two sketches differ cannot outnumber the
+shingles in which the sets differ, and that number decides the similarity: a pair
+refused by it is certainly no link.  A pair at similarity 0.8 misses ``MATCHES`` of 32 coordinates with a
 probability below 0.0001, one at 0.85 below 0.000001.
 """
 
@@ -33,6 +39,9 @@ from codicil.llm.shared import stage
 
 COORDINATES = 32
 MATCHES = 16
+PARITY_BITS = 1024
+PIVOTS = 3
+STAR_ROUNDS = 2
 CACHED_WORDS = 200_000
 
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -74,6 +83,11 @@ class Shingler:
         return np.unique(out)
 
 
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    counts = np.bincount((shingles >> np.uint64(40)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS)
+    return np.packbits((counts & 1).astype(np.uint8)).view(np.int64)
+
+
 def _signature(shingles: np.ndarray) -> np.ndarray:
     least = np.full(COORDINATES, _WORD)
     for i in range(0, len(shingles), 4096):
@@ -82,34 +96,35 @@ def _signature(shingles: np.ndarray) -> np.ndarray:
 
 
 _PROFILE = pa.schema(
-    [("id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))]
+    [("id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))]
 )
 
 
 def profiles(documents: DataFrame, width: int, id_column: str, text_column: str) -> DataFrame:
-    """One row per document: set size, key of the set, coordinate values and 8 bits of each, packed."""
+    """One row per document: set size, key of the set, coordinate values, 8 bits of each, parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(width)
         for batch in batches:
-            sizes, nodes, keys, sketches = [], [], [], []
+            sizes, nodes, keys, sketches, parities = [], [], [], [], []
             for text in batch.column(1):
                 found = shingler(text.as_py())
                 sizes.append(len(found))
                 if not len(found):
-                    nodes.append(None), keys.append(None), sketches.append(None)
+                    nodes.append(None), keys.append(None), sketches.append(None), parities.append(None)
                     continue
                 nodes.append(xxhash.xxh3_128_digest(found.tobytes()))
                 values = _signature(found)
                 keys.append(values.view(np.int64))
                 sketches.append((values & np.uint64(0xFF)).astype(np.uint8).view(np.int64))
+                parities.append(_parity(found))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
-                 pa.array(keys, _PROFILE.field("keys").type), pa.array(sketches, _PROFILE.field("sketch").type)], schema=_PROFILE,
+                 pa.array(keys, _PROFILE.field("keys").type), pa.array(sketches, _PROFILE.field("sketch").type), pa.array(parities, _PROFILE.field("parity").type)], schema=_PROFILE,
             )
 
     narrow = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "id long, n_shingles long, node binary, keys array<long>, sketch array<long>")
+    return narrow.mapInArrow(run, "id long, n_shingles long, node binary, keys array<long>, sketch array<long>, parity array<long>")
 
 
 def _differing(a: Column, b: Column) -> Column:
@@ -125,9 +140,11 @@ def _differing(a: Column, b: Column) -> Column:
 
 
 def _plausible(similarity: int) -> Column:
-    """Sizes allow the similarity (in hundredths) and enough coordinates agree."""
+    """Sizes and parities allow the similarity (in hundredths) and enough coordinates agree."""
     small, large = F.least("a.n_shingles", "b.n_shingles"), F.greatest("a.n_shingles", "b.n_shingles")
-    return (small * 100 >= large * similarity) & (_differing(F.col("a.sketch"), F.col("b.sketch")) <= COORDINATES - MATCHES)
+    odd = sum((F.bit_count(F.col("a.parity")[i].bitwiseXOR(F.col("b.parity")[i])) for i in range(1, PARITY_BITS // 64)), F.bit_count(F.col("a.parity")[0].bitwiseXOR(F.col("b.parity")[0])))
+    near = odd * (100 + similarity) <= (small + large) * (100 - similarity)
+    return (small * 100 >= large * similarity) & near & (_differing(F.col("a.sketch"), F.col("b.sketch")) <= COORDINATES - MATCHES)
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -183,7 +200,7 @@ def near_duplicate_classes(
     profiled = stage(profiles(documents, width, id_column, text_column), "profiles")
     classes = stage(
         profiled.where("node is not null").groupBy("node").agg(
-            F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch")
+            F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"),
         ),
         "classes",
     )
@@ -200,27 +217,40 @@ def near_duplicate_classes(
 def class_links(documents: DataFrame, classes: DataFrame, width: int, similarity: int, id_column: str, text_column: str) -> DataFrame:
     """Confirmed links that connect the same classes as all links would."""
     posted = stage(postings(classes), "postings")
-    signed = stage(classes.select("node", "n_shingles", "sketch").join(posted.select("node").distinct(), "node", "left_semi"), "signed")
+    prefixes = posted.groupBy("node").agg(F.collect_list("key").alias("prefix"))  # at most COORDINATES keys a node
+    signed = stage(classes.select("node", "n_shingles", "sketch", "parity").join(prefixes, "node"), "signed")
     sets = stage(_sets(documents, classes, posted, width, id_column, text_column), "sets")
 
-    pivots = posted.groupBy("key").agg(
-        F.array_distinct(F.array(F.min("node"), F.max("node"), F.min_by("node", F.xxhash64("node", "key")))).alias("pivots")
-    )
-    starred = posted.join(pivots, "key").select("node", F.explode("pivots").alias("pivot")).where("node != pivot")
-    starred = starred.select(F.least("node", "pivot").alias("left"), F.greatest("node", "pivot").alias("right")).distinct()
-    links = stage(_confirmed(_signed_pairs(starred, signed, similarity), sets, similarity), "star-links")
+    links = open_lists = None
+    for turn in range(STAR_ROUNDS):
+        found = _confirmed(_signed_pairs(_stars(open_lists or posted, turn), signed, similarity), sets, similarity)
+        links = stage(found if links is None else links.unionAll(found), "star-links")
+        open_lists = _open_lists(posted, links)
+    rest = stage(open_lists.join(signed, "node"), "open-lists")
+    first_key = F.array_min(F.array_intersect("a.prefix", "b.prefix")) == F.col("a.key")
+    same_list = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component"))
+    across = rest.alias("a").join(rest.alias("b"), same_list & _plausible(similarity) & first_key)
+    across = across.select(F.least("a.node", "b.node").alias("left"), F.greatest("a.node", "b.node").alias("right"))
+    return stage(links.unionAll(_confirmed(across, sets, similarity)), "links")
+
+
+def _stars(lists: DataFrame, turn: int) -> DataFrame:
+    """Pairs of each member of a list with the list's pivots, each pair once."""
+    marks = [F.min_by("node", F.xxhash64("node", "key", F.lit(turn * PIVOTS + i))) for i in range(PIVOTS)]
+    pivots = lists.groupBy("key").agg(F.array_distinct(F.array(*marks)).alias("pivots"))
+    pairs = lists.join(pivots, "key").select("node", F.explode("pivots").alias("pivot")).where("node != pivot")
+    return pairs.select(F.least("node", "pivot").alias("left"), F.greatest("node", "pivot").alias("right")).distinct()
 
+
+def _open_lists(posted: DataFrame, links: DataFrame) -> DataFrame:
+    """``key, node, component`` of the lists whose members are in several components."""
     joined = components(links, "left", "right")
     marked = posted.join(joined, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    rest = stage(marked.join(open_keys, "key", "left_semi").join(signed, "node"), "open-lists")
-    across = rest.alias("a").join(
-        rest.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & _plausible(similarity)
-    )
-    across = across.select(F.col("a.node").alias("left"), F.col("b.node").alias("right")).distinct()
-    return stage(links.unionAll(_confirmed(across, sets, similarity)), "links")
+    several = marked.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
+    return stage(marked.join(several.select("key"), "key", "left_semi"), "open-lists")
 
 
 def _signed_pairs(pairs: DataFrame, signed: DataFrame, similarity: int) -> DataFrame:
-    a, b = signed.select(F.col("node").alias("left"), F.struct("n_shingles", "sketch").alias("a")), signed.select(F.col("node").alias("right"), F.struct("n_shingles", "sketch").alias("b"))
+    fields = F.struct("n_shingles", "sketch", "parity")
+    a, b = signed.select(F.col("node").alias("left"), fields.alias("a")), signed.select(F.col("node").alias("right"), fields.alias("b"))
     return pairs.join(a, "left").join(b, "right").where(_plausible(similarity)).select("left", "right")

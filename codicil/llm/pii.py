@@ -15,6 +15,8 @@ time.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,10 @@ def _accepted(kind: str, found: Column) -> Column:
     return F.lit(True)
 
 
+def _test(kind: str) -> Callable[[Column], Column]:
+    return lambda s: _accepted(kind, s["text"])
+
+
 def _located(df: DataFrame, name: str, pattern: str, possible: Column, group: int = 0) -> DataFrame:
     """Adds ``name``: array of (start, end, text) of the pattern's matches in column ``_text``.
 
@@ -107,7 +113,7 @@ def base_spans(documents: DataFrame, keep: list[str], text_column: str = "text")
     df = documents.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("_text"))
     for kind, pattern in _PATTERNS.items():
         df = _located(df, f"_{kind}", pattern, _possible(kind, F.col("_text")))
-    df = df.withColumns({f"_{kind}": F.filter(f"_{kind}", lambda s, k=kind: _accepted(k, s["text"])) for kind in KINDS if kind != "email"})
+    df = df.withColumns({f"_{kind}": F.filter(f"_{kind}", _test(kind)) for kind in KINDS if kind != "email"})
     return df
 
 
@@ -182,8 +188,20 @@ def find_personal_data(documents: DataFrame, id_column: str = "doc_id", text_col
 
 def listed(kinds: tuple[str, ...]) -> Column:
     """``kind:start:end`` of all spans, by kind as given, then start, joined by commas."""
-    parts = [F.transform(k, lambda s, k=k: F.concat(F.lit(f"{k}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))) for k in kinds]
-    return F.array_join(F.concat(*parts), ",")
+
+    def written(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.concat(F.lit(f"{kind}:"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string")))
+
+    return F.array_join(F.concat(*map(written, kinds)), ",")
+
+
+def all_spans() -> Column:
+    """(start, end, kind) of all spans, sorted."""
+
+    def named(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+    return F.array_sort(F.concat(*map(named, (*KINDS, CONTEXT))))
 
 
 def masked(text: Column, spans: Column) -> Column:

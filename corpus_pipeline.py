@@ -46,10 +46,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by ``[KIND]`` in the texts; ``n_chars`` is counted anew where something was."""
-    kinds = (*pii.KINDS, pii.CONTEXT)
-    found = pii.find_personal_data(docs)
-    spans = [F.transform(k, lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"))) for k in kinds]
-    found = found.select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), F.array_sort(F.concat(*spans)).alias("_spans"))
+    found = pii.find_personal_data(docs).select(F.col("id").alias("_id"), F.col("text_hash").alias("_hash"), pii.all_spans().alias("_spans"))
     found = found.where(F.size("_spans") > 0).dropDuplicates(["_id", "_hash"])
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_hash"))
     hit = F.col("_spans").isNotNull()
