@@ -15,8 +15,10 @@ table of known words.
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import json
+import math
 import os
 import re
 from collections.abc import Iterable, Iterator
@@ -26,8 +28,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KNOWN_WORDS = 400_000
-KNOWN_BYTES = 64 << 20
+KNOWN_WORDS = 1_000_000  # of each table of a worker; some 200 bytes each
+KNOWN_BYTES = 96 << 20
+KNOWN_PAIRS = 1_000_000
 
 # Characters with the White_Space property.
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -38,11 +41,24 @@ class TrieEncoder:
     """Encodes words given in the tokenizer's byte alphabet."""
 
     def __init__(self, vocabulary: dict[str, int], merges: list[tuple[str, str]]) -> None:
-        self.vocabulary, self.names = vocabulary, {i: t for t, i in vocabulary.items()}
-        self.ranks = {(a, b): r for r, (a, b) in enumerate(merges)}
-        self.longest = max(map(len, vocabulary), default=1)
+        self.vocabulary = vocabulary
+        self.ranks = {pair: rank for rank, pair in enumerate(merges)}
         self.whole: dict[str, bool] = {}
         self.stable: dict[tuple[str, str], bool] = {}
+        self.edges: dict[tuple[str, bool], list[tuple[str, float]]] = {}
+        born: dict[str, int] = {}
+        for rank, (a, b) in enumerate(merges):
+            born.setdefault(a + b, rank)
+        # Merges then apply in the order of their ranks, so a boundary can be judged from the tokens beside it.
+        self.ordered = all(born.get(a, -1) < r and born.get(b, -1) < r for r, (a, b) in enumerate(merges))
+        self.born, self.parts = born, {a + b: (a, b) for a, b in reversed(merges)}
+        # Vocabulary entries by their letters from the last to the first.
+        self.suffixes: dict = {}
+        for token in vocabulary:
+            node = self.suffixes
+            for letter in reversed(token):
+                node = node.setdefault(letter, {})
+            node[""] = token
 
     def _merge(self, text: str) -> list[str]:
         """Plain merging of a short string, lowest rank first, leftmost first."""
@@ -54,57 +70,89 @@ class TrieEncoder:
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
-    def _fits(self, before: str | None, token: str) -> bool:
-        """Merging makes ``token`` from its own characters, and leaves it alone behind ``before``."""
-        own = self.whole.get(token)
-        if own is None:
-            own = self.whole[token] = self._merge(token) == [token]
-        if not own or before is None:
-            return own
-        pair = (before, token)
-        known = self.stable.get(pair)
+    def _edge(self, token: str, right: bool) -> list[tuple[str, float]]:
+        """What stands at the token's left or right end while it is merged: (part, rank at which it is taken up)."""
+        known = self.edges.get((token, right))
         if known is None:
-            if len(self.stable) > 4 * KNOWN_WORDS:
-                self.stable.clear()
-            known = self.stable[pair] = self._merge(before + token) == [before, token]
+            known, part, until = [], token, math.inf
+            while True:
+                known.append((part, until))
+                if part not in self.parts:
+                    break
+                until, part = self.born[part], self.parts[part][right]
+            self.edges[token, right] = known = known[::-1]
+        return known
+
+    def _alone(self, before: str, token: str) -> bool:
+        """No merge joins the two across their boundary, at any stage of theirs."""
+        if not self.ordered:
+            return self._merge(before + token) == [before, token]
+        left, right = self._edge(before, True), self._edge(token, False)
+        i = j = 0
+        while True:
+            (x, x_until), (y, y_until) = left[i], right[j]
+            rank = self.ranks.get((x, y))
+            # Of equal ranks the leftmost merge comes first: the one inside `before`, but not the one inside `token`.
+            if rank is not None and rank < x_until and rank <= y_until:
+                return False
+            if x_until is math.inf and y_until is math.inf:
+                return True
+            if x_until <= y_until:
+                i += 1
+            else:
+                j += 1
+
+    def _whole(self, token: str) -> bool:
+        """Merging makes the token from its letters."""
+        known = self.whole.get(token)
+        if known is None:
+            known = self.whole[token] = self._merge(token) == [token]
         return known
 
     def encode(self, words: Iterable[str]) -> dict[str, list[int]]:
-        root: dict = {}
-        for word in words:
-            node = root
-            for letter in word:
-                node = node.setdefault(letter, {})
-            node[""] = word  # ends here
+        """The trie is the sorted list: its walk visits the nodes depth first, and what two
+        neighbours share is the path that stays."""
+        if len(self.stable) > KNOWN_PAIRS:
+            self.stable.clear()
         out: dict[str, list[int]] = {}
-        path: list[str] = []  # letters down to the node
-        last: list[str] = []  # last token of each prefix of the path
-        stack = [(root, iter(root.items()))]
-        while stack:
-            node, children = stack[-1]
-            step = next(children, None)
-            if step is None:
-                stack.pop()
-                if path:
-                    path.pop(), last.pop()
-                continue
-            letter, child = step
-            if letter == "":
-                out[child] = self._read_back(last)
-                continue
-            path.append(letter)
-            last.append(self._last_token(path, last))
-            stack.append((child, iter(child.items())))
+        path, last = "", []  # last token of each prefix of the path
+        for word in sorted(words):
+            shared = 0
+            for a, b in zip(path, word):
+                if a != b:
+                    break
+                shared += 1
+            del last[shared:]
+            for end in range(shared, len(word)):
+                last.append(self._last_token(word, end, last))
+            out[word] = self._read_back(last)
+            path = word
         return out
 
-    def _last_token(self, path: list[str], last: list[str]) -> str:
-        depth = len(path)
-        tail = "".join(path[-self.longest :])
-        for size in range(len(tail), 0, -1):
-            token = tail[len(tail) - size :]
-            if token in self.vocabulary and self._fits(last[depth - size - 1] if depth > size else None, token):
+    def _last_token(self, word: str, end: int, last: list[str]) -> str:
+        """The one entry that ends the encoding of ``word[: end + 1]``; longer ones are tried first."""
+        fitting, node, i = [], self.suffixes, end
+        while i >= 0:
+            node = node.get(word[i])
+            if node is None:
+                break
+            if "" in node:
+                fitting.append((i, node[""]))
+            i -= 1
+        stable = self.stable
+        while fitting:
+            i, token = fitting.pop()
+            if not i:
+                if self._whole(token):
+                    return token
+                continue
+            pair = (last[i - 1], token)
+            known = stable.get(pair)
+            if known is None:
+                known = stable[pair] = self._whole(token) and self._alone(*pair)
+            if known:
                 return token
-        raise ValueError(f"{path[-1]!r} is not in the vocabulary")
+        raise ValueError(f"{word[end]!r} is not in the vocabulary")
 
     def _read_back(self, last: list[str]) -> list[int]:
         ids, depth = [], len(last)
@@ -144,17 +192,23 @@ class Codec:
             self.bytes_of[i] = bytes(letters[c] for c in token)
         for token, i in added.items():
             self.bytes_of[i] = token.encode("utf-8")
+        gc.freeze()  # the tables above stay; the collector need not walk them again and again
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
         self.held = 0
 
     def _learn(self, chunks: set[str]) -> None:
         """Encodes new chunks; a chunk is split into words by the tokenizer's own rule."""
-        words = {c: [w for w, _ in self.split.pre_tokenize_str(c)] for c in chunks}
-        ids = self.trie.encode({w for own in words.values() for w in own})
-        for chunk, own in words.items():
-            found = [i for w in own for i in ids[w]]
-            self.known[chunk] = np.array(found, np.uint32).tobytes()
-            self.held += 4 * len(chunk) + 4 * len(found)
+        split, known = self.split.pre_tokenize_str, self.words
+        if len(known) > KNOWN_WORDS:
+            known.clear()
+        cut = {c: [w for w, _ in split(c)] for c in chunks}
+        new = {w for own in cut.values() for w in own}.difference(known)
+        for word, ids in self.trie.encode(new).items():
+            known[word] = np.array(ids, np.uint32).tobytes()
+        for chunk, own in cut.items():
+            found = self.known[chunk] = b"".join(map(known.__getitem__, own))
+            self.held += len(chunk) + len(found)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """A chunk is white space and what follows up to the next white space: no word crosses its ends."""

@@ -18,20 +18,21 @@ pieces share is not gathered in one task) and the number gives sequence and offs
 from __future__ import annotations
 
 import bisect
+import functools
 import os
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zlib
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codicil.llm.shared import stage
 
-KNOWN_CHUNKS = 500_000
-KNOWN_BYTES = 64 << 20
+KNOWN_CHUNKS = 1_000_000  # of a worker; some 200 bytes each
+KNOWN_BYTES = 96 << 20
 BUCKET_ROWS = 200
 MAX_BUCKETS = 4_096
 
@@ -41,7 +42,7 @@ Pattern = tuple[int, tuple[tuple[int, int], ...]]  # number of sequences, ((leng
 class ChunkEncoder:
     """Ids of whole texts by the tokenizers library, each distinct chunk encoded once.
 
-    For tokenizers whose splitting drops white space: a text's ids are those of its
+    For tokenizers that lower texts and drop white space: a text's ids are those of its
     chunks between ASCII white space, one after the other.
     """
 
@@ -59,7 +60,7 @@ class ChunkEncoder:
         if len(self.known) > KNOWN_CHUNKS or self.held > KNOWN_BYTES:
             self.known.clear()
             self.held = 0
-        cut = [t.encode("utf-8").split() for t in texts]
+        cut = [(raw if b"<|" in (raw := t.encode("utf-8")) else raw.lower()).split() for t in texts]  # added tokens mind the case
         new = sorted({c for chunks in cut for c in chunks}.difference(self.known))
         for i in range(0, len(new), 2048):
             part = new[i : i + 2048]
@@ -70,11 +71,16 @@ class ChunkEncoder:
         return [b"".join(map(known, chunks)) for chunks in cut]
 
 
+@functools.lru_cache(maxsize=2)
+def _encoder(path: str) -> ChunkEncoder:
+    return ChunkEncoder(path)  # kept by the worker from task to task
+
+
 def cut_pieces(documents: DataFrame, path: str, end_id: int, capacity: int, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per piece: ``id, piece, start, length, ids_crc32``; every text ends with ``end_id``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = ChunkEncoder(path), np.uint32(end_id).tobytes()
+        encoder, end = _encoder(path), np.uint32(end_id).tobytes()
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(i, 256), []

@@ -7,8 +7,8 @@ probabilities are out-of-fold: each row gets them from models that did not see i
 A document's features are the presence of its words and of their beginnings
 (``PREFIXES`` letters), over the whole text.  Each model is a logistic regression
 with an L1 penalty, so most weights are exactly zero and long clean texts do not
-drift.  Training uses a bounded sample of labelled rows (``max_labelled``, chosen by
-a hash of the id); features are screened in Spark by their chi-square statistic, so
+drift.  Training uses a bounded sample of labelled rows (``max_labelled``: up to half of
+them with the last category and as many without, chosen by a hash of the id); features are screened in Spark by their chi-square statistic, so
 the driver holds at most ``max_labelled`` rows of at most ``max_features`` indices a
 category.  Scoring is one scan without a shuffle.
 """
@@ -160,7 +160,9 @@ def fit(
     ids = F.col(id_column).cast("long")
     picked = labels.select(ids.alias("label_id"), *answers).dropna()
     picked = picked.groupBy("label_id").agg(*[F.max(f"y{k}").alias(f"y{k}") for k in range(len(names))])
-    picked = picked.orderBy(F.xxhash64("label_id"), "label_id").limit(max_labelled)  # the documented bound
+    last, order = F.col(f"y{len(names) - 1}"), [F.xxhash64("label_id"), F.col("label_id")]
+    halves = [picked.where(last == answer).orderBy(*order).limit(max_labelled // 2) for answer in (1, 0)]  # the documented bound
+    picked = halves[0].unionAll(halves[1])
     texts = documents.select(ids.alias("id"), F.col(text_column).cast("string").alias("text"))
     joined = texts.join(F.broadcast(picked), F.col("id") == F.col("label_id")).drop("label_id")
 
