@@ -4,8 +4,9 @@ The categories are predicted one after the other; the model of a category also
 sees the probabilities of the categories before it.  While training, those
 probabilities are out-of-fold: each row gets them from models that did not see it.
 
-A document's features are the presence of its words and of their beginnings
-(``PREFIXES`` letters), over the whole text.  Each model is a logistic regression
+A document's features are its words and their beginnings (``PREFIXES`` letters), over
+the whole text: that they occur, occur twice or four times, or make up a hundredth or a
+thirtieth of the words.  Each model is a logistic regression
 with an L1 penalty, so most weights are exactly zero and long clean texts do not
 drift.  Training uses a bounded sample of labelled rows (``max_labelled``: up to half of
 them with the last category and as many without, chosen by a hash of the id); features are screened in Spark by their chi-square statistic, so
@@ -16,6 +17,7 @@ category.  Scoring is one scan without a shuffle.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
@@ -31,21 +33,39 @@ PREFIXES = (3, 4, 5, 6)
 FOLDS = 3
 MAX_LABELLED = 8_000
 MAX_FEATURES = 1_500
-PENALTY = 3e-4
+PENALTY = 1e-4
 STEPS = 200
 REMEMBERED = 300_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _words(text: str | None) -> set[str]:
-    return set(_WORD.findall(text.lower())) if text else set()
+def _words(text: str | None) -> Counter[str]:
+    return Counter(_WORD.findall(text.lower())) if text else Counter()
 
 
-def _features(word: str) -> list[int]:
-    """Hashed features of a word: itself and its beginnings (63 bits, so clashes are rare)."""
+def _bases(word: str) -> list[int]:
+    """Hashes of a word and its beginnings (60 bits, so clashes are rare)."""
     names = [f"={word[:60]}"] + [f"^{word[:n]}" for n in PREFIXES if len(word) >= n]
-    return [xxhash.xxh64_intdigest(n) >> 1 for n in names]
+    return [xxhash.xxh64_intdigest(n) >> 4 for n in names]
+
+
+def _levels(counts: dict[int, int], words: int) -> list[int]:
+    """Features: each base that occurs, and the levels that its number and its rate reach."""
+    out = []
+    for base, n in counts.items():
+        out.append(base * 8)
+        if n > 1:
+            out += [base * 8 + i for i, reached in enumerate((True, n >= 4, n * 100 >= words, n * 30 >= words), 1) if reached]
+    return out
+
+
+def _features(text: str | None) -> list[int]:
+    words, counts = _words(text), Counter()
+    for word, n in words.items():
+        for base in _bases(word):
+            counts[base] += n
+    return _levels(counts, words.total())
 
 
 @dataclass
@@ -170,7 +190,7 @@ def fit(
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                found = [sorted({f for w in _words(t.as_py()) for f in _features(w)}) for t in part.column(1)]
+                found = [sorted(_features(t.as_py())) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.list_(pa.int64())), *part.columns[2:]], names=["id", "present", *part.schema.names[2:]])
 
     schema = "id long, present array<long>, " + ", ".join(f"y{k} int" for k in range(len(names)))
@@ -205,7 +225,7 @@ def score(documents: DataFrame, chain: Chain, keep: list[str], text_column: str
     Null and empty texts have no feature.  Rows are neither moved nor joined.  A prefix
     that makes a name of ``keep`` again is an error.
     """
-    active = chain.active()
+    active = {f >> 3 for f in chain.active()}
     names = [f"{prefix}{n}" for n in chain.names]
     if set(names) & set(keep):
         raise ValueError(f"column names taken: {sorted(set(names) & set(keep))}")
@@ -216,14 +236,14 @@ def score(documents: DataFrame, chain: Chain, keep: list[str], text_column: str
             for i in range(0, batch.num_rows, 1024):
                 part, found = batch.slice(i, 1024), []
                 for text in part.column(0):
-                    present: set[int] = set()
-                    for word in _words(text.as_py()).difference(neutral):
-                        own = active.intersection(_features(word))
-                        if own:
-                            present |= own
-                        elif len(neutral) < REMEMBERED:
+                    words, counts = _words(text.as_py()), Counter()
+                    for word in words.keys() - neutral:
+                        own = active.intersection(_bases(word))
+                        for base in own:
+                            counts[base] += words[word]
+                        if not own and len(neutral) < REMEMBERED:
                             neutral.add(word)
-                    found.append(chain.probabilities(present))
+                    found.append(chain.probabilities(_levels(counts, words.total())))
                 if len(neutral) >= REMEMBERED:
                     neutral.clear()
                 columns = [pa.array([p[k] for p in found], pa.float64()) for k in range(len(names))]

@@ -185,7 +185,7 @@ def test_base_spans_equal_plain_patterns(documents, odd, nothing, spark):
         "a@b.c.d@e.f x_y@-.-", "a@b.co_x@d.e", "1.2.3.4.5.6.7.8 256.1.1.1 000255.1.1.1 1.2.3", "4111 1111-1111 1111, 4111111111111111 1- 2",
         "+1 (555) 010-9999 and +12 ) and +1--9", "." * 5000 + "@", "1" * 40000, "9 " * 3000, "+1" + "." * 5000, "x@y" + ".z" * 8000, "𝒳𝒳 a@b.cd 𝒳 +49 30 1234567",
     ]
-    frame = spark.createDataFrame([(100 + i, t) for i, t in enumerate(tricky)], "doc_id long, text string")
+    frame = spark.createDataFrame([(10_000 + i, t) for i, t in enumerate(tricky)], "doc_id long, text string")
     frame = frame.unionAll(documents.select("doc_id", "text")).unionAll(odd.select("doc_id", "text"))
     texts = {r["doc_id"]: r["text"] or "" for r in frame.collect()}
     rows = pii.find_personal_data(frame).collect()
