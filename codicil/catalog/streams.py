@@ -23,14 +23,6 @@ def _micro(column):
     return F.unix_micros(column)
 
 
-@query("stream_discovery")
-def _(spark, sf):
-    """Files of the table folder, discovered as a stream."""
-    found = ingest.discover(spark, sf).select("path", "size")
-    target = common.drain(found)
-    return spark.read.schema("path string, size long").parquet(target)
-
-
 @query(
     "stream_ingest",
     "SELECT doc_id, trim(text) <> '' AS success FROM documents",

@@ -84,7 +84,7 @@ def _excerpt(body: Column, needle: Column, token_length: Column, radius: int) ->
 
 def normalise_date(raw: Column) -> Column:
     """``D:YYYYMMDD[HHmmss]`` to ISO; text too short to hold a date is kept."""
-    body = F.when(F.startswith(raw, F.lit("D:")), F.substring(raw, 3, 1 << 20)).otherwise(raw)
+    body = F.when(F.startswith(raw, F.lit("D:")), raw.substr(F.lit(3), F.length(raw))).otherwise(raw)
     day = F.concat_ws("-", F.substring(body, 1, 4), F.substring(body, 5, 2), F.substring(body, 7, 2))
     time = F.concat_ws(":", F.substring(body, 9, 2), F.substring(body, 11, 2), F.substring(body, 13, 2))
     return (
@@ -148,18 +148,18 @@ def expected_scripts(languages: list[str]) -> list[str]:
     return sorted(found | {"LATIN"})
 
 
-def script_ratio(text: Column, scripts: list[str], sample: int = fv.GARBLE_SAMPLE_LETTERS) -> Column:
+def script_ratio(text: Column, scripts: list[str]) -> Column:
     """struct(ratio, letters): share of letters outside the expected scripts."""
-    counts = uc.script_counts(text, F.array(*[F.lit(s) for s in scripts]), sample)
+    counts = uc.script_counts(text, scripts)
     ratio = F.coalesce(F.try_divide(counts["unexpected"], counts["letters"]), F.lit(0.0))
     return F.struct(ratio.alias("ratio"), counts["letters"].alias("letters"))
 
 
-def missing_script(text: Column, scripts: list[str], sample: int = fv.GARBLE_SAMPLE_LETTERS) -> Column:
-    """True when none of the scripts shows among the first ``sample`` letters."""
+def missing_script(text: Column, scripts: list[str]) -> Column:
+    """True when none of the scripts shows among the letters."""
     if not scripts:
         return F.lit(True)
-    return ~uc.script_counts(text, F.array(*[F.lit(s) for s in scripts]), sample)["expected_seen"]
+    return ~uc.script_counts(text, scripts)["expected_seen"]
 
 
 def is_garbled(text: Column, languages: list[str] | None) -> Column:

@@ -6,6 +6,8 @@ JVM expressions.
 
 from __future__ import annotations
 
+import functools
+import sys
 import unicodedata
 
 import pandas as pd
@@ -102,33 +104,28 @@ def strip_latin_accents(text: Column) -> Column:
     return F.regexp_replace(plain, r"\p{Mn}+", "")
 
 
-def script_counts(text: Column, scripts: Column, sample: int = fv.GARBLE_SAMPLE_LETTERS) -> Column:
-    """struct(letters, unexpected, expected_seen) over the first ``sample`` letters.
+@functools.lru_cache(maxsize=64)
+def _letters_of(scripts: tuple[str, ...]) -> str:
+    """Character class of the letters whose Unicode name starts with one of the words."""
+    ranges: list[list[int]] = []
+    for code in range(sys.maxunicode + 1):
+        ch = chr(code)
+        if ch.isalpha() and unicodedata.name(ch, "").partition(" ")[0] in scripts:
+            if ranges and ranges[-1][1] == code - 1:
+                ranges[-1][1] = code
+            else:
+                ranges.append([code, code])
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+
+
+def script_counts(text: Column, scripts: list[str]) -> Column:
+    """struct(letters, unexpected, expected_seen) over all letters of the text, on the JVM.
 
     A letter's script is the first word of its Unicode name; a letter without
     a name counts as unexpected.
     """
-    script_of: dict[str, str] = {}
-
-    def script(ch: str) -> str:
-        found = script_of.get(ch)
-        if found is None:
-            found = script_of[ch] = unicodedata.name(ch, "").split(" ", 1)[0]
-        return found
-
-    @F.pandas_udf("letters long, unexpected long, expected_seen boolean")
-    def count(texts: pd.Series, wanted: pd.Series) -> pd.DataFrame:
-        rows = []
-        for value, names in zip(texts, wanted):
-            names = set(names) if names is not None else set()
-            letters = hits = 0
-            for ch in value or "":
-                if ch.isalpha():
-                    letters += 1
-                    hits += script(ch) in names
-                    if letters >= sample:
-                        break
-            rows.append((letters, letters - hits, hits > 0))
-        return pd.DataFrame(rows, columns=["letters", "unexpected", "expected_seen"])
-
-    return count(text, scripts)
+    body = F.coalesce(text, F.lit(""))
+    own = _letters_of(tuple(sorted(set(scripts))))
+    letters = F.length(F.regexp_replace(body, r"\P{L}+", "")).cast("long")
+    hits = F.length(F.regexp_replace(body, f"[^{own}]+", "")).cast("long") if own else F.lit(0).cast("long")
+    return F.struct(letters.alias("letters"), (letters - hits).alias("unexpected"), (hits > 0).alias("expected_seen"))

@@ -10,18 +10,15 @@ from pyspark.sql import functions as F
 
 from codicil.functions.text import strip
 
-SAMPLE_CHARS = 5000
-MIN_CHARS, MIN_CODE_CHARS = 20, 50
+MIN_CHARS = 20
 
 
 def _ngrams(text: Column) -> Column:
-    head = F.lower(F.substring(text, 1, SAMPLE_CHARS))
-    grams = [F.regexp_extract_all(head, F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in (1, 2, 3)]
+    grams = [F.regexp_extract_all(F.lower(text), F.lit(f"(?s)(?=(.{{{n}}}))"), 1) for n in (1, 2, 3)]
     return F.concat(*grams)
 
 
 def _featured(df: DataFrame, text: str) -> DataFrame:
-    # Detection looks at the first 5 000 characters only.
     return df.withColumn("_grams", _ngrams(F.coalesce(F.col(text), F.lit(""))))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from codicil import fixed_values as fv
-from codicil.functions import paths
+from codicil.functions import paths, text
 from codicil.functions.queries import anchor_terms, reduce_meta_question
 from codicil.operators import context as ctx
 from codicil.operators import pins, retrieval
@@ -18,8 +18,6 @@ from codicil.session import materialise
 @dataclass(frozen=True)
 class Settings:
     max_docs: int = 5
-    min_score: float = fv.MIN_RELEVANCE_SCORE
-    ratio: float = 0.5
     max_tokens: int = fv.CONTEXT_MAX_TOKENS
     token_pins: int = fv.MAX_TOKEN_PINS
 
@@ -49,7 +47,10 @@ def ranked_context(queries: DataFrame, rewritten: DataFrame, docs: DataFrame, se
     best = retrieval.keyword_search(rewritten, docs, settings.max_docs, "path")
     hits = best.select("query_id", "rank", "path", "score").join(docs.select("path", "title", "content"), "path")
     probe = queries.select("query_id", F.array_join(anchor_terms(F.col("text")), " ").alias("text"))
-    found = retrieval.keyword_search(probe, docs, 10, "path").select("query_id", "path")
+    # The probe is tested on the hits themselves: whether a hit is grounded depends on no other document.
+    words = probe.select("query_id", F.explode(text.tokens(F.col("text"))).alias("word")).distinct()
+    held = best.select("query_id", "path").join(docs.select("path", F.explode(F.array_distinct(text.tokens(F.col("content")))).alias("word")), "path")
+    found = held.join(words, ["query_id", "word"], "left_semi").select("query_id", "path").distinct()
     return ctx.anchor_chunks(hits, queries, found)
 
 
@@ -80,13 +81,9 @@ def retrieve(
     unique = ctx.dedup_by_content(body)
     order = Window.partitionBy("query_id").orderBy("_rank")
     placed = unique.withColumnRenamed("rank", "_rank").withColumn("rank", F.row_number().over(order))
-    block = ctx.context_line(
-        F.col("rank"), F.col("title"), F.col("path"), F.col("content"), max_chars=None
-    )
-    short = ctx.context_line(F.col("rank"), F.col("title"), F.col("path"), F.col("content"))
-    lines = placed.select(
-        "query_id", "rank", "path", "pinned", F.when(F.col("pinned"), block).otherwise(short).alias("text")
-    )
+    # Whole contents; the token budget of the packing is the only bound.
+    block = ctx.context_line(F.col("rank"), F.col("title"), F.col("path"), F.col("content"), max_chars=None)
+    lines = placed.select("query_id", "rank", "path", "pinned", block.alias("text"))
     return ctx.pack_context(lines, settings.max_tokens).select(
         "query_id", F.col("rank").alias("position"), "path", paths.name(F.col("path")).alias("name"), "pinned", "truncated", "text"
     )
