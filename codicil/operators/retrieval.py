@@ -44,11 +44,21 @@ def document_frequency(docs: DataFrame, content: str = "content") -> DataFrame:
 def keyword_search(
     queries: DataFrame, docs: DataFrame, limit: int = 10, key: str = "id", content: str = "content"
 ) -> DataFrame:
-    """Best documents per query: (query_id, rank, key, score, matched)."""
-    scored = scoring.lexical_scores(queries, docs, key, content, limit)
+    """Best documents per query: (query_id, rank, key, score, matched).
+
+    A query without words is answered by the first ``limit`` documents in the order of
+    their keys, with score 0.
+    """
+    scored = scoring.lexical_scores(queries, docs, key, content, limit).unionByName(_first_documents(queries, docs, limit, key))
     return top_per_query(scored, limit, [F.desc("score"), F.asc(key)]).select("query_id", "rank", key, "score", "matched")
 
 
+def _first_documents(queries: DataFrame, docs: DataFrame, limit: int, key: str) -> DataFrame:
+    first = docs.select(key).orderBy(key).limit(limit).agg(F.sort_array(F.collect_list(key))).scalar()  # `limit` keys
+    blank = queries.where(F.size(tokens(F.coalesce("text", F.lit("")))) == 0)
+    return blank.select("query_id", F.explode(first).alias(key), F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("matched"))
+
+
 def count_matches(queries: DataFrame, docs: DataFrame, key: str = "id", content: str = "content") -> DataFrame:
     """(query_id, n): documents sharing a term with the query; all of them for an empty query."""
     wanted = query_terms(queries)

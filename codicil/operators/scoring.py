@@ -1,8 +1,9 @@
 """Scores of a block of queries against every document, one Arrow batch at a time.
 
-A batch of documents is tokenised and scored inside its map task and passes on
-only its best rows per query, so ranking shuffles no text, no postings and no
-query-document pairs: just ``limit`` rows per query and batch.
+A batch of documents is tokenised and scored inside its map task, which keeps its best
+rows per query while it runs and passes them on at its end.  So ranking shuffles no
+text, no postings and no query-document pairs: just ``limit`` rows per query and task.
+Both sides are lower-cased by the same JVM function before they are split into words.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -62,7 +64,7 @@ def query_blocks(queries: DataFrame, lexical: bool, vector: str | None) -> Itera
     n_blocks = 1 if is_small(queries, BLOCK_QUERIES) else -(-2 * queries.count() // BLOCK_QUERIES)
     wanted = queries.select(
         "query_id",
-        F.array_distinct(tokens(F.col("text"))).alias("terms") if lexical else F.array().cast("array<string>").alias("terms"),
+        F.array_distinct(tokens(F.coalesce("text", F.lit("")))).alias("terms") if lexical else F.array().cast("array<string>").alias("terms"),
         *([F.col(vector).alias("vector")] if vector else []),
     )
     for i in range(n_blocks):
@@ -82,8 +84,8 @@ def unit(rows: np.ndarray) -> np.ndarray:
 
 
 def _term_counts(texts: pa.Array, vocabulary: pa.Array):
-    """(document lengths, document numbers, term numbers, counts) of a batch."""
-    lists = pc.split_pattern_regex(pc.utf8_lower(pc.fill_null(texts, "")), pattern=TOKEN_BREAK)
+    """(document lengths, document numbers, term numbers, counts) of a batch of lower-cased texts."""
+    lists = pc.split_pattern_regex(pc.fill_null(texts, ""), pattern=TOKEN_BREAK)
     flat = lists.flatten()
     rows = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
     real = pc.not_equal(flat, "").to_numpy(zero_copy_only=False)
@@ -109,7 +111,7 @@ def add_statistics(block: Block, docs: DataFrame, content: str) -> None:
         seen = np.nonzero(total)[0]
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen])], ["term", "n"])
 
-    rows = docs.select(content).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    rows = docs.select(F.lower(content).alias(content)).mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
     found = np.zeros(len(vocabulary) + 2)
     for row in rows:
         found[row["term"]] = row["n"]
@@ -176,6 +178,40 @@ def _best(score: np.ndarray, valid: np.ndarray, limit: int | None):
     return np.nonzero(valid)
 
 
+class _Best:
+    """The best ``limit`` rows per query of one task, ties in the order of their keys."""
+
+    KEPT = 200_000
+
+    def __init__(self, names: list[str], limit: int | None) -> None:
+        self.names, self.limit, self.parts, self.rows = names, limit, [], 0
+
+    def add(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        if self.limit is None:
+            yield _renamed(batch, self.names)
+            return
+        self.parts.append(_renamed(batch, self.names))
+        self.rows += batch.num_rows
+        if self.rows > self.KEPT:
+            self._cut()
+            if self.rows > self.KEPT // 2:  # many queries: cut again only when that pays
+                self.KEPT = 2 * self.rows
+
+    def _cut(self) -> None:
+        table = pa.Table.from_batches(self.parts)
+        query, key = self.names[0], self.names[1]
+        order = pd.DataFrame({"q": table[query].to_pandas(), "s": -table["score"].to_numpy(), "k": table[key].to_pandas()})
+        order = order.sort_values(["q", "s", "k"], kind="stable")
+        taken = order.index[order.groupby("q", sort=False).cumcount() < self.limit]
+        self.parts = table.take(pa.array(taken.to_numpy())).combine_chunks().to_batches()
+        self.rows = len(taken)
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self._cut()
+            yield from self.parts
+
+
 def _types(queries: DataFrame, docs: DataFrame, key: str) -> str:
     return f"query_id {dict(queries.dtypes)['query_id']}, {key} {dict(docs.dtypes)[key]}"
 
@@ -207,11 +243,13 @@ def lexical_scores(queries: DataFrame, docs: DataFrame, key: str, content: str,
         add_statistics(block, docs, content)
 
         def score(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
+            best = _Best(names, limit)
             for keys, first, lex, matched, _, _ in _scored(batches, block, True, False):
                 d, q = _best(lex, matched > 0, limit)
-                yield _renamed(_rows(keys, block.ids, first, d, q, lex[d, q], matched[d, q].astype(np.int64)), names)
+                yield from best.add(_rows(keys, block.ids, first, d, q, lex[d, q], matched[d, q].astype(np.int64)))
+            yield from best.rest()
 
-        parts.append(docs.select(key, content).mapInArrow(score, schema))
+        parts.append(docs.select(key, F.lower(content).alias(content)).mapInArrow(score, schema))
     return _union(parts, docs, schema)
 
 
@@ -223,15 +261,17 @@ def vector_scores(queries: DataFrame, docs: DataFrame, key: str, vector: str, li
     for block in query_blocks(queries, False, "vector"):
 
         def score(batches: Iterator[pa.RecordBatch], block: Block = block) -> Iterator[pa.RecordBatch]:
+            best = _Best(names, limit)
             for keys, first, _, _, sem, present in _scored(batches, block, False, True):
                 d, q = _best(sem, np.broadcast_to(present[:, None], sem.shape), limit)
-                yield _renamed(_rows(keys, block.ids, first, d, q, sem[d, q]), names)
+                yield from best.add(_rows(keys, block.ids, first, d, q, sem[d, q]))
+            yield from best.rest()
 
         parts.append(docs.select(key, vector).mapInArrow(score, schema))
     return _union(parts, docs, schema)
 
 
-def _leg_bounds(block: Block, docs: DataFrame, columns: list[str], content: bool, vector: bool) -> np.ndarray:
+def _leg_bounds(block: Block, docs: DataFrame, columns: list, content: bool, vector: bool) -> np.ndarray:
     """Lowest and highest score of each leg per query, shape (4, queries)."""
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +314,7 @@ def blended_scores(
     and cuts; both are map-only over the corpus.
     """
     use_content, use_vector = ratio < 1.0, ratio > 0.0
-    columns = [key, *([content] if use_content else []), *([vector] if use_vector else [])]
+    columns = [key, *([F.lower(content).alias(content)] if use_content else []), *([vector] if use_vector else [])]
     names = ["query_id", key, "score"]
     schema = _types(queries, docs, key) + ", score double"
     parts = []
@@ -284,6 +324,7 @@ def blended_scores(
         edge = _leg_bounds(block, docs, columns, use_content, use_vector)
 
         def mix(batches: Iterator[pa.RecordBatch], block: Block = block, edge: np.ndarray = edge) -> Iterator[pa.RecordBatch]:
+            best = _Best(names, limit)
             for keys, first, lex, matched, sem, present in _scored(batches, block, use_content, use_vector):
                 shape = (lex if lex is not None else sem).shape
                 span = slice(first, first + shape[1])
@@ -300,7 +341,8 @@ def blended_scores(
                 if min_score is not None:
                     valid &= score >= min_score
                 d, q = _best(score, valid, limit)
-                yield _renamed(_rows(keys, block.ids, first, d, q, score[d, q]), names)
+                yield from best.add(_rows(keys, block.ids, first, d, q, score[d, q]))
+            yield from best.rest()
 
         parts.append(docs.select(*columns).mapInArrow(mix, schema))
     return _union(parts, docs, schema)

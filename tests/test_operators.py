@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codicil.operators import audit, changes, chunks, context, conversation, filters, pins, retrieval, verbatim
+from codicil.operators import audit, changes, chunks, context, conversation, filters, pins, retrieval, scoring, verbatim
 from codicil.operators import tasks as ops
 from codicil.plans.retrieve import retrieve
 from codicil.sources import readers, sinks
@@ -373,3 +373,21 @@ def test_sql_names(spark):
     assert spark.sql("SELECT fold('Été') f").first()["f"] == "ete"
     assert spark.sql(f"SELECT size(chunk_pieces('{'a' * 2000}')) n").first()["n"] == 2
     assert spark.sql(f"SELECT count(*) n FROM chunk_text('{'a' * 2000}')").first()["n"] == 2
+
+
+def test_search_folds_both_sides_alike_and_answers_blank_queries(spark):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(["ΟΔΟΣ Αθηνών", "İzmir limanı", "plain text", None])], "id long, content string")
+    asked = spark.createDataFrame([(1, "ΟΔΟΣ"), (2, "İzmir"), (3, " ?! "), (4, None)], "query_id long, text string")
+    got = {(r["query_id"], r["rank"], r["id"]) for r in retrieval.keyword_search(asked, docs, 2).collect()}
+    assert got == {(1, 1, 0), (2, 1, 1), (3, 1, 0), (3, 2, 1), (4, 1, 0), (4, 2, 1)}
+
+
+def test_a_task_passes_on_no_more_than_the_limit(spark, monkeypatch):
+    monkeypatch.setattr(scoring, "CELLS", 40 * 256)
+    monkeypatch.setattr(scoring._Best, "KEPT", 50)
+    docs = spark.range(3000).selectExpr("id", "concat('word ', id % 7) as content").repartition(3)
+    asked = spark.createDataFrame([(1, "word"), (2, "word 3"), (3, "5")], "query_id long, text string")
+    scored = scoring.lexical_scores(asked, docs, "id", "content", limit=4)
+    assert scored.count() <= 3 * 4 * 3
+    best = {(r["query_id"], r["id"]) for r in retrieval.keyword_search(asked, docs, 4).collect()}
+    assert best == {(1, i) for i in range(4)} | {(2, i) for i in (3, 10, 17, 24)} | {(3, i) for i in (5, 12, 19, 26)}
