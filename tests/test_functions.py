@@ -147,8 +147,8 @@ def test_config_intent(value, message, intent):
 
 @pytest.mark.parametrize(
     "message,small",
-    [("Bonjour !", True), ("Bonjour Zed !", True), ("Bonjour, quelles sont les échéances ?", False), ("merci", True),
-     ("員工請假規定", False), ("?!", True), ("ok parfait", True)],
+    [("Bonjour !", True), ("Bonjour Zed !", True), ("Bonjour, quels sont les horaires du bac ?", False), ("merci", True),
+     ("茶會報名規則", False), ("?!", True), ("ok parfait", True)],
 )
 def test_small_talk(value, message, small):
     assert value(turns.is_small_talk(F.col(T)), t=message) is small
@@ -156,9 +156,9 @@ def test_small_talk(value, message, small):
 
 @pytest.mark.parametrize(
     "message,kind",
-    [("Combien de pages contient-il ?", "followup"), ("Y a-t-il un document complet sur les congés payés de cette année ?", "new"),
-     ("reviens au premier document", "ordinal_first"), ("le dernier", "ordinal_last"), ("它的員工人數", "followup"),
-     ("第一個文件", "ordinal_first"), ("Le contrat de travail de la société", "new"), ("", "new")],
+    [("Combien de cartes montre-t-il ?", "followup"), ("Y a-t-il un relevé détaillé sur les marées du golfe de cette saison ?", "new"),
+     ("reviens au premier document", "ordinal_first"), ("le dernier", "ordinal_last"), ("它的座位數", "followup"),
+     ("第一個文件", "ordinal_first"), ("La carte des phares de la côte", "new"), ("", "new")],
 )
 def test_classify_turn(value, message, kind):
     assert value(turns.classify_turn(F.col(T)), t=message) == kind

@@ -213,34 +213,34 @@ def test_title_coverage_matches_brute_force(spark):
 @pytest.fixture(scope="module")
 def sources(spark):
     return spark.createDataFrame(
-        [(1, 1, "/d/en_invoice.md", "en_invoice", "# Invoice\nTotal 4200 USD"), (1, 2, "/d/en_receipt.md", "en_receipt", "Received on 12 May"),
-         (1, 3, "/d/百年淬鍊-第13.4版-20250312.pdf", "百年淬鍊-第13.4版-20250312", "# 百年淬鍊：玻璃\n員工 30 人"),
-         (1, 4, "/d/Ergonomie des interfaces - Dunod.pdf", "Ergonomie", "x")],
+        [(1, 1, "/d/harbour_fees.md", "harbour_fees", "# Harbour fees\nSum 7350 EUR"), (1, 2, "/d/mooring_slip.md", "mooring_slip", "Paid on 3 June"),
+         (1, 3, "/d/山城茶會-第6.2版-20230918.pdf", "山城茶會-第6.2版-20230918", "# 山城茶會：春茶\n座位 45 席"),
+         (1, 4, "/d/Tide tables of the coast - Kelpie.pdf", "Tides", "x")],
         "answer_id int, rank int, path string, title string, content string",
     )
 
 
 def test_citation_rules(spark, sources):
-    text = "See en_invoice.md, Dunod.pdf, 百年淬鍊.pdf, voice.md and ghost.txt."
+    text = "See harbour_fees.md, Kelpie.pdf, 山城茶會.pdf, ees.md and ghost.txt."
     got = audit.fabricated_citations(spark.createDataFrame([(1, text)], "answer_id int, text string"), sources)
-    assert rows(got, "candidate") == [("ghost.txt",), ("voice.md",)]
+    assert rows(got, "candidate") == [("ees.md",), ("ghost.txt",)]
     clean = audit.sanitize_citations(spark.createDataFrame([(1, "A ghost.txt, phantom.pdf end")], "answer_id int, text string"), sources).first()
     assert clean["text"] == "A [source non vérifiée retirée] end" and clean["n_removed"] == 2
 
 
 def test_roles(spark, sources):
     lines = [
-        "D'après en_receipt.md, le montant reçu s'élève à 4200 USD.", "C'est le premier document du contexte.",
-        "Le fichier s'intitule 百年淬鍊：玻璃.", "⚠️ Fiabilité : 1", "Il y a deux employés.", "Le troisième employé touche 3000.",
+        "D'après mooring_slip.md, la somme versée atteint 7350 EUR.", "C'est le premier document du contexte.",
+        "Le fichier s'intitule 山城茶會：春茶.", "⚠️ Fiabilité : 1", "On compte deux quais.", "Le troisième quai mesure 900.",
     ]
     found = audit.sentence_roles(spark.createDataFrame([(1, i, s) for i, s in enumerate(lines)], "answer_id int, sentence_no int, sentence string"), sources)
     assert [r[1] for r in rows(found, "sentence_no", "role")] == ["citation", "habillage", "echo_metadata", "notice", "affirmation", "affirmation"]
     flags = audit.attribute_digits(found, sources)
-    assert rows(flags, "sentence_no", "probable_source") == [(0, "en_invoice.md")]
+    assert rows(flags, "sentence_no", "probable_source") == [(0, "harbour_fees.md")]
 
 
 def test_grounding(spark, sources):
-    lines = ["Le total est de 4 200 USD pour la facture.", "Le total est de 4 300 USD pour la facture.", "La version 13.4 du 20250312 est la bonne."]
+    lines = ["La redevance du port est de 7 350 EUR.", "La redevance du port est de 7 450 EUR.", "La version 6.2 du 20230918 fait foi."]
     roles = audit.sentence_roles(spark.createDataFrame([(1, i, s) for i, s in enumerate(lines)], "answer_id int, sentence_no int, sentence string"), sources)
     assert [r[1] for r in rows(audit.ground_answers(roles, sources), "sentence_no", "supported")] == [True, False, True]
     summary = audit.grounding_summary(spark.createDataFrame([(1,), (2,)], "answer_id int"), audit.ground_answers(roles, sources))
@@ -276,7 +276,7 @@ def test_notices(spark):
 
 def test_referent_replay(spark):
     turns = [
-        (1, 0, "Parlons de ce contrat précis de la société", "/a", None), (1, 2, "Combien de pages contient-il ?", None, "/noise"),
+        (1, 0, "Parlons de cet atlas des côtes de Bretagne", "/a", None), (1, 2, "Combien de cartes montre-t-il ?", None, "/noise"),
         (1, 4, "Le règlement intérieur de la grande société cliente", None, "/b"), (1, 6, "reviens au premier document", None, None),
         (1, 8, "Et il dit quoi ?", None, None), (1, 10, "le dernier document", None, None), (2, 0, "il est où ?", None, "/z"),
     ]
