@@ -135,7 +135,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     graded = audit.ground_answers(_roles(spark, sf, sources := contexts(spark, sf)), sources)
-    return audit.grounding_summary(answers(spark, sf), graded).select("answer_id", "checked", "unsupported", "grounding_score")
+    return audit.grounding_summary(answers(spark, sf), graded, sources).select("answer_id", "checked", "unsupported", "grounding_score")
 
 
 _ATTR = """claim AS (SELECT answer_id, sentence_no, cited, n FROM roles JOIN (SELECT answer_id, sentence_no, count(*) AS n FROM toks GROUP BY ALL) USING (answer_id, sentence_no) WHERE role = 'citation'),

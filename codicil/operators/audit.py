@@ -14,7 +14,7 @@ from codicil.functions import answers as fa
 from codicil.functions import paths
 from codicil.functions import unicode as uc
 from codicil.functions.queries import structured_tokens
-from codicil.functions.text import markdown_headings, sentences
+from codicil.functions.text import is_blank, markdown_headings, sentences
 from codicil.operators.verbatim import bearers, by_group_size, digit_support
 from codicil.session import materialise
 
@@ -250,7 +250,8 @@ def ground_answers(
 def grounding_summary(answers: DataFrame, graded: DataFrame, contexts: DataFrame | None = None) -> DataFrame:
     """One row per answer: checked, unsupported, mean and weakest score.
 
-    An answer with nothing to check scores 1; without any context, 0.
+    An answer with nothing to check scores 1.  With ``contexts``, an answer without any
+    source that has content scores 0 and all that it claims is unsupported.
     """
     score = F.coalesce("score", F.lit(0.0))
     stats = graded.groupBy("answer_id").agg(
@@ -259,6 +260,11 @@ def grounding_summary(answers: DataFrame, graded: DataFrame, contexts: DataFrame
         F.avg(score).alias("_mean"),
         F.min(score).alias("_min"),
     )
+    if contexts is not None:
+        held = contexts.where(~is_blank(F.coalesce("content", F.lit("")))).select("answer_id").distinct().withColumn("_held", F.lit(True))
+        stats, bare = stats.join(held, "answer_id", "left"), F.col("_held").isNull()
+        stats = stats.withColumns({c: F.when(bare, F.lit(0.0)).otherwise(F.col(c)) for c in ("_mean", "_min")})
+        stats = stats.withColumn("unsupported", F.when(bare, F.col("checked")).otherwise(F.col("unsupported")))
     return answers.select("answer_id").join(stats, "answer_id", "left").select(
         "answer_id",
         F.coalesce("checked", F.lit(0)).alias("checked"),

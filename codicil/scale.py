@@ -52,3 +52,15 @@ def keep_first(df: DataFrame, keys: list[str], order: list[Column], row_id: list
         .select(*[F.col(f"_best._id{i}").alias(c) for i, c in enumerate(row_id)])
     )
     return df.join(winners, row_id, "left_semi")
+
+
+def winners(df: DataFrame, keys: list[str], highest: list[Column]) -> DataFrame:
+    """One row of each key: the highest in ``highest``, ties by a hash of the whole row.
+
+    A single aggregate, combined before the shuffle, so repeated and equal rows of a
+    very hot key leave exactly one row.  Rows equal in every column are the same row.
+    """
+    rest = [c for c in df.columns if c not in keys]
+    order = F.struct(*highest, F.xxhash64(*df.columns), *[F.col(c).cast("string") for c in rest])
+    best = df.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_best"))
+    return best.select(*keys, *[F.col("_best").getField(c).alias(c) for c in rest]).select(*df.columns)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from codicil import fixed_values as fv
 from codicil.functions.text import is_blank
-from codicil.scale import keep_first
+from codicil.scale import keep_first, winners
 
 
 def prepare_documents(batch: DataFrame, max_chars: int | None = None) -> DataFrame:
@@ -25,10 +25,15 @@ def latest_per_key(df: DataFrame, key: str, version: str, row_id: str) -> DataFr
     ).drop("_neg")
 
 
-def upsert_documents(target: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
-    """Target after the batch: rows of a written key are replaced, others kept."""
+def upsert_documents(target: DataFrame, batch: DataFrame, key: str = "id", version: str | None = None) -> DataFrame:
+    """Target after the batch: rows of a written key are replaced, others kept.
+
+    The batch holds one row per key, or ``version`` names the column whose highest
+    value wins (ties by a hash of the row).
+    """
     kept = target.join(batch.select(key), key, "left_anti")
-    return kept.unionByName(batch, allowMissingColumns=True)
+    written = winners(batch, [key], [F.col(version)]) if version else batch
+    return kept.unionByName(written, allowMissingColumns=True)
 
 
 def replace_chunks(target: DataFrame, doc_ids: DataFrame, new: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codicil.operators.chunks import chunk_documents
-from codicil.scale import keep_first
+from codicil.scale import winners
 from codicil.sources.sinks import prepare_documents
 from codicil.streaming.common import drain_batches
 
@@ -28,15 +28,18 @@ def discover(spark: SparkSession, folder: str, max_files: int = 1000) -> DataFra
 def ingest(stream: DataFrame, folder: str, chunk_columns: tuple[str, ...] = ()) -> None:
     """One document write and one chunk write per micro-batch.
 
-    ``stream`` holds doc_id, content and version.  Each micro-batch writes its
-    own epoch folder under documents/ and chunks/, so repeating a batch is
-    harmless; ``documents`` and ``chunks`` below show the newest state.
+    ``stream`` holds doc_id, content and version.  Of several rows of a document the
+    highest version counts, of equal versions one by a hash of the row.  Each
+    micro-batch writes its own epoch folder under chunks/ and then documents/, so
+    repeating a batch is harmless and a document shows only with its chunks;
+    ``documents`` and ``chunks`` below show the newest state.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        ready = prepare_documents(keep_first(batch, ["doc_id"], [-F.col("version")], ["doc_id", "version"]))
-        ready.write.mode("overwrite").parquet(f"{folder}/documents/epoch={epoch}")
+        ready = prepare_documents(winners(batch, ["doc_id"], [F.col("version")])).persist()
         chunk_documents(ready, keep=chunk_columns).write.mode("overwrite").parquet(f"{folder}/chunks/epoch={epoch}")
+        ready.write.mode("overwrite").parquet(f"{folder}/documents/epoch={epoch}")
+        ready.unpersist()
 
     drain_batches(stream, write, checkpoint=f"{folder}/checkpoint")
 

@@ -391,3 +391,11 @@ def test_a_task_passes_on_no_more_than_the_limit(spark, monkeypatch):
     assert scored.count() <= 3 * 4 * 3
     best = {(r["query_id"], r["id"]) for r in retrieval.keyword_search(asked, docs, 4).collect()}
     assert best == {(1, i) for i in range(4)} | {(2, i) for i in (3, 10, 17, 24)} | {(3, i) for i in (5, 12, 19, 26)}
+
+
+def test_one_row_of_each_key_wins(spark):
+    batch = spark.createDataFrame([(1, "a", 5), (1, "b", 5), (1, "c", 4), (2, "d", 1), (2, "d", 1)], "id int, content string, version int")
+    target = spark.createDataFrame([(1, "old", 0), (3, "kept", 0)], "id int, content string, version int")
+    got = {r["id"]: r["content"] for r in sinks.upsert_documents(target, batch, version="version").collect()}
+    assert set(got) == {1, 2, 3} and got[1] in ("a", "b") and got[2] == "d" and got[3] == "kept"
+    assert sinks.upsert_documents(target, batch, version="version").count() == 3
