@@ -450,12 +450,12 @@ def _(spark, sf):
 
 @query(
     "markdown_headings",
-    r"""SELECT page_id, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(regexp_replace(html, '<h1>', chr(10) || '# ', 'g'),
+    r"""SELECT page_id, unnest(list_distinct(list_filter(list_transform(regexp_extract_all(replace(replace(html, '<h1>', chr(10) || '# '), '</h1>', chr(10)),
  '(?m)^#{1,6}\s*([^\n]+)$', 1), lambda h: trim(h)), lambda h: length(h) BETWEEN 4 AND 200))) AS heading FROM pages""",
 )
 def _(spark, sf):
-    # A page's <h1> becomes a Markdown heading.
-    marked = F.regexp_replace("html", "<h1>", "\n# ")
+    # A page's <h1> becomes a Markdown heading, a line of its own.
+    marked = F.regexp_replace(F.regexp_replace("html", "<h1>", "\n# "), "</h1>", "\n")
     return table(spark, sf, "pages").select("page_id", F.explode(text.markdown_headings(marked)).alias("heading"))
 
 

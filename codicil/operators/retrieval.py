@@ -112,13 +112,15 @@ def similar_terms(wanted: DataFrame, vocabulary: DataFrame) -> DataFrame:
     checked with the exact distance.
     """
     terms = wanted.select("term").distinct().withColumn("allowed", _allowed_typos(F.col("term")))
+    # Longer words are out of reach of every query word, so their forms are never built.
+    longest = terms.agg(F.coalesce(F.max(F.length("term")), F.lit(0))).scalar()
     pairs = []
     for depth in (0, 1, 2):
         left = terms.where(F.col("allowed") == depth).select(
             "term", "allowed", F.explode(_deletions(F.col("term"), depth)).alias("form")
         )
         least = {0: 1, 1: 3, 2: 6}[depth]
-        right = vocabulary.where(F.length("found") >= least).select(
+        right = vocabulary.where((F.length("found") >= least) & (F.length("found") <= longest + depth)).select(
             "found", F.explode(_deletions(F.col("found"), depth)).alias("form")
         )
         pairs.append(right.join(small_or_shuffled(left), "form").select("term", "found", "allowed"))
