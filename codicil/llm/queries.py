@@ -18,7 +18,7 @@ from codicil.session import work_folder
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-SHARD_BYTES = 256 << 10  # of text; a hundredth of what a shard would hold in production, as the tables are smaller too
+SHARD_BYTES = 1 << 20  # of text
 
 
 def query(name: str, oracle: str | None = None) -> Callable:
