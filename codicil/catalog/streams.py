@@ -9,6 +9,7 @@ from codicil.catalog.base import query
 from codicil.catalog.tables import table
 from codicil.functions.turns import classify_turn
 from codicil.session import work_folder
+from codicil.sources import readers
 from codicil.streaming import common, ingest, state, windows
 
 ORDER = "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, o_orderdate TIMESTAMP, o_orderpriority STRING"
@@ -64,13 +65,8 @@ def _(spark, sf):
     return spark.read.schema("request_id long, burst_start long, tokens long").parquet(target)
 
 
-@query(
-    "stream_log_metrics",
-    """SELECT epoch_us(date_trunc('hour', ts)) AS window_start, event_type AS backend, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS failures,
- avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS mean_ms FROM events GROUP BY ALL""",
-)
-def _(spark, sf):
-    """Events rewritten as JSON log lines by Spark, then tailed as a log."""
+def _log_folder(spark, sf):
+    """Events as JSON log lines."""
     lines = table(spark, sf, "events").select(
         F.to_json(F.struct(
             F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("timestamp"), F.lit("INFO").alias("level"), F.lit("perf").alias("module"),
@@ -83,6 +79,33 @@ def _(spark, sf):
     )
     folder = work_folder(spark, "log")
     lines.write.text(folder)
+    return folder
+
+
+@query(
+    "logs",
+    """SELECT event_type AS backend, count(*) AS lines, count(*) FILTER (WHERE event_type = 'error') AS failures,
+ round(sum(CAST(json_extract_string(props, '$.k') AS DOUBLE)), 3) AS total_ms, 0 AS unreadable, epoch_us(max(ts)) AS last FROM events GROUP BY event_type
+ UNION ALL SELECT NULL, 1, 0, NULL, 1, NULL""",
+)
+def _(spark, sf):
+    """The same log read as a table, with one line that cannot be read."""
+    folder = _log_folder(spark, sf)
+    spark.range(1).select(F.lit("{not json").alias("value")).write.mode("append").text(folder)
+    return readers.read_logs(spark, folder).groupBy(F.col("metadata.backend").alias("backend")).agg(
+        F.count("*").alias("lines"), F.count_if(~F.col("metadata.success")).alias("failures"),
+        F.round(F.sum("metadata.duration_ms"), 3).alias("total_ms"), F.count("_corrupt_record").alias("unreadable"), _micro(F.max("timestamp")).alias("last"),
+    )
+
+
+@query(
+    "stream_log_metrics",
+    """SELECT epoch_us(date_trunc('hour', ts)) AS window_start, event_type AS backend, count(*) AS requests, count(*) FILTER (WHERE event_type = 'error') AS failures,
+ avg(CAST(json_extract_string(props, '$.k') AS DOUBLE)) AS mean_ms FROM events GROUP BY ALL""",
+)
+def _(spark, sf):
+    """Events rewritten as JSON log lines by Spark, then tailed as a log."""
+    folder = _log_folder(spark, sf)
     logs = common.file_stream(spark, folder, schemas.LOG_LINE, fmt="json")
     found = common.latest_updates(windows.log_metrics(logs).drop("quantiles"), ["window", "backend"])
     return found.select(_micro("window.start").alias("window_start"), "backend", "requests", "failures", "mean_ms")
