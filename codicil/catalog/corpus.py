@@ -9,6 +9,7 @@ from codicil.catalog.tables import CORPUS, FILES, corpus, files, table
 from codicil.functions import paths, text
 from codicil.functions import unicode as uc
 from codicil.operators import chunks as ch
+from codicil.session import work_folder
 from codicil.sources import readers, sinks
 
 CJK_FROM, CJK_TO = "abcdefghijklmnopqrstuvwxyz", "甲乙丙丁戊己庚辛壬癸子丑寅卯辰巳午未申酉戌亥天地玄黄"
@@ -35,6 +36,21 @@ def _(spark, sf):
     )
 
 
+@query(
+    "code_files",
+    """SELECT o_orderstatus AS folder, 'csv' AS programming_language, 'utf-8' AS encoding, count(*) AS lines, count(*) AS words,
+ CAST(sum(length(o_orderkey::VARCHAR) + length(o_custkey::VARCHAR) + 2) AS BIGINT) AS characters FROM orders GROUP BY o_orderstatus""",
+)
+def _(spark, sf):
+    """Orders written as CSV files by Spark, a folder for each status, and read as source files."""
+    folder = work_folder(spark, "code")
+    table(spark, sf, "orders").select("o_orderstatus", "o_orderkey", "o_custkey").write.partitionBy("o_orderstatus").csv(folder)
+    found = readers.read_code_files(spark, folder)
+    return found.groupBy(F.regexp_extract("path", "o_orderstatus=([^/]+)", 1).alias("folder"), "programming_language", "encoding").agg(
+        F.sum(F.col("line_count") - 1).alias("lines"), F.sum("word_count").alias("words"), F.sum(F.length("text")).alias("characters")
+    )
+
+
 @query(
     "json_docs",
     """SELECT event_id, len(json_keys(props)) AS keys_count, 2 + 2 * len(json_keys(props)) AS word_count,
