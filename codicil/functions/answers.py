@@ -47,11 +47,6 @@ def digit_tokens(text: Column) -> Column:
     )
 
 
-def missing_digits(sentence_tokens: Column, context_tokens: Column) -> Column:
-    """Tokens contained in no context token (one row already holds both sides)."""
-    return F.filter(sentence_tokens, lambda t: ~F.exists(context_tokens, lambda c: F.contains(c, t)))
-
-
 def citations(text: Column) -> Column:
     """Distinct file-like references in reading order."""
     return F.array_distinct(F.regexp_extract_all(text, F.lit(fv.CITATION), 0))

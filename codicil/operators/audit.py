@@ -35,11 +35,6 @@ def _names() -> Column:
     return F.filter(names, lambda n: n != "")
 
 
-def allowed_names(contexts: DataFrame) -> DataFrame:
-    """(answer_id, path, known): the names a source may be cited under."""
-    return contexts.select("answer_id", "path", F.explode(_names()).alias("known"))
-
-
 def _known_keys() -> Column:
     """Every string under which a citation counts as naming a source row.
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codicil import fixed_values as fv
@@ -50,23 +50,25 @@ def deleted_under_live_roots(diff: DataFrame, live_roots: DataFrame) -> DataFram
     return under_roots(diff.where("change_type = 'deleted'"), live_roots)
 
 
+def _rows(df: DataFrame) -> Column:
+    """The number of rows as a scalar subquery: decided when the query runs, not while it is built."""
+    return df.agg(F.count("*")).scalar()
+
+
 def out_of_scope(df: DataFrame, roots: DataFrame, path: str = "path") -> DataFrame:
     """Paths under no configured root; without roots nothing is out of scope."""
-    if roots.isEmpty():
-        return df.limit(0)
-    return df.join(under_roots(df.select(path), roots, path), path, "left_anti")
+    outside = df.join(under_roots(df.select(path), roots, path), path, "left_anti")
+    return outside.where(_rows(roots) > 0)
 
 
 def within_roots(df: DataFrame, roots: DataFrame, path: str = "path") -> DataFrame:
     """Allow-list at ingest; without roots everything is allowed."""
-    return df if roots.isEmpty() else under_roots(df, roots, path)
+    return df.where(_rows(roots) == 0).unionByName(under_roots(df, roots, path))
 
 
 def reconcile_orphans(seen: DataFrame, indexed: DataFrame, key: str = "doc_id") -> DataFrame:
     """Unchanged files missing from the index; an empty inventory disables it."""
-    if indexed.isEmpty():
-        return seen.limit(0)
-    return seen.join(indexed.select(key), key, "left_anti")
+    return seen.join(indexed.select(key), key, "left_anti").where(_rows(indexed) > 0)
 
 
 def drop_exhausted(files: DataFrame, failures: DataFrame, max_retries: int = fv.MAX_RETRIES) -> DataFrame:
@@ -167,7 +169,7 @@ def group_by_parent(df: DataFrame, path: str = "path") -> DataFrame:
     """
     rows = df.select(paths.parent(F.col(path)).alias("parent"), F.col(path).alias("path"))
     counts = rows.groupBy("parent").agg(F.count("*").alias("n_paths"))
-    return rows.join(small_or_shuffled(counts), "parent")
+    return rows.join(counts, "parent")
 
 
 def scan_summary(changes: DataFrame) -> DataFrame:

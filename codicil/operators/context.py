@@ -86,16 +86,6 @@ def context_line(rank: Column, title: Column, path: Column, content: Column, cat
     )
 
 
-def chunk_line(rank: Column, title: Column, index: Column, total: Column, path: Column, content: Column) -> Column:
-    head = F.format_string("[%d] %s [Part %d/%d]", rank, title, index + 1, total)
-    return F.concat_ws(
-        "\n",
-        head,
-        F.when(F.coalesce(path, F.lit("")) != "", F.concat(F.lit("    Source: "), path)),
-        F.when(F.coalesce(content, F.lit("")) != "", F.concat(F.lit("    Content: "), content)),
-    )
-
-
 def section_header(kind: str = "documents") -> str:
     rule = "=" * fv.CONTEXT_RULE_WIDTH
     lead = "The following documents from your local files may be relevant:"

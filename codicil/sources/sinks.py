@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codicil import fixed_values as fv
 from codicil.functions.text import is_blank
 from codicil.scale import keep_first, winners
 
@@ -117,5 +116,3 @@ class Publication:
     def read(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{self.live}")
 
-
-STORED_CHARS = fv.STORED_CONTENT_CHARS
