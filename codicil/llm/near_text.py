@@ -221,9 +221,9 @@ def class_links(documents: DataFrame, classes: DataFrame, width: int, similarity
     signed = stage(classes.select("node", "n_shingles", "sketch", "parity").join(prefixes, "node"), "signed")
     sets = stage(_sets(documents, classes, posted, width, id_column, text_column), "sets")
 
-    links = open_lists = None
+    links, open_lists = None, posted.withColumn("component", F.col("node"))
     for turn in range(STAR_ROUNDS):
-        found = _confirmed(_signed_pairs(_stars(open_lists or posted, turn), signed, similarity), sets, similarity)
+        found = _confirmed(_signed_pairs(_stars(open_lists, turn), signed, similarity), sets, similarity)
         links = stage(found if links is None else links.unionAll(found), "star-links")
         open_lists = _open_lists(posted, links)
     rest = stage(open_lists.join(signed, "node"), "open-lists")
@@ -235,10 +235,12 @@ def class_links(documents: DataFrame, classes: DataFrame, width: int, similarity
 
 
 def _stars(lists: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each member of a list with the list's pivots, each pair once."""
-    marks = [F.min_by("node", F.xxhash64("node", "key", F.lit(turn * PIVOTS + i))) for i in range(PIVOTS)]
+    """Pairs of each member of a list with the list's pivots of other components, each pair once."""
+    member = F.struct("node", "component")
+    marks = [F.min_by(member, F.xxhash64("node", "key", F.lit(turn * PIVOTS + i))) for i in range(PIVOTS)]
     pivots = lists.groupBy("key").agg(F.array_distinct(F.array(*marks)).alias("pivots"))
-    pairs = lists.join(pivots, "key").select("node", F.explode("pivots").alias("pivot")).where("node != pivot")
+    other = F.filter("pivots", lambda p: p["component"] != F.col("component"))
+    pairs = lists.join(pivots, "key").select("node", F.explode(other).alias("pivot")).select("node", F.col("pivot.node").alias("pivot"))
     return pairs.select(F.least("node", "pivot").alias("left"), F.greatest("node", "pivot").alias("right")).distinct()
 
 
