@@ -10,9 +10,9 @@
 4. Each posting list links its members to a few pivots of the list.  A pair goes on
    if its signatures agree in ``MATCHES`` coordinates, its sizes allow the similarity
    and its parity sketches do (below), and is then confirmed on the full sets.
-5. This is repeated with other pivots in lists whose members are not yet in one
-   component.  Such lists then give the pairs across components, under the same
-   condition and each pair in its first list only; these are confirmed as well.
+5. Lists whose members are not yet in one component give the pairs across components,
+   under the same condition and each pair in its first list only; these are confirmed
+   as well.
 
 So no list yields all of its pairs: members already connected are never compared
 again, and of others only pairs that are links or nearly so come out.
@@ -41,7 +41,6 @@ COORDINATES = 32
 MATCHES = 16
 PARITY_BITS = 1024
 PIVOTS = 3
-STAR_ROUNDS = 2
 CACHED_WORDS = 200_000
 
 _GOLDEN = 0x9E3779B97F4A7C15
@@ -221,11 +220,9 @@ def class_links(documents: DataFrame, classes: DataFrame, width: int, similarity
     signed = stage(classes.select("node", "n_shingles", "sketch", "parity").join(prefixes, "node"), "signed")
     sets = stage(_sets(documents, classes, posted, width, id_column, text_column), "sets")
 
-    links, open_lists = None, posted.withColumn("component", F.col("node"))
-    for turn in range(STAR_ROUNDS):
-        found = _confirmed(_signed_pairs(_stars(open_lists, turn), signed, similarity), sets, similarity)
-        links = stage(found if links is None else links.unionAll(found), "star-links")
-        open_lists = _open_lists(posted, links)
+    starred = _signed_pairs(_stars(posted), signed, similarity)
+    links = stage(_confirmed(starred, sets, similarity), "star-links")
+    open_lists = _open_lists(posted, links)
     rest = stage(open_lists.join(signed, "node"), "open-lists")
     first_key = F.array_min(F.array_intersect("a.prefix", "b.prefix")) == F.col("a.key")
     same_list = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component"))
@@ -234,13 +231,11 @@ def class_links(documents: DataFrame, classes: DataFrame, width: int, similarity
     return stage(links.unionAll(_confirmed(across, sets, similarity)), "links")
 
 
-def _stars(lists: DataFrame, turn: int) -> DataFrame:
-    """Pairs of each member of a list with the list's pivots of other components, each pair once."""
-    member = F.struct("node", "component")
-    marks = [F.min_by(member, F.xxhash64("node", "key", F.lit(turn * PIVOTS + i))) for i in range(PIVOTS)]
+def _stars(lists: DataFrame) -> DataFrame:
+    """Pairs of each member of a list with the list's pivots, each pair once."""
+    marks = [F.min_by("node", F.xxhash64("node", "key", F.lit(i))) for i in range(PIVOTS)]
     pivots = lists.groupBy("key").agg(F.array_distinct(F.array(*marks)).alias("pivots"))
-    other = F.filter("pivots", lambda p: p["component"] != F.col("component"))
-    pairs = lists.join(pivots, "key").select("node", F.explode(other).alias("pivot")).select("node", F.col("pivot.node").alias("pivot"))
+    pairs = lists.join(pivots, "key").select("node", F.explode("pivots").alias("pivot")).where("node != pivot")
     return pairs.select(F.least("node", "pivot").alias("left"), F.greatest("node", "pivot").alias("right")).distinct()
 
 
