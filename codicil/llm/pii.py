@@ -2,7 +2,8 @@
 
 Everything runs on built-in functions.  The base patterns find e-mail addresses,
 IPv4 addresses, card numbers and phone numbers.  These are the seeds of a
-bootstrapping step: the word before a seed is a lexical pattern; a pattern is as
+bootstrapping step: the word before a seed, the seed's number of tokens and whether
+it has a digit are a lexical pattern (with any white space, ":" or "=" between); a pattern is as
 good as the instances it introduces, an unseen identifier as good as the patterns
 that introduce it.  Both scores are computed a few times in turn over the graph of
 patterns and instances, and the identifiers that trusted patterns introduce are
@@ -21,12 +22,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codicil.llm.shared import stage
+from codicil.scale import small_or_shuffled
 
 KINDS = ("email", "ip", "card", "phone")
 CONTEXT = "context"
 ROUNDS = 3
 MIN_SEEDS = 5
 MIN_SCORE = 0.8
+MIN_SHARE = 0.5  # of a pattern's occurrences that are seeds: distinct words run out as a corpus grows, identifiers do not
+LIKELY_SHARE = 0.1  # the same, roughly, before overlaps are known
 
 # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
 _EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -36,8 +40,12 @@ _IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 _CARD = r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){15,}+"
 # \+[0-9][\x20().0-9-]+[0-9]
 _PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-# A word, a blank, and (ahead) an identifier: a run of 6 to 64 characters with a digit.
-_CONTEXT = r"(?<!\S)(\S{1,40}+)\x20(?=([^\s0-9]{0,32}+[0-9]\S{0,63}+)(?!\S))"
+# Where a piece of text starts: after white space, ":" or "=".
+_STARTS = r"(?<=[\s:=])(?![\s:=])"
+_TOKEN_STARTS = r"(?<=\s)(?=\S)"
+_SPACE = " \t\n\x0b\f\r"
+_OPENING, _CLOSING = "\"'`([{<*_~|", ".,;!?\"'`)]}>*_~|"
+_AHEAD = 64  # pieces that an instance is looked for in
 
 _PATTERNS = {"email": _EMAIL, "ip": _IP, "card": _CARD, "phone": _PHONE}
 _BLOCK = 256
@@ -73,35 +81,54 @@ def _test(kind: str) -> Callable[[Column], Column]:
     return lambda s: _accepted(kind, s["text"])
 
 
-def _located(df: DataFrame, name: str, pattern: str, possible: Column, group: int = 0) -> DataFrame:
-    """Adds ``name``: array of (start, end, text) of the pattern's matches in column ``_text``.
-
-    With ``group`` 2 the end of the whole match is taken for the start of that group
-    (a group that the pattern only looks ahead to).
-    """
+def _located(df: DataFrame, name: str, pattern: str, possible: Column) -> DataFrame:
+    """Adds ``name``: array of (start, end, text, word) of the pattern's matches in column ``_text``; see ``_word_before``."""
     text, none = F.col("_text"), F.array().cast("array<string>")
     df = df.withColumn("_found", F.when(possible, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
     some = F.size("_found") > 0
-    df = df.withColumn("_own", F.when(some, F.regexp_extract_all(text, F.lit(pattern), F.lit(group))).otherwise(none) if group else F.col("_found"))
     df = df.withColumn("_pieces", F.when(some, F.split(text, pattern, -1)).otherwise(none))
     steps = F.zip_with(F.slice("_pieces", 1, F.size("_found")), F.col("_found"), lambda p, m: F.length(p) + F.length(m))
     df = df.withColumn("_steps", F.when(some, steps).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn("_blocks", F.when(some, _block_sums("_steps")).otherwise(F.array().cast("array<int>")))
 
-    def total(part: Column) -> Column:
-        return F.aggregate(part, F.lit(0), lambda a, x: a + x)
+    def span(own: Column, i: Column) -> Column:
+        start = _sum_before("_steps", "_blocks", i) + F.length(F.get("_pieces", i))
+        before = F.concat(F.when(i > 0, F.get("_found", i - 1)).otherwise(F.lit("")), F.get("_pieces", i))
+        return F.struct(start.alias("start"), (start + F.length(own)).alias("end"), own.alias("text"), _word_before(before).alias("word"))
 
-    last = F.floor((F.size("_steps") - 1) / _BLOCK).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), last), lambda b: total(F.slice("_steps", F.lit(1), b * _BLOCK)))
-    df = df.withColumn("_blocks", F.when(some, blocks).otherwise(F.array().cast("array<int>")))
+    df = df.withColumn(name, F.transform("_found", span))
+    return df.drop("_found", "_pieces", "_steps", "_blocks")
 
-    def span(own: Column, i: Column) -> Column:
-        block = F.floor(i / _BLOCK).cast("int")
-        before = F.get("_blocks", block) + total(F.slice("_steps", block * _BLOCK + 1, i - block * _BLOCK))
-        start = before + (F.get("_steps", i) if group else F.length(F.get("_pieces", i)))
-        return F.struct(start.alias("start"), (start + F.length(own)).alias("end"), own.alias("text"))
 
-    df = df.withColumn(name, F.transform("_own", span))
-    return df.drop("_found", "_own", "_pieces", "_steps", "_blocks")
+def _total(part: Column) -> Column:
+    return F.aggregate(part, F.lit(0), lambda a, x: a + x)
+
+
+def _block_sums(steps: str) -> Column:
+    """Sums of the array's first 0, 1, 2 ... whole blocks."""
+    last = F.floor((F.size(steps) - 1) / _BLOCK).cast("int")
+    own = F.transform(F.sequence(F.lit(0), last), lambda b: _total(F.slice(steps, b * _BLOCK + 1, F.lit(_BLOCK))))
+    start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("sums"))
+    return F.aggregate(own, start, lambda a, x: F.struct((a["sum"] + x).alias("sum"), F.concat(a["sums"], F.array(a["sum"])).alias("sums")))["sums"]
+
+
+def _sum_before(steps: str, blocks: str, i: Column) -> Column:
+    block = F.floor(i / _BLOCK).cast("int")
+    return F.get(blocks, block) + _total(F.slice(steps, block * _BLOCK + 1, i - block * _BLOCK))
+
+
+def _word(piece: Column) -> Column:
+    """A piece of text as a lexical pattern: lower case, bare of punctuation but a closing ":" or "=" (of marks alone, the marks)."""
+    marks = F.rtrim(piece, F.lit(_SPACE))
+    bare = F.lower(F.ltrim(F.rtrim(marks, F.lit(_CLOSING + _SPACE)), F.lit(_OPENING)))
+    return F.when(bare == "", marks).otherwise(bare)
+
+
+def _word_before(before: Column) -> Column:
+    """The word that ends ``before``, null where there is none or more than opening marks stand behind it."""
+    pieces = F.split(before, _STARTS, -1)
+    own = F.when(F.size(pieces) > 1, F.element_at(F.slice(pieces, -2, 1), 1))
+    return F.when(F.ltrim(F.element_at(pieces, -1), F.lit(_OPENING)) == "", _word(own))
 
 
 def base_spans(documents: DataFrame, keep: list[str], text_column: str = "text") -> DataFrame:
@@ -117,20 +144,59 @@ def base_spans(documents: DataFrame, keep: list[str], text_column: str = "text")
     return df
 
 
-def _with_contexts(df: DataFrame) -> DataFrame:
-    """Adds ``_seen``: identifiers after a word, with the word and whether a base span covers them."""
-    df = _located(df, "_ahead", _CONTEXT, F.col("_text").rlike("[0-9]"), group=2)
-    df = df.withColumn("_words", F.when(F.size("_ahead") > 0, F.regexp_extract_all("_text", F.lit(_CONTEXT), F.lit(1))).otherwise(F.array().cast("array<string>")))
-    base = F.concat(*[F.col(f"_{k}") for k in KINDS])
-    df = df.withColumn("_base", base)
+def _tokens(text: Column) -> Column:
+    return F.split(text, _TOKEN_STARTS, -1)
+
 
-    def seen(span: Column, word: Column) -> Column:
-        seed = F.exists("_base", lambda b: (b["start"] < span["end"]) & (span["start"] < b["end"]))
-        pattern = F.lower(F.regexp_replace(word, r"^[^\p{L}]+|[^\p{L}:=#]+$", ""))
-        return F.struct(span["start"].alias("start"), span["end"].alias("end"), span["text"].alias("instance"), pattern.alias("pattern"), seed.alias("seed"))
+def _seeds(found: DataFrame) -> DataFrame:
+    """``pattern, instance`` of the base spans that a word introduces."""
+    spans = found.select(F.explode("_seeds").alias("s")).where("s.word is not null and s.word != ''")
+    pattern = F.struct(F.col("s.word").alias("word"), F.size(_tokens(F.col("s.text"))).alias("tokens"), F.col("s.text").rlike("[0-9]").alias("digits"))
+    return spans.select(pattern.alias("pattern"), F.col("s.text").alias("instance"))
 
-    df = df.withColumn("_seen", F.zip_with("_ahead", "_words", seen))
-    return df.withColumn("_seen", F.filter("_seen", lambda s: (F.length(s["instance"]) >= 6) & (s["pattern"] != ""))).drop("_ahead", "_words", "_base")
+
+def _once(value: Column, function: Callable[[Column], Column]) -> Column:
+    """``function`` of a value that is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), function), F.lit(0))
+
+
+def _places(documents: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``id, text_hash, _parts, at, word, tokens, digits`` wherever the word of a pattern stands (the piece numbered ``at``).
+
+    ``digits``: whether the ``tokens`` pieces behind hold one; null if a line ends among them.
+    """
+    df = documents.select("id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
+    df = df.select("id", F.xxhash64("_text").alias("text_hash"), F.split("_text", _STARTS, -1).alias("_parts"))
+    words = F.transform(F.slice("_parts", F.lit(1), F.size("_parts") - 1), _word)
+    df = df.select("id", "text_hash", "_parts", F.posexplode(words).alias("at", "word"))
+    df = df.join(small_or_shuffled(patterns.select("word", "tokens").distinct()), "word")
+    ahead = F.rtrim(F.array_join(F.slice("_parts", F.col("at") + 2, F.col("tokens")), ""), F.lit(_SPACE))
+    return df.withColumn("digits", _once(ahead, lambda r: F.when(~r.contains("\n") & ~r.contains("\t"), r.rlike("[0-9]"))))
+
+
+def _counts(documents: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``word, tokens, digits, places``: how often a word stands before so many pieces, by whether these hold a digit."""
+    return _places(documents, patterns).groupBy("word", "tokens", "digits").agg(F.count("*").alias("places"))
+
+
+def _introduced(documents: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``id, text_hash, pattern, start, instance`` wherever one of ``patterns`` introduces something.
+
+    A pattern is a word, a number of tokens and whether they hold a digit; it introduces
+    as many tokens as that behind each place where the word occurs, with blanks between
+    them and without the marks around them.  One scan; only a text's hits leave the task.
+    """
+    kinds = small_or_shuffled(patterns.select("word", "tokens", "digits"))
+    df = _places(documents, patterns).join(kinds, ["word", "tokens", "digits"], "left_semi")  # before the costly part
+    last = F.floor(F.col("at") / _BLOCK).cast("int")
+    df = df.withColumn("_tail", _tokens(F.array_join(F.slice("_parts", F.col("at") + 2, F.lit(_AHEAD)), ""))).where(F.size("_tail") >= F.col("tokens"))
+    df = df.withColumn("_raw", F.rtrim(F.array_join(F.slice("_tail", F.lit(1), F.col("tokens")), ""), F.lit(_CLOSING + _SPACE + ":")))
+    df = df.withColumn("instance", F.ltrim("_raw", F.lit(_OPENING)))
+    df = df.where(F.col("instance").rlike(r"[\p{L}\p{N}]") & ~F.col("instance").rlike(r"[\t\n\x0B\f\r]"))
+    lengths = F.transform(F.sequence(F.lit(0), last), lambda b: F.when(b < last, F.length(F.array_join(F.slice("_parts", b * _BLOCK + 1, F.lit(_BLOCK)), ""))).otherwise(F.lit(0)))
+    rest = F.length(F.array_join(F.slice("_parts", last * _BLOCK + 1, F.col("at") - last * _BLOCK + 1), ""))
+    start = _total(lengths) + rest + F.length("_raw") - F.length("instance")
+    return df.select("id", "text_hash", F.struct("word", "tokens", "digits").alias("pattern"), start.alias("start"), "instance")
 
 
 def bootstrap(seen: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_score: float = MIN_SCORE) -> DataFrame:
@@ -167,21 +233,38 @@ def find_personal_data(documents: DataFrame, id_column: str = "doc_id", text_col
     Rows equal in id and text have equal results and are returned as often as they
     occur; an empty table gives no rows; other columns are not read.
     """
-    df = base_spans(documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")), ["id"])
-    df = _with_contexts(df)
+    texts = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    df = base_spans(texts, ["id"])
     found = stage(
         df.select(
-            F.col("c0").alias("id"), F.xxhash64("_text").alias("text_hash"), F.length("_text").alias("n_chars"),
-            *[F.transform(f"_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS], "_seen",
+            F.col("c0").alias("id"), F.xxhash64("_text").alias("text_hash"),
+            *[F.transform(f"_{k}", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))).alias(k) for k in KINDS],
+            F.concat(*[F.transform(f"_{k}", lambda s: F.struct(s["word"].alias("word"), s["text"].alias("text"))) for k in KINDS]).alias("_seeds"),
         ),
         "personal-data",
     )
-    seen = found.select("id", "text_hash", F.explode("_seen").alias("s")).select("id", "text_hash", "s.*")
-    trusted = bootstrap(seen.select("pattern", "instance", "seed"))
-    hits = seen.where(~F.col("seed")).join(trusted, ["pattern", "instance"]).select("id", "text_hash", F.struct("start", "end").alias("span"))
-    by_text = hits.groupBy("id", "text_hash").agg(F.sort_array(F.collect_set("span")).alias(CONTEXT))  # of one text
-    by_text = by_text.select(F.col("id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), CONTEXT)
+    seeds = _seeds(found)
+    counts = seeds.groupBy("pattern").agg(F.count("*").alias("spans"), F.count_distinct("instance").alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
+    counts = stage(counts.select("pattern.*", "spans"), "pattern-seeds")
+    # Words that mostly introduce something else are left out before their instances are written; the exact share follows.
+    likely = counts.join(_counts(texts, counts), ["word", "tokens", "digits"], "left").where(F.coalesce("places", F.lit(0)) * LIKELY_SHARE <= F.col("spans"))
+    likely = stage(likely.select("word", "tokens", "digits", "spans"), "patterns")
+
     same = F.col("id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
+    hits = _introduced(texts, likely).withColumn("end", F.col("start") + F.length("instance"))
+    hits = hits.withColumnsRenamed({"id": "hit_id", "text_hash": "hit_hash"})
+    bases = found.select("id", "text_hash", F.concat(*KINDS).alias("_base")).where(F.size("_base") > 0).dropDuplicates(["id", "text_hash"])
+    overlaps = F.exists("_base", lambda b: (b["start"] < F.col("end")) & (F.col("start") < b["end"]))
+    hits = hits.join(bases, same, "left").where(~F.coalesce(overlaps, F.lit(False)))
+    hits = stage(hits.select("hit_id", "hit_hash", "pattern", "instance", "start", "end"), "introduced")
+    unknown = hits.groupBy("pattern").agg(F.count("*").alias("unknown"))
+    spans = likely.select(F.struct("word", "tokens", "digits").alias("pattern"), "spans").join(unknown, "pattern", "left")
+    patterns = spans.where(F.col("spans") >= MIN_SHARE * (F.col("spans") + F.coalesce("unknown", F.lit(0)))).select("pattern")
+    known = seeds.withColumn("seed", F.lit(True)).unionByName(hits.select("pattern", "instance", F.lit(False).alias("seed")))
+    seen = known.join(patterns, "pattern", "left_semi")
+    # Of several patterns at one place the longest instance counts.
+    trusted = hits.join(bootstrap(seen), ["pattern", "instance"]).groupBy("hit_id", "hit_hash", "start").agg(F.max("end").alias("end"))
+    by_text = trusted.groupBy("hit_id", "hit_hash").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(CONTEXT))  # of one text
     empty = F.array().cast("array<struct<start:int,end:int>>")
     return found.join(by_text, same, "left").select("id", "text_hash", *KINDS, F.coalesce(CONTEXT, empty).alias(CONTEXT))
 
