@@ -9,7 +9,8 @@ the whole text: that they occur, occur twice or four times, or make up a hundred
 thirtieth of the words.  Each model is a logistic regression
 with an L1 penalty, so most weights are exactly zero and long clean texts do not
 drift.  Training uses a bounded sample of labelled rows (``max_labelled``: up to half of
-them with the last category and as many without, chosen by a hash of the id); features are screened in Spark by their chi-square statistic, so
+them with the last category and as many without, chosen by a hash of the id; weighted by
+the numbers of all labels, so that probabilities do not move with the input's size); features are screened in Spark by their chi-square statistic, so
 the driver holds at most ``max_labelled`` rows of at most ``max_features`` indices a
 category.  Scoring is one scan without a shuffle.
 """
@@ -120,28 +121,30 @@ class _Rows:
         return out
 
 
-def _fit(x: _Rows, y: np.ndarray, penalty: float, steps: int) -> np.ndarray:
-    """L1 logistic regression by accelerated proximal gradient; last dense column: intercept, not penalised."""
+def _fit(x: _Rows, y: np.ndarray, weight: np.ndarray, penalty: float, steps: int) -> np.ndarray:
+    """L1 logistic regression on weighted rows by accelerated proximal gradient; last dense column: intercept, not penalised."""
+    weight = weight / weight.mean()
     size = x.width + x.dense.shape[1]
     w = z = np.zeros(size)
     probe = np.ones(size) / np.sqrt(size)
     for _ in range(12):  # the largest curvature, by power iteration
-        probe = x.turned_times(x.times(probe))
+        probe = x.turned_times(weight * x.times(probe))
         scale = np.linalg.norm(probe)
         probe = probe / max(scale, 1e-12)
     rate, momentum = 4.0 * x.height / max(scale * 1.05, 1e-12), 1.0
     shrink = np.full(size, rate * penalty)
     shrink[-1] = 0.0
     for _ in range(steps):
-        step = z - rate * x.turned_times(_sigmoid(x.times(z)) - y) / x.height
+        step = z - rate * x.turned_times(weight * (_sigmoid(x.times(z)) - y)) / x.height
         new = np.sign(step) * np.maximum(np.abs(step) - shrink, 0.0)
         grown = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
         z, w, momentum = new + (momentum - 1) / grown * (new - w), new, grown
     return w
 
 
-def train(rows: list[tuple[int, list[int], list[list[int]]]], chosen: list[list[int]], names: list[str], folds: int = FOLDS, penalty: float = PENALTY, steps: int = STEPS) -> Chain:
-    """``rows``: (fold, answers by category, indices of present features by category)."""
+def train(rows: list[tuple[int, list[int], list[list[int]]]], chosen: list[list[int]], names: list[str], folds: int = FOLDS, penalty: float = PENALTY, steps: int = STEPS, weights: tuple[float, float] = (1.0, 1.0)) -> Chain:
+    """``rows``: (fold, answers by category, indices of present features by category); ``weights`` of rows without and with the last category."""
+    weight = np.array([weights[r[1][-1]] for r in rows], float)
     fold = np.array([r[0] for r in rows])
     earlier, models = np.empty((len(rows), 0)), []
     for k, features in enumerate(chosen):
@@ -151,14 +154,14 @@ def train(rows: list[tuple[int, list[int], list[list[int]]]], chosen: list[list[
             earlier = np.column_stack([earlier, y])
             continue
         x = _Rows([r[2][k] for r in rows], len(features), np.column_stack([earlier, np.ones(len(rows))]))
-        w = _fit(x, y, penalty, steps)
+        w = _fit(x, y, weight, penalty, steps)
         out_of_fold = np.empty(len(rows))
         for f in range(folds):
             seen, held = fold != f, fold == f
             if held.any() and seen.any():
-                out_of_fold[held] = _sigmoid(x.take(held).times(_fit(x.take(seen), y[seen], penalty, steps)))
+                out_of_fold[held] = _sigmoid(x.take(held).times(_fit(x.take(seen), y[seen], weight[seen], penalty, steps)))
             else:
-                out_of_fold[held] = y.mean()
+                out_of_fold[held] = np.average(y, weights=weight)
         n = len(features)
         models.append(Linear(float(w[-1]), {f: float(v) for f, v in zip(features, w[:n], strict=True) if v}, [float(v) for v in w[n:-1]]))
         earlier = np.column_stack([earlier, out_of_fold])
@@ -181,6 +184,8 @@ def fit(
     picked = labels.select(ids.alias("label_id"), *answers).dropna()
     picked = picked.groupBy("label_id").agg(*[F.max(f"y{k}").alias(f"y{k}") for k in range(len(names))])
     last, order = F.col(f"y{len(names) - 1}"), [F.xxhash64("label_id"), F.col("label_id")]
+    labelled = {r["y"]: r["n"] for r in picked.groupBy(last.alias("y")).agg(F.count("*").alias("n")).collect()}  # two rows
+    weights = tuple(max(labelled.get(answer, 0) / max(max_labelled // 2, 1), 1.0) for answer in (0, 1))
     halves = [picked.where(last == answer).orderBy(*order).limit(max_labelled // 2) for answer in (1, 0)]  # the documented bound
     picked = halves[0].unionAll(halves[1])
     texts = documents.select(ids.alias("id"), F.col(text_column).cast("string").alias("text"))
@@ -216,7 +221,7 @@ def fit(
     schema = "id long, " + ", ".join([f"y{k} int" for k in range(len(names))] + [f"x{k} array<int>" for k in range(len(names))])
     found = sample.mapInArrow(located, schema).orderBy("id").collect()
     rows = [(xxhash.xxh64_intdigest(str(r["id"])) % folds, [r[f"y{k}"] for k in range(len(names))], [r[f"x{k}"] for k in range(len(names))]) for r in found]
-    return train(rows, chosen, names, folds)
+    return train(rows, chosen, names, folds, weights=weights)
 
 
 def score(documents: DataFrame, chain: Chain, keep: list[str], text_column: str = "text", prefix: str = "p_") -> DataFrame:
