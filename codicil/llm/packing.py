@@ -39,11 +39,19 @@ MAX_BUCKETS = 4_096
 Pattern = tuple[int, tuple[tuple[int, int], ...]]  # number of sequences, ((length, items of it), ...)
 
 
+def _chunks(raw: bytes) -> list[bytes]:
+    if b"<|" in raw:  # added tokens mind the case
+        return raw.split()
+    return raw.lower().split() if raw.isascii() else [c.lower() if c.isascii() else c for c in raw.split()]
+
+
 class ChunkEncoder:
     """Ids of whole texts by the tokenizers library, each distinct chunk encoded once.
 
     For tokenizers that lower texts and drop white space: a text's ids are those of its
-    chunks between ASCII white space, one after the other.
+    chunks between ASCII white space, one after the other.  Only ASCII chunks are lowered
+    before the tokenizer sees them: it composes marks first, and some compose with small
+    letters only.
     """
 
     def __init__(self, path: str) -> None:
@@ -60,7 +68,7 @@ class ChunkEncoder:
         if len(self.known) > KNOWN_CHUNKS or self.held > KNOWN_BYTES:
             self.known.clear()
             self.held = 0
-        cut = [(raw if b"<|" in (raw := t.encode("utf-8")) else raw.lower()).split() for t in texts]  # added tokens mind the case
+        cut = [_chunks(t.encode("utf-8")) for t in texts]
         new = sorted({c for chunks in cut for c in chunks}.difference(self.known))
         for i in range(0, len(new), 2048):
             part = new[i : i + 2048]
