@@ -3,13 +3,15 @@
 A candidate is a run of key characters of ``MIN_LENGTH`` or more.  Each run is read
 once with a window of ``WINDOW`` characters; the counts of the characters in the
 window and the sum of ``c * log2(c)`` over them are updated by the character that
-enters and the one that leaves, so a run of any length takes linear time.  Each
-character class has its own threshold; the windows above it are joined to a span of
+enters and the one that leaves, so a run of any length takes linear time.  A
+window is compared with the mean of random strings of its length and class
+(``expected_bits``) less ``MARGIN``; the windows above that are joined to a span of
 kind ``entropy``, unless an allow-list entry covers the run.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 from collections.abc import Iterator
@@ -28,21 +30,40 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 
-# Bits a character, by class; the first class whose pattern holds the whole run counts.
+# Size of the alphabet, by class; the first class whose pattern holds the whole run counts.
 CLASSES = (
-    ("hex", re.compile(r"[0-9a-fA-F]*[0-9][0-9a-fA-F]*"), 3.0),
-    ("upper", re.compile(r"[A-Z0-9]*[0-9][A-Z0-9]*"), 3.6),
-    ("mixed", re.compile(r"(?=[^0-9]*[0-9])(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])[A-Za-z0-9+/_=-]+"), 4.0),
-    ("lower", re.compile(r"(?=[^0-9]*[0-9])[a-z0-9_-]+"), 3.9),
+    ("hex", re.compile(r"[0-9a-fA-F]*[0-9][0-9a-fA-F]*"), 16),
+    ("upper", re.compile(r"[A-Z0-9]*[0-9][A-Z0-9]*"), 36),
+    ("mixed", re.compile(r"(?=[^0-9]*[0-9])(?=[^a-z]*[a-z])(?=[^A-Z]*[A-Z])[A-Za-z0-9+/_=-]+"), 64),
+    ("lower", re.compile(r"(?=[^0-9]*[0-9])[a-z0-9_-]+"), 36),
+    ("upper letters", re.compile(r"[A-Z]+"), 26),
+    ("lower letters", re.compile(r"[a-z]+"), 26),
+    ("letters", re.compile(r"[A-Za-z]+"), 52),
 )
-# Runs that look random and are public: identifiers, documented sample keys, inline checksums, paths.
+MARGIN = 0.35  # bits a character below a random string's mean
+HEX_MARGIN = 0.5  # few letters spread more
+
+
+@functools.lru_cache(maxsize=None)
+def expected_bits(length: int, letters: int) -> float:
+    """Mean entropy of ``length`` characters drawn at random from ``letters``."""
+    p = 1.0 / letters
+    chance = [math.comb(length, c) * p**c * (1 - p) ** (length - c) for c in range(length + 1)]
+    return math.log2(length) - letters / length * sum(q * c * math.log2(c) for c, q in enumerate(chance) if c)
+
+
+# Runs that look random and are public: identifiers, documented sample keys, inline checksums, names in camel case, paths.
+PATH = r"/?([A-Za-z0-9_-]{1,19}/)+[A-Za-z0-9_-]{0,19}"
+SEGMENT = 12  # a path holding a random mixed segment of this length is no path
 ALLOWED = (
     r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}",
     r"(?i:.*(example|sample|placeholder|xxxx).*)",
     r"sha(256|384|512)-[A-Za-z0-9+/=]+",
-    r"/?([A-Za-z0-9_-]{1,19}/)+[A-Za-z0-9_-]{0,19}",
+    r"[a-z]*([A-Z][a-z]{2,}|By|Id|To|Of|In|On|Is|At|Or|If|No)+",
+    PATH,
 )
 
+_PATH = re.compile(PATH)
 _LOG = [0.0] + [c * math.log2(c) for c in range(1, WINDOW + 1)]
 
 
@@ -67,8 +88,20 @@ def hot_windows(run: str, threshold: float, window: int = WINDOW) -> tuple[int,
     return None if first is None else (first, last)
 
 
-def scan(text: str, allowed: re.Pattern[str]) -> dict[str, list[tuple[int, int]]]:
-    """Spans by kind, in code points, ends exclusive."""
+def _hot(run: str) -> tuple[int, int] | None:
+    name, letters = next(((name, size) for name, pattern, size in CLASSES if pattern.fullmatch(run)), (None, 0))
+    if name is None:
+        return None
+    return hot_windows(run, expected_bits(min(WINDOW, len(run)), letters) - (HEX_MARGIN if name == "hex" else MARGIN))
+
+
+def _is_path(run: str) -> bool:
+    mixed = CLASSES[2][1]
+    return _PATH.fullmatch(run) is not None and not any(len(s) >= SEGMENT and mixed.fullmatch(s) and _hot(s) for s in run.split("/"))
+
+
+def scan(text: str, allowed: re.Pattern[str], paths: bool = False) -> dict[str, list[tuple[int, int]]]:
+    """Spans by kind, in code points, ends exclusive; with ``paths`` runs that are paths are no secrets."""
     found = {
         "assign": [m.span() for m in _ASSIGN.finditer(text) if m.end() - m.start(1) >= 6],
         "access": [m.span() for m in _ACCESS.finditer(text)],
@@ -77,10 +110,9 @@ def scan(text: str, allowed: re.Pattern[str]) -> dict[str, list[tuple[int, int]]
     }
     for m in _CANDIDATE.finditer(text):
         run = m[0]
-        threshold = next((bits for _, pattern, bits in CLASSES if pattern.fullmatch(run)), None)
-        if threshold is None or allowed.fullmatch(run):
+        if allowed.fullmatch(run) or (paths and _is_path(run)):
             continue
-        hot = hot_windows(run, threshold)
+        hot = _hot(run)
         if hot:
             found[ENTROPY].append((m.start() + hot[0], m.start() + hot[1]))
     return found
@@ -94,7 +126,7 @@ def find_secrets(documents: DataFrame, id_column: str = "doc_id", text_column: s
     are returned as often as they occur; other columns are not read.
     """
     order = {k: i for i, k in enumerate((*KINDS, ENTROPY))}
-    source = "|".join(f"(?:{p})" for p in allow_list) or r"(?!)"
+    source = "|".join(f"(?:{p})" for p in allow_list if p != PATH) or r"(?!)"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         allowed = re.compile(source, re.DOTALL)
@@ -102,7 +134,7 @@ def find_secrets(documents: DataFrame, id_column: str = "doc_id", text_column: s
         for batch in batches:
             out = []
             for text in batch.column(1):
-                spans = [(k, *s) for k, own in scan(text.as_py() or "", allowed).items() for s in own]
+                spans = [(k, *s) for k, own in scan(text.as_py() or "", allowed, PATH in allow_list).items() for s in own]
                 spans.sort(key=lambda s: (s[1], order[s[0]], s[2]))
                 out.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], names=["id", "spans"])
