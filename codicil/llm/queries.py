@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codicil.llm import bpe, embedding_index, max_score, near_text, packing, pii, secret_scan, sharding, sql, toxicity, warc
+from codicil.llm import bpe, embedding_index, max_score, near_text, packing, phrases, pii, secret_scan, sharding, sql, toxicity, warc
 from codicil.llm.shared import table, tokenizer
 from codicil.session import work_folder
 
@@ -105,3 +105,8 @@ def op10_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     counts = map(count, secret_scan.KINDS)
     return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+@query("op11_collocations", sql.COLLOCATIONS)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), min_count=30, longest=4, top=2000)

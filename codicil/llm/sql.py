@@ -72,3 +72,42 @@ scores AS (
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
+
+COLLOCATIONS = """
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS p
+  FROM documents
+),
+lists AS (SELECT lang, regexp_extract_all(p, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM lists GROUP BY lang),
+grams AS (
+  SELECT lang, unnest(flatten(list_transform(range(1, 5), lambda k:
+    list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: array_to_string(w[i:i + k - 1], ' '))))) AS phrase
+  FROM lists
+),
+f AS (SELECT lang, phrase, count(*) AS n, string_split(phrase, ' ') AS w FROM grams GROUP BY lang, phrase HAVING count(*) >= 30),
+cuts AS (
+  SELECT lang, phrase, n AS a, w, unnest(range(1, len(w))) AS k FROM f WHERE len(w) > 1
+),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.n AS l, y.n AS r, k, CAST(2000000 * CAST(c.a AS HUGEINT) // (CAST(x.n AS HUGEINT) + y.n) AS BIGINT) AS score
+  FROM cuts c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[k + 1:], ' ')
+),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+held AS (
+  SELECT lang, phrase, max(n) AS longer FROM (
+    SELECT lang, n, unnest(flatten(list_transform(range(2, len(w)), lambda k:
+      list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))))) AS phrase
+    FROM f WHERE len(w) > 2)
+  GROUP BY lang, phrase
+),
+ranked AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM lowest s LEFT JOIN held h ON h.lang = s.lang AND h.phrase = s.phrase
+  WHERE h.longer IS NULL OR 100 * CAST(h.longer AS HUGEINT) < 80 * CAST(s.a AS HUGEINT)
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
+"""
