@@ -9,15 +9,17 @@ repeated as a look-ahead.  Texts and pieces of any length are cut into blocks, s
 task holds one block at a time.
 
 Length ``k + 1`` follows from length ``k`` by a merge join of relation ``k`` with
-relation 1 on the next place.  Each block counts its own distinct candidates, the
-counts are summed by phrase, and the groups that reach ``min_count`` are joined back to
-the blocks before the next length.  Phrases are compared as numbers that stand for
-exactly one text each, never as hashes.  What is shuffled are distinct phrases of a block
-with their counts, so a word that makes up a third of a corpus is one row a block.
+relation 1 on the next place.  Each block counts its own distinct candidates and deals
+them out by a hash of the phrase, a row of arrays for each part; a part adds up its
+candidates over all blocks and answers each block with those that reach ``min_count``,
+which alone stay in the relation before the next length.  Phrases are compared as
+numbers that stand for exactly one text each, never as hashes.  A word that makes up a
+third of a corpus is one entry a block.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +31,8 @@ from pyspark.sql import Window as W
 
 from codicil.llm.shared import stage
 
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 19
+PART_WORDS = 1 << 21  # places whose candidates meet in one part
 UNDETERMINED = "und"
 
 _BREAK, _SKIP, _AHEAD = -1, -2, -3  # an item below _SKIP is look-ahead: _AHEAD minus its code
@@ -38,9 +41,10 @@ _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _PLAIN = bytes.maketrans(_PUNCTUATION + b"\t" + _UPPER, b"\n" * len(_PUNCTUATION) + b" " + _LOWER)
 
 _INTS, _LONGS = pa.list_(pa.int32()), pa.list_(pa.int64())
-_BLOCK = pa.schema([("block", pa.int64()), ("langs", pa.list_(pa.string())), ("words", pa.list_(pa.string())), ("items", _INTS)])
+_TEXTS = pa.list_(pa.string())
+_BLOCK = pa.schema([("block", pa.int64()), ("langs", _TEXTS), ("words", _TEXTS), ("items", _INTS), ("n_langs", _TEXTS), ("n_words", _LONGS)])
 _RELATION = pa.schema([("block", pa.int64()), ("items", _INTS), ("ids", _LONGS), ("places", _INTS), ("grams", _INTS), ("gram_ids", _LONGS)])
-_BLOCK_DDL = "block long, langs array<string>, words array<string>, items array<int>"
+_BLOCK_DDL = "block long, langs array<string>, words array<string>, items array<int>, n_langs array<string>, n_words array<long>"
 _RELATION_DDL = "block long, items array<int>, ids array<long>, places array<int>, grams array<int>, gram_ids array<long>"
 
 
@@ -66,6 +70,7 @@ class _Block:
         self.items: list[np.ndarray] = []
         self.size = 0
         self.codes: dict[str, _Codes] = {}
+        self.totals: dict[str, int] = {}
 
     def add(self, lang: str, tokens: list[bytes], ahead: list[bytes]) -> None:
         codes = self.codes.get(lang)
@@ -76,6 +81,7 @@ class _Block:
         further = np.array([_AHEAD - codes[w] for w in ahead], np.int32)
         self.items += [items, further, np.array([_BREAK], np.int32)]
         self.size += len(items) + 1
+        self.totals[lang] = self.totals.get(lang, 0) + int((items >= 0).sum())
 
 
 def _ahead(tokens: list[bytes], at: int, words: int) -> list[bytes]:
@@ -97,7 +103,7 @@ def _blocks(documents: DataFrame, text_column: str, lang_column: str, longest: i
         number, block = TaskContext.get().partitionId() << 32, _Block()
 
         def closed() -> pa.RecordBatch:
-            columns = [[number], [block.langs], [block.words], [np.concatenate(block.items)]]
+            columns = [[number], [block.langs], [block.words], [np.concatenate(block.items)], [list(block.totals)], [list(block.totals.values())]]
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _BLOCK, strict=True)], schema=_BLOCK)
 
         for batch in batches:
@@ -121,16 +127,32 @@ def _ints(value: pa.Scalar) -> np.ndarray:
     return value.values.to_numpy(zero_copy_only=False)
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``block, code, lang, word, n`` of each block's words; look-ahead does not count."""
-    for batch in batches:
-        for block, langs, words, items in zip(*batch.columns, strict=True):
-            own = _ints(items)
-            counts = np.bincount(own[own >= 0], minlength=len(words.values))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(counts), block.as_py())), pa.array(np.arange(len(counts), dtype=np.int32)), langs.values, words.values, pa.array(counts.astype(np.int64))],
-                names=["block", "code", "lang", "word", "n"],
-            )
+def _lists(values: np.ndarray | pa.Array, starts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values))
+
+
+def _dealt(block: int, part: np.ndarray, keys: list[np.ndarray | pa.Array], n: np.ndarray) -> pa.RecordBatch:
+    """A row for each part that a block has candidates for: their numbers in the block, their keys and counts."""
+    order = np.argsort(part, kind="stable")
+    parts, starts = np.unique(part[order], return_index=True)
+    own = [k.take(pa.array(order)) if isinstance(k, pa.Array) else k[order] for k in keys]
+    lists = [_lists(v, starts) for v in (order.astype(np.int32), *own, n[order].astype(np.int64))]
+    columns = [pa.array(parts.astype(np.int64)), pa.array(np.full(len(parts), block)), *lists]
+    return pa.RecordBatch.from_arrays(columns, names=["part", "block", "codes", "first", "last", "n"])
+
+
+def _word_counts(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each block's words; look-ahead does not count."""
+        for batch in batches:
+            for block, langs, words, items in zip(*batch.columns, strict=True):
+                own = _ints(items)
+                counts = np.bincount(own[own >= 0], minlength=len(words.values))
+                if len(counts):
+                    part = np.fromiter((zlib.crc32(w.encode()) % parts for w in words.as_py()), np.int64, len(counts))
+                    yield _dealt(block.as_py(), part, [langs.values, words.values], counts)
+
+    return run
 
 
 def _merged(relation: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -154,24 +176,62 @@ def _relation(row: list[pa.Scalar]) -> dict[str, np.ndarray]:
     return {name: _ints(value) for name, value in zip(_RELATION.names[1:], row[1:], strict=True)}
 
 
-def _candidate_counts(k: int):
+def _candidate_counts(k: int, parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """``block, code, phrase, word, n``: each block's candidates of ``k + 1`` words."""
+        """Each block's candidates of ``k + 1`` words."""
         for batch in batches:
             for row in zip(*batch.columns, strict=True):
                 relation = _relation(row)
                 _, number, phrase, word = _merged(relation, k)
                 if len(phrase):
-                    n = np.bincount(number, minlength=len(phrase)).astype(np.int64)
-                    columns = [np.full(len(n), row[0].as_py()), np.arange(len(n), dtype=np.int32), relation["gram_ids"][phrase], relation["ids"][word], n]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["block", "code", "phrase", "word", "n"])
+                    first, last = relation["gram_ids"][phrase], relation["ids"][word]
+                    mixed = (first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (last.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+                    part = ((mixed >> np.uint64(29)) % np.uint64(parts)).astype(np.int64)
+                    yield _dealt(row[0].as_py(), part, [first, last], np.bincount(number, minlength=len(phrase)))
+
+    return run
+
+
+def _groups(first: pa.Array, last: pa.Array) -> np.ndarray:
+    """Equal pairs have equal numbers, from 0."""
+    one, two = (c.dictionary_encode().indices.to_numpy().astype(np.int64) for c in (first, last))
+    return np.unique(one * (int(two.max()) + 1) + two, return_inverse=True)[1]
+
+
+def _frequent(min_count: int):
+    def run(dealt: pa.Table) -> pa.Table:
+        """One part over all blocks: what is frequent there (a row without block), and each block's share of it."""
+        dealt = dealt.combine_chunks()
+        part = dealt.column("part")[0].as_py()
+        codes, first, last, n = (dealt.column(c).chunk(0).flatten() for c in ("codes", "first", "last", "n"))
+        group = _groups(first, last)
+        total = np.zeros(int(group.max()) + 1, np.int64)
+        np.add.at(total, group, n.to_numpy())
+        often = total >= min_count
+        ids = (part << 32) + np.cumsum(often) - 1
+        kept = often[group]
+        one = np.full(len(total), -1, np.int64)
+        one[group] = np.arange(len(group))
+        one = pa.array(one[often])
+        row = np.repeat(np.arange(dealt.num_rows), dealt.column("codes").chunk(0).value_lengths().to_numpy())
+        starts = np.searchsorted(row[kept], np.arange(dealt.num_rows))
+        blocks = pa.concat_arrays([pa.array([None], pa.int64()), dealt.column("block").chunk(0)])
+        size = dealt.num_rows
+
+        def column(whole: pa.Array, own: pa.Array | None = None) -> pa.Array:
+            below = pa.nulls(size, pa.list_(whole.type)) if own is None else _lists(own, starts)
+            return pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole), below])
+
+        none = pa.array([], pa.int32())
+        columns = [blocks, column(none, codes.filter(pa.array(kept))), column(pa.array(ids[often]), pa.array(ids[group[kept]])), column(first.take(one)), column(last.take(one)), column(pa.array(total[often]))]
+        return pa.Table.from_arrays(columns, names=["block", "codes", "ids", "first", "last", "n"])
 
     return run
 
 
 def _renumbered(kept: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
     """New numbers of a block's old codes (-1: not frequent), and the frequent ones' ids."""
-    codes, ids = kept.column("code").to_numpy(), kept.column("id").to_numpy()
+    codes, ids = (np.concatenate([_ints(v) for v in kept.column(c)]) for c in ("codes", "ids"))
     new = np.full(size, _BREAK, np.int32)
     new[codes] = np.arange(len(codes), dtype=np.int32)
     return new, ids
@@ -216,15 +276,16 @@ def _frequent_phrases(k: int):
     return run
 
 
-def _numbered(counts: DataFrame, keys: list[str], min_count: int, purpose: str) -> DataFrame:
-    """The groups whose counts together reach ``min_count``, each with an id."""
-    found = counts.groupBy(*keys).agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
-    return stage(found.withColumn("id", F.monotonically_increasing_id()), purpose)
+def _agreed(counts: DataFrame, keys: str, min_count: int, purpose: str) -> tuple[DataFrame, DataFrame]:
+    """``first, last, n, id`` of the frequent groups, and each block's frequent numbers."""
+    dealt = counts.groupBy("part").applyInArrow(_frequent(min_count), f"block long, codes array<int>, ids array<long>, first array<{keys}>, last array<{keys}>, n array<long>")
+    found = stage(dealt, purpose)
+    groups = found.where("block is null").select(F.inline(F.arrays_zip("first", "last", "n", "ids"))).withColumnRenamed("ids", "id")
+    return groups, found.where("block is not null and size(codes) > 0").select("block", "codes", "ids")
 
 
-def _extended(relation: DataFrame, counts: DataFrame, frequent: DataFrame, keys: list[str], function) -> DataFrame:
-    """Semi-join: the frequent groups go back to the blocks that have them."""
-    kept = counts.join(frequent.select(*keys, "id"), keys).select("block", "code", "id")
+def _extended(relation: DataFrame, kept: DataFrame, function) -> DataFrame:
+    """Semi-join: only what is frequent stays in the blocks."""
     return relation.groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(function, _RELATION_DDL)
 
 
@@ -238,22 +299,23 @@ def frequent_phrases(
     are empty, a null language is ``und``; repeated rows count each time; other columns are not read.
     """
     blocks = stage(_blocks(documents, text_column, lang_column, longest, block_words), "phrase-blocks")
-    counts = blocks.mapInArrow(_word_counts, "block long, code int, lang string, word string, n long")
-    totals = counts.groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = _numbered(counts, ["lang", "word"], min_count, "frequent-1")
-    phrases = frequent.select("id", "lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "n")
-    words, found = phrases.select(F.col("id").alias("word"), F.col("phrase").alias("last")), [phrases]
-    relation = _extended(blocks.select("block", "items"), counts, frequent, ["lang", "word"], _frequent_words)
+    parts = max(1, blocks.count() * min(block_words, BLOCK_WORDS) // PART_WORDS)
+    totals = blocks.select(F.inline(F.arrays_zip("n_langs", "n_words"))).groupBy(F.col("n_langs").alias("lang")).agg(F.sum("n_words").alias("n"))
+    keys = "part long, block long, codes array<int>, first array<{0}>, last array<{0}>, n array<long>"
+    counts = blocks.select("block", "langs", "words", "items").mapInArrow(_word_counts(parts), keys.format("string"))
+    frequent, kept = _agreed(counts, "string", min_count, "frequent-1")
+    phrases = frequent.select("id", F.col("first").alias("lang"), F.col("last").alias("phrase"), F.lit(1).alias("words"), "n")
+    words, found = phrases.select(F.col("id").alias("last"), F.col("phrase").alias("_last")), [phrases]
+    relation = _extended(blocks.select("block", "items"), kept, _frequent_words)
     for k in range(1, longest):
         relation = stage(relation, f"occurrences-{k}")
-        counts = relation.mapInArrow(_candidate_counts(k), "block long, code int, phrase long, word long, n long")
-        frequent = _numbered(counts, ["phrase", "word"], min_count, f"frequent-{k + 1}")
-        shorter = phrases.select(F.col("id").alias("phrase"), "lang", F.col("phrase").alias("first"))
-        longer = frequent.join(shorter, "phrase").join(words, "word")
-        phrases = stage(longer.select("id", "lang", F.concat_ws(" ", "first", "last").alias("phrase"), F.lit(k + 1).alias("words"), "n"), f"phrases-{k + 1}")
+        frequent, kept = _agreed(relation.mapInArrow(_candidate_counts(k, parts), keys.format("long")), "long", min_count, f"frequent-{k + 1}")
+        shorter = phrases.select(F.col("id").alias("first"), "lang", F.col("phrase").alias("_first"))
+        longer = frequent.join(shorter, "first").join(words, "last")
+        phrases = stage(longer.select("id", "lang", F.concat_ws(" ", "_first", "_last").alias("phrase"), F.lit(k + 1).alias("words"), "n"), f"phrases-{k + 1}")
         found.append(phrases)
         if k + 1 < longest:
-            relation = _extended(relation, counts, frequent, ["phrase", "word"], _frequent_phrases(k))
+            relation = _extended(relation, kept, _frequent_phrases(k))
     everything = found[0]
     for own in found[1:]:
         everything = everything.unionByName(own)
