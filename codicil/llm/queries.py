@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codicil.llm import bpe, embedding_index, max_score, near_text, packing, phrases, pii, secret_scan, sharding, sql, toxicity, warc
+from codicil.llm import bpe, embedding_index, hyper_language, max_score, near_text, packing, phrases, pii, secret_scan, sharding, sql, toxicity, turn_trie, warc
 from codicil.llm.shared import table, tokenizer
 from codicil.session import work_folder
 
@@ -110,3 +110,18 @@ def op10_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_collocations", sql.COLLOCATIONS)
 def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(table(spark, sf_dir, "documents"), min_count=30, longest=4, top=2000)
+
+
+@query("op12_turn_trie", sql.TURN_TRIE)
+def op12_turn_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = turn_trie.ordered_turns(table(spark, sf_dir, "conversations"))
+    conv = F.col("conv")
+    taken = F.crc32(conv.cast("string").cast("binary")) % 9
+    return turn_trie.prefix_nodes(turn_trie.with_borrowed_heads(turns, lender=conv - conv % 5, taken=taken, most=8))
+
+
+@query("op13_hyper_language")
+def op13_hyper_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").withColumn("held_out", hyper_language.held_out())
+    profiles = hyper_language.fit(documents, training=~F.col("held_out"))
+    return hyper_language.identify(documents, profiles, keep=["doc_id", "held_out"])

@@ -111,3 +111,42 @@ ranked AS (
 )
 SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000
 """
+
+_CRC_STEPS = "flatten(list_transform(range(1, length(CAST(c AS VARCHAR)) + 1), lambda i: [CAST(ascii(substr(CAST(c AS VARCHAR), i, 1)) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))"
+_CRC32 = f"xor(list_reduce(list_prepend(4294967295, {_CRC_STEPS}), lambda a, x: xor(xor(a, x) >> 1, (xor(a, x) & 1) * 3988292384)), 4294967295)"
+
+TURN_TRIE = f"""
+WITH turns AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+),
+placed AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST,
+    substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32)) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+convs AS (SELECT c, c - c % 5 AS lender, {_CRC32} % 9 AS h FROM (SELECT DISTINCT c FROM turns)),
+rebuilt AS (
+  SELECT v.c, 0 AS part, p.place, p.role, p.text FROM convs v JOIN placed p ON p.c = v.lender AND p.place <= v.h
+  UNION ALL
+  SELECT v.c, 1, p.place, p.role, p.text FROM convs v JOIN placed p ON p.c = v.c AND p.place > v.h
+),
+lists AS (SELECT c, list(sha256(length(role) || ':' || role || text) ORDER BY part, place) AS keys, list(strlen(text) ORDER BY part, place) AS sizes FROM rebuilt GROUP BY c),
+sequences AS (SELECT c, coalesce(keys, []) AS keys, sizes, len(coalesce(keys, [])) AS n FROM convs LEFT JOIN lists USING (c)),
+prefixes AS (SELECT c, n, d, array_to_string(keys[1:d], ',') AS p, array_to_string(keys[1:d - 1], ',') AS above, CASE WHEN d > 0 THEN sizes[d] ELSE 0 END AS size
+  FROM (SELECT *, unnest(range(0, n + 1)) AS d FROM sequences)),
+nodes AS (
+  SELECT p, d, any_value(above) AS above, any_value(size) AS size, min(c) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CASE WHEN n = d THEN CAST(c AS VARCHAR) END, ',' ORDER BY c), '')) AS ends_sha256
+  FROM prefixes GROUP BY p, d
+),
+children AS (SELECT above AS p, d - 1 AS d, count(*) AS n_children FROM nodes WHERE d > 0 GROUP BY ALL),
+whole AS (SELECT *, coalesce(n_children, 0) AS kids FROM nodes LEFT JOIN children USING (p, d)),
+paths AS (SELECT p, d, string_split(p, ',') AS w, kids, n_convs, size FROM whole),
+upward AS (SELECT unnest(list_transform(range(0, d + 1), lambda k: {{'p': array_to_string(w[1:k], ','), 'd': k}})) AS top, kids, n_convs, size FROM paths),
+sums AS (
+  SELECT top.p AS p, top.d AS d, CAST(sum(CASE WHEN kids = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * size) AS BIGINT) AS saved_tokens
+  FROM upward GROUP BY ALL
+)
+SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.kids AS n_children, n_leaves, saved_tokens, n.ends_sha256
+FROM whole n JOIN sums s ON s.p = n.p AND s.d = n.d LEFT JOIN nodes u ON n.d > 0 AND u.p = n.above AND u.d = n.d - 1
+"""
