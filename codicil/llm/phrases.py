@@ -2,7 +2,7 @@
 
 Relation ``k`` says at which places which frequent phrase of ``k`` words begins.  It is a
 written table, nested by block: a row holds one block's places in ascending order and,
-beside them, the phrases.  A block is a run of ``BLOCK_WORDS`` places of any texts; a
+beside them, the phrases (packed as little-endian integers, which Spark moves as a whole).  A block is a run of ``BLOCK_WORDS`` places of any texts; a
 piece's end takes a place of its own, so neighbouring places are neighbouring words of
 one piece, and the words behind a block's end that its last phrases reach into are
 repeated as a look-ahead.  Texts and pieces of any length are cut into blocks, so a
@@ -20,7 +20,7 @@ third of a corpus is one entry a block.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +40,28 @@ _PUNCTUATION = b".,;:!?\n\x0b\x0c\r"
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _PLAIN = bytes.maketrans(_PUNCTUATION + b"\t" + _UPPER, b"\n" * len(_PUNCTUATION) + b" " + _LOWER)
 
-_INTS, _LONGS = pa.list_(pa.int32()), pa.list_(pa.int64())
-_TEXTS = pa.list_(pa.string())
-_BLOCK = pa.schema([("block", pa.int64()), ("langs", _TEXTS), ("words", _TEXTS), ("items", _INTS), ("n_langs", _TEXTS), ("n_words", _LONGS)])
-_RELATION = pa.schema([("block", pa.int64()), ("items", _INTS), ("ids", _LONGS), ("places", _INTS), ("grams", _INTS), ("gram_ids", _LONGS)])
-_BLOCK_DDL = "block long, langs array<string>, words array<string>, items array<int>, n_langs array<string>, n_words array<long>"
-_RELATION_DDL = "block long, items array<int>, ids array<long>, places array<int>, grams array<int>, gram_ids array<long>"
+_BLOCK = pa.schema([("block", pa.int64()), ("keys", pa.list_(pa.string())), ("items", pa.binary()), ("langs", pa.list_(pa.string())), ("totals", pa.list_(pa.int64()))])
+_RELATION = pa.schema([("block", pa.int64())] + [(name, pa.binary()) for name in ("items", "ids", "places", "grams", "gram_ids")])
+_BLOCK_DDL = "block long, keys array<string>, items binary, langs array<string>, totals array<long>"
+_RELATION_DDL = "block long, items binary, ids binary, places binary, grams binary, gram_ids binary"
+_DEALT_WORDS = "part long, block long, codes binary, n binary, keys array<string>"
+_DEALT_PHRASES = "part long, block long, codes binary, n binary, first binary, last binary"
+_WIDE = {"ids": np.int64, "gram_ids": np.int64, "first": np.int64, "last": np.int64, "n": np.int64}  # other packed columns: 32 bits
+
+
+def _unpacked(value: pa.Scalar, name: str) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), _WIDE.get(name, np.int32))
+
+
+def _packed_slices(values: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """A binary column whose rows are the slices of ``values`` from each start to the next."""
+    values = np.ascontiguousarray(values)
+    offsets = (np.append(starts, len(values)) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+
+
+def _listed_slices(values: pa.Array, starts: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), values)
 
 
 class _Codes(dict):
@@ -56,17 +72,15 @@ class _Codes(dict):
         self.lang, self.block = lang, block
 
     def __missing__(self, word: bytes) -> int:
-        own = self.block
-        own.langs.append(self.lang)
-        own.words.append(word.decode("utf-8", "replace"))
-        code = self[word] = len(own.words) - 1
+        keys = self.block.keys
+        keys.append(f"{word.decode('utf-8', 'replace')} {self.lang}")
+        code = self[word] = len(keys) - 1
         return code
 
 
 class _Block:
     def __init__(self) -> None:
-        self.langs: list[str] = []
-        self.words: list[str] = []
+        self.keys: list[str] = []  # "word language"; words have no blank
         self.items: list[np.ndarray] = []
         self.size = 0
         self.codes: dict[str, _Codes] = {}
@@ -103,7 +117,7 @@ def _blocks(documents: DataFrame, text_column: str, lang_column: str, longest: i
         number, block = TaskContext.get().partitionId() << 32, _Block()
 
         def closed() -> pa.RecordBatch:
-            columns = [[number], [block.langs], [block.words], [np.concatenate(block.items)], [list(block.totals)], [list(block.totals.values())]]
+            columns = [[number], [block.keys], [np.concatenate(block.items).tobytes()], [list(block.totals)], [list(block.totals.values())]]
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _BLOCK, strict=True)], schema=_BLOCK)
 
         for batch in batches:
@@ -123,34 +137,26 @@ def _blocks(documents: DataFrame, text_column: str, lang_column: str, longest: i
     return texts.mapInArrow(run, _BLOCK_DDL)
 
 
-def _ints(value: pa.Scalar) -> np.ndarray:
-    return value.values.to_numpy(zero_copy_only=False)
-
-
-def _lists(values: np.ndarray | pa.Array, starts: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), pa.array(values))
-
-
-def _dealt(block: int, part: np.ndarray, keys: list[np.ndarray | pa.Array], n: np.ndarray) -> pa.RecordBatch:
-    """A row for each part that a block has candidates for: their numbers in the block, their keys and counts."""
+def _dealt(block: int, part: np.ndarray, n: np.ndarray, keys: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
+    """A row for each part that a block has candidates for: their numbers in the block, their counts and keys."""
     order = np.argsort(part, kind="stable")
     parts, starts = np.unique(part[order], return_index=True)
-    own = [k.take(pa.array(order)) if isinstance(k, pa.Array) else k[order] for k in keys]
-    lists = [_lists(v, starts) for v in (order.astype(np.int32), *own, n[order].astype(np.int64))]
-    columns = [pa.array(parts.astype(np.int64)), pa.array(np.full(len(parts), block)), *lists]
-    return pa.RecordBatch.from_arrays(columns, names=["part", "block", "codes", "first", "last", "n"])
+    columns = {"part": pa.array(parts.astype(np.int64)), "block": pa.array(np.full(len(parts), block))}
+    columns |= {"codes": _packed_slices(order.astype(np.int32), starts), "n": _packed_slices(n[order].astype(np.int64), starts)}
+    columns |= {name: _listed_slices(k.take(pa.array(order)), starts) if isinstance(k, pa.Array) else _packed_slices(k[order], starts) for name, k in keys.items()}
+    return pa.RecordBatch.from_pydict(columns)
 
 
 def _word_counts(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each block's words; look-ahead does not count."""
         for batch in batches:
-            for block, langs, words, items in zip(*batch.columns, strict=True):
-                own = _ints(items)
-                counts = np.bincount(own[own >= 0], minlength=len(words.values))
+            for block, keys, items in zip(*batch.columns, strict=True):
+                own = _unpacked(items, "items")
+                counts = np.bincount(own[own >= 0], minlength=len(keys.values))
                 if len(counts):
-                    part = np.fromiter((zlib.crc32(w.encode()) % parts for w in words.as_py()), np.int64, len(counts))
-                    yield _dealt(block.as_py(), part, [langs.values, words.values], counts)
+                    part = np.fromiter((zlib.crc32(k.encode()) % parts for k in keys.as_py()), np.int64, len(counts))
+                    yield _dealt(block.as_py(), part, counts, {"keys": keys.values})
 
     return run
 
@@ -173,7 +179,7 @@ def _merged(relation: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, np.nda
 
 
 def _relation(row: list[pa.Scalar]) -> dict[str, np.ndarray]:
-    return {name: _ints(value) for name, value in zip(_RELATION.names[1:], row[1:], strict=True)}
+    return {name: _unpacked(value, name) for name, value in zip(_RELATION.names[1:], row[1:], strict=True)}
 
 
 def _candidate_counts(k: int, parts: int):
@@ -187,58 +193,57 @@ def _candidate_counts(k: int, parts: int):
                     first, last = relation["gram_ids"][phrase], relation["ids"][word]
                     mixed = (first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (last.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
                     part = ((mixed >> np.uint64(29)) % np.uint64(parts)).astype(np.int64)
-                    yield _dealt(row[0].as_py(), part, [first, last], np.bincount(number, minlength=len(phrase)))
+                    yield _dealt(row[0].as_py(), part, np.bincount(number, minlength=len(phrase)), {"first": first, "last": last})
 
     return run
 
 
-def _groups(first: pa.Array, last: pa.Array) -> np.ndarray:
-    """Equal pairs have equal numbers, from 0."""
-    one, two = (c.dictionary_encode().indices.to_numpy().astype(np.int64) for c in (first, last))
-    return np.unique(one * (int(two.max()) + 1) + two, return_inverse=True)[1]
+def _words_grouped(dealt: pa.Table) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    keys = dealt.column("keys").combine_chunks().flatten().dictionary_encode()
+    return keys.indices.to_numpy().astype(np.int64), {"keys": keys.dictionary}
+
+
+def _phrases_grouped(dealt: pa.Table) -> tuple[np.ndarray, dict[str, pa.Array]]:
+    first, last = (np.concatenate([_unpacked(v, c) for v in dealt.column(c)]) for c in ("first", "last"))
+    order = np.lexsort((last, first))
+    own = np.append(True, (np.diff(first[order]) != 0) | (np.diff(last[order]) != 0))
+    group = np.empty(len(order), np.int64)
+    group[order] = np.cumsum(own) - 1
+    heads = order[own]
+    return group, {"first": pa.array(first[heads]), "last": pa.array(last[heads])}
 
 
-def _frequent(min_count: int):
+def _frequent(min_count: int, grouped: Callable[[pa.Table], tuple[np.ndarray, dict[str, pa.Array]]]):
     def run(dealt: pa.Table) -> pa.Table:
         """One part over all blocks: what is frequent there (a row without block), and each block's share of it."""
-        dealt = dealt.combine_chunks()
-        part = dealt.column("part")[0].as_py()
-        codes, first, last, n = (dealt.column(c).chunk(0).flatten() for c in ("codes", "first", "last", "n"))
-        group = _groups(first, last)
-        total = np.zeros(int(group.max()) + 1, np.int64)
-        np.add.at(total, group, n.to_numpy())
+        codes, n = [[_unpacked(v, c) for v in dealt.column(c)] for c in ("codes", "n")]
+        group, keys = grouped(dealt)
+        total = np.bincount(group, np.concatenate(n)).astype(np.int64)  # exact below 2^53
         often = total >= min_count
-        ids = (part << 32) + np.cumsum(often) - 1
+        ids = (dealt.column("part")[0].as_py() << 32) + np.cumsum(often) - 1
         kept = often[group]
-        one = np.full(len(total), -1, np.int64)
-        one[group] = np.arange(len(group))
-        one = pa.array(one[often])
-        row = np.repeat(np.arange(dealt.num_rows), dealt.column("codes").chunk(0).value_lengths().to_numpy())
-        starts = np.searchsorted(row[kept], np.arange(dealt.num_rows))
-        blocks = pa.concat_arrays([pa.array([None], pa.int64()), dealt.column("block").chunk(0)])
-        size = dealt.num_rows
-
-        def column(whole: pa.Array, own: pa.Array | None = None) -> pa.Array:
-            below = pa.nulls(size, pa.list_(whole.type)) if own is None else _lists(own, starts)
-            return pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(whole)], pa.int32()), whole), below])
-
-        none = pa.array([], pa.int32())
-        columns = [blocks, column(none, codes.filter(pa.array(kept))), column(pa.array(ids[often]), pa.array(ids[group[kept]])), column(first.take(one)), column(last.take(one)), column(pa.array(total[often]))]
-        return pa.Table.from_arrays(columns, names=["block", "codes", "ids", "first", "last", "n"])
+        starts = np.searchsorted(np.flatnonzero(kept), np.cumsum([0] + [len(c) for c in codes[:-1]]))
+        blocks = pa.concat_arrays([pa.array([None], pa.int64()), *dealt.column("block").chunks])
+        shares = [np.concatenate(codes)[kept], ids[group[kept]]]
+        columns = {"block": blocks} | {c: pa.concat_arrays([pa.nulls(1, pa.binary()), _packed_slices(v, starts)]) for c, v in zip(("codes", "ids"), shares, strict=True)}
+        for name, own in {"id": pa.array(ids[often]), "n": pa.array(total[often]), **{k: v.filter(pa.array(often)) for k, v in keys.items()}}.items():
+            columns[name] = pa.concat_arrays([_listed_slices(own, np.zeros(1, np.int64)), pa.nulls(dealt.num_rows, pa.list_(own.type))])
+        return pa.table(columns)
 
     return run
 
 
 def _renumbered(kept: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
     """New numbers of a block's old codes (-1: not frequent), and the frequent ones' ids."""
-    codes, ids = (np.concatenate([_ints(v) for v in kept.column(c)]) for c in ("codes", "ids"))
+    codes, ids = (np.concatenate([_unpacked(v, c) for v in kept.column(c)]) for c in ("codes", "ids"))
     new = np.full(size, _BREAK, np.int32)
     new[codes] = np.arange(len(codes), dtype=np.int32)
     return new, ids
 
 
 def _table(block: int, *columns: np.ndarray) -> pa.Table:
-    arrays = [pa.array([block], pa.int64())] + [pa.array([c], t.type) for c, t in zip(columns, list(_RELATION)[1:], strict=True)]
+    types = [_WIDE.get(name, np.int32) for name in _RELATION.names[1:]]
+    arrays = [pa.array([block], pa.int64())] + [pa.array([c.astype(t).tobytes()], pa.binary()) for c, t in zip(columns, types, strict=True)]
     return pa.Table.from_arrays(arrays, schema=_RELATION)
 
 
@@ -249,7 +254,7 @@ def _frequent_words(blocks: pa.Table, kept: pa.Table) -> pa.Table:
     """Relation 1 of a block: its items with only the frequent words left."""
     if not blocks.num_rows or not kept.num_rows:
         return _NOTHING
-    items = _ints(blocks.column("items")[0])
+    items = _unpacked(blocks.column("items")[0], "items")
     new, ids = _renumbered(kept, int(max(items.max(), (_AHEAD - items).max())) + 1)
     ahead, own = items <= _AHEAD, items >= 0
     out = np.full(len(items), _BREAK, np.int32)
@@ -276,12 +281,14 @@ def _frequent_phrases(k: int):
     return run
 
 
-def _agreed(counts: DataFrame, keys: str, min_count: int, purpose: str) -> tuple[DataFrame, DataFrame]:
-    """``first, last, n, id`` of the frequent groups, and each block's frequent numbers."""
-    dealt = counts.groupBy("part").applyInArrow(_frequent(min_count), f"block long, codes array<int>, ids array<long>, first array<{keys}>, last array<{keys}>, n array<long>")
-    found = stage(dealt, purpose)
-    groups = found.where("block is null").select(F.inline(F.arrays_zip("first", "last", "n", "ids"))).withColumnRenamed("ids", "id")
-    return groups, found.where("block is not null and size(codes) > 0").select("block", "codes", "ids")
+def _agreed(dealt: DataFrame, keys: dict[str, str], min_count: int, purpose: str) -> tuple[DataFrame, DataFrame]:
+    """``id, n`` and the keys of the frequent groups, and each block's frequent numbers."""
+    grouped = _words_grouped if "keys" in keys else _phrases_grouped
+    names = {"id": "long", "n": "long"} | keys
+    ddl = ", ".join(["block long, codes binary, ids binary"] + [f"{c} array<{t}>" for c, t in names.items()])
+    found = stage(dealt.groupBy("part").applyInArrow(_frequent(min_count, grouped), ddl), purpose)
+    groups = found.where("block is null").select(F.inline(F.arrays_zip(*names)))
+    return groups, found.where("block is not null and length(codes) > 0").select("block", "codes", "ids")
 
 
 def _extended(relation: DataFrame, kept: DataFrame, function) -> DataFrame:
@@ -300,16 +307,16 @@ def frequent_phrases(
     """
     blocks = stage(_blocks(documents, text_column, lang_column, longest, block_words), "phrase-blocks")
     parts = max(1, blocks.count() * min(block_words, BLOCK_WORDS) // PART_WORDS)
-    totals = blocks.select(F.inline(F.arrays_zip("n_langs", "n_words"))).groupBy(F.col("n_langs").alias("lang")).agg(F.sum("n_words").alias("n"))
-    keys = "part long, block long, codes array<int>, first array<{0}>, last array<{0}>, n array<long>"
-    counts = blocks.select("block", "langs", "words", "items").mapInArrow(_word_counts(parts), keys.format("string"))
-    frequent, kept = _agreed(counts, "string", min_count, "frequent-1")
-    phrases = frequent.select("id", F.col("first").alias("lang"), F.col("last").alias("phrase"), F.lit(1).alias("words"), "n")
+    totals = blocks.select(F.inline(F.arrays_zip("langs", "totals"))).groupBy(F.col("langs").alias("lang")).agg(F.sum("totals").alias("n"))
+    counts = blocks.select("block", "keys", "items").mapInArrow(_word_counts(parts), _DEALT_WORDS)
+    frequent, kept = _agreed(counts, {"keys": "string"}, min_count, "frequent-1")
+    blank = F.instr("keys", " ")
+    phrases = frequent.select("id", F.expr("substring(keys, instr(keys, ' ') + 1)").alias("lang"), F.substring("keys", F.lit(1), blank - 1).alias("phrase"), F.lit(1).alias("words"), "n")
     words, found = phrases.select(F.col("id").alias("last"), F.col("phrase").alias("_last")), [phrases]
     relation = _extended(blocks.select("block", "items"), kept, _frequent_words)
     for k in range(1, longest):
         relation = stage(relation, f"occurrences-{k}")
-        frequent, kept = _agreed(relation.mapInArrow(_candidate_counts(k, parts), keys.format("long")), "long", min_count, f"frequent-{k + 1}")
+        frequent, kept = _agreed(relation.mapInArrow(_candidate_counts(k, parts), _DEALT_PHRASES), {"first": "long", "last": "long"}, min_count, f"frequent-{k + 1}")
         shorter = phrases.select(F.col("id").alias("first"), "lang", F.col("phrase").alias("_first"))
         longer = frequent.join(shorter, "first").join(words, "last")
         phrases = stage(longer.select("id", "lang", F.concat_ws(" ", "_first", "_last").alias("phrase"), F.lit(k + 1).alias("words"), "n"), f"phrases-{k + 1}")
