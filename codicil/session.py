@@ -17,6 +17,8 @@ REQUIRED = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows may be whole texts: a batch is bounded by its bytes.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "16m",
     # Parquet stamps without a zone are UTC instants.
     "spark.sql.parquet.inferTimestampNTZ.enabled": "false",
 }
