@@ -31,8 +31,8 @@ from pyspark.sql import Window as W
 
 from codicil.llm.shared import stage
 
-BLOCK_WORDS = 1 << 19
-PART_WORDS = 1 << 21  # places whose candidates meet in one part
+BLOCK_WORDS = 1 << 18
+PART_WORDS = 1 << 20  # places whose candidates meet in one part
 UNDETERMINED = "und"
 
 _BREAK, _SKIP, _AHEAD = -1, -2, -3  # an item below _SKIP is look-ahead: _AHEAD minus its code
@@ -130,6 +130,7 @@ def _blocks(documents: DataFrame, text_column: str, lang_column: str, longest: i
                     at = end
                     if block.size >= block_words:
                         yield closed()
+                        pa.default_memory_pool().release_unused()
                         number, block = number + 1, _Block()
         if block.size:
             yield closed()
