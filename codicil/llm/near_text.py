@@ -95,7 +95,7 @@ def _signature(shingles: np.ndarray) -> np.ndarray:
 
 
 _PROFILE = pa.schema(
-    [("id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))]
+    [("id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))]
 )
 
 
@@ -118,12 +118,13 @@ def profiles(documents: DataFrame, width: int, id_column: str, text_column: str)
                 sketches.append((values & np.uint64(0xFF)).astype(np.uint8).view(np.int64))
                 parities.append(_parity(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
+                [batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()),
                  pa.array(keys, _PROFILE.field("keys").type), pa.array(sketches, _PROFILE.field("sketch").type), pa.array(parities, _PROFILE.field("parity").type)], schema=_PROFILE,
             )
 
-    narrow = documents.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "id long, n_shingles long, node binary, keys array<long>, sketch array<long>, parity array<long>")
+    text = F.col(text_column).cast("string")
+    narrow = documents.select(F.col(id_column).cast("long").alias("id"), text.alias("text"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"))
+    return narrow.mapInArrow(run, "id long, text_hash long, n_shingles long, node binary, keys array<long>, sketch array<long>, parity array<long>")
 
 
 def _differing(a: Column, b: Column) -> Column:
@@ -187,12 +188,12 @@ def _sets(documents: DataFrame, classes: DataFrame, posted: DataFrame, width: in
 def near_duplicate_classes(
     documents: DataFrame, width: int = 5, similarity: int = 80, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """Per document ``id, n_shingles, component_id, kept``; ``similarity`` is in hundredths.
+    """Per document ``id, text_hash, n_shingles, component, component_id, kept``; ``similarity`` is in hundredths.
 
     Words are ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z.  Fewer words than
     ``width`` make one shingle; a null, empty or blank text has an empty set and is
     linked with nothing.  Equal sets are linked.  ``component_id`` is the smallest id
-    reachable by links.  Rows are kept if they carry it (rows repeating an id repeat
+    reachable by links, ``component`` (null for an empty set) tells components without any id apart.  Rows are kept if they carry it (rows repeating an id repeat
     their result; a row without an id is kept if its class has no id at all).  Other
     columns of ``documents`` are not read.  An empty table gives no rows.
     """
@@ -207,10 +208,10 @@ def near_duplicate_classes(
     joined = components(links, "left", "right")
     roots = classes.select("node", "id").join(joined, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
     least = roots.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = roots.join(least, "component").select("node", "component_id")
-    out = profiled.select("id", "n_shingles", "node").join(named, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select("id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    named = roots.join(least, "component").select("node", "component", "component_id")
+    out = profiled.select("id", "text_hash", "n_shingles", "node").join(named, "node", "left")
+    own = F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id"))
+    return out.select("id", "text_hash", "n_shingles", "component", own.alias("component_id")).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
 def class_links(documents: DataFrame, classes: DataFrame, width: int, similarity: int, id_column: str, text_column: str) -> DataFrame:

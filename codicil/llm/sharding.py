@@ -84,11 +84,15 @@ def _dealt(rows: DataFrame, byte_limit: int) -> DataFrame:
     return salted.select("id", "n_bytes", F.col("bits").alias("bucket"), F.lit(BITS).alias("depth"), (number * GROUPS + F.col("salt") + 1).cast("long").alias("part"))
 
 
-def write_shards(documents: DataFrame, folder: str, byte_limit: int, id_column: str = "doc_id", text_column: str = "text") -> None:
-    """Writes the rows of ``documents`` as Parquet, one folder ``shard_id=...`` a shard.
+def write_shards(documents: DataFrame, folder: str, byte_limit: int, id_column: str = "doc_id", text_column: str = "text", shard_column: str = "shard_id") -> None:
+    """Writes the rows of ``documents`` as Parquet, one folder ``<shard_column>=...`` a shard.
 
-    Rows must have distinct ids.
+    Rows must have distinct ids.  ``shard_column`` must not be a column of ``documents``.
     """
-    where = shard(documents, byte_limit, id_column, text_column).select(F.col("id").alias("_id"), "shard_id")
-    joined = documents.join(where, F.col(id_column).eqNullSafe(F.col("_id"))).drop("_id")
-    joined.repartition("shard_id").write.partitionBy("shard_id").parquet(folder)
+    if shard_column in documents.columns:
+        raise ValueError(f"documents have a column {shard_column}; name another for the shard")
+    where = shard(documents, byte_limit, id_column, text_column).select("id", "shard_id")
+    names = {c: f"c{i}" for i, c in enumerate(documents.columns)}
+    joined = documents.toDF(*names.values()).join(where, F.col(names[id_column]).eqNullSafe(F.col("id"))).drop("id")
+    joined = joined.repartition("shard_id").toDF(*documents.columns, shard_column)
+    joined.write.partitionBy(shard_column).parquet(folder)

@@ -79,3 +79,13 @@ def test_stages_on_odd_and_empty_tables(spark, odd, nothing):
         assert sorted(i for i in ids if i is not None) == ([1, 3, 4, 5, 6, 8, 9, 10, 11] if rows else [])
         assert len(ids) == (10 if rows else 0)
         assert corpus_pipeline.pack_sequences(spark, docs, SF).count() >= len(ids)
+
+
+def test_one_row_stays_of_a_group_without_ids_and_of_several_texts_of_one_id(spark):
+    copy, other = "one two three four five six seven eight nine ten", "quite another text of more than five words"
+    rows = [(None, copy)] * 3 + [(None, copy.upper())] + [(5, copy + " eleven"), (5, other), (5, other), (7, other), (8, None), (8, None), (None, None), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r["doc_id"], r["text"]) for r in corpus_pipeline.drop_near_duplicates(spark, docs, SF).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(5, copy + " eleven"), (5, other), (8, None), (None, None), (None, "")]))
+    nameless = docs.where("doc_id is null and text is not null")
+    assert corpus_pipeline.drop_near_duplicates(spark, nameless, SF).count() == 2
