@@ -40,17 +40,30 @@ _PUNCTUATION = b".,;:!?\n\x0b\x0c\r"
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _PLAIN = bytes.maketrans(_PUNCTUATION + b"\t" + _UPPER, b"\n" * len(_PUNCTUATION) + b" " + _LOWER)
 
-_BLOCK = pa.schema([("block", pa.int64()), ("keys", pa.list_(pa.string())), ("items", pa.binary()), ("langs", pa.list_(pa.string())), ("totals", pa.list_(pa.int64()))])
-_RELATION = pa.schema([("block", pa.int64())] + [(name, pa.binary()) for name in ("items", "ids", "places", "grams", "gram_ids")])
-_BLOCK_DDL = "block long, keys array<string>, items binary, langs array<string>, totals array<long>"
-_RELATION_DDL = "block long, items binary, ids binary, places binary, grams binary, gram_ids binary"
+_BLOCK = pa.schema([("block", pa.int64()), ("keys", pa.list_(pa.string())), ("size", pa.int64()), ("items", pa.binary()), ("langs", pa.list_(pa.string())), ("totals", pa.list_(pa.int64()))])
+_RELATION = pa.schema([("block", pa.int64()), ("size", pa.int64())] + [(name, pa.binary()) for name in ("items", "ids", "places", "grams", "gram_ids")])
+_BLOCK_DDL = "block long, keys array<string>, size long, items binary, langs array<string>, totals array<long>"
+_RELATION_DDL = "block long, size long, items binary, ids binary, places binary, grams binary, gram_ids binary"
 _DEALT_WORDS = "part long, block long, codes binary, n binary, keys array<string>"
 _DEALT_PHRASES = "part long, block long, codes binary, n binary, first binary, last binary"
-_WIDE = {"ids": np.int64, "gram_ids": np.int64, "first": np.int64, "last": np.int64, "n": np.int64}  # other packed columns: 32 bits
 
 
-def _unpacked(value: pa.Scalar, name: str) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), _WIDE.get(name, np.int32))
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The same numbers in as few bytes each as all of them need."""
+    low, high = (int(values.min()), int(values.max())) if len(values) else (0, 0)
+    for kind in (np.int8, np.int16, np.int32):
+        if np.iinfo(kind).min <= low and high <= np.iinfo(kind).max:
+            return values.astype(kind)
+    return values.astype(np.int64)
+
+
+def _unpacked(value: pa.Scalar, count: int) -> np.ndarray:
+    """``count`` numbers of any width."""
+    return np.frombuffer(value.as_buffer(), f"i{len(value.as_buffer()) // count}") if count else np.empty(0, np.int64)
+
+
+def _ids(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.int64)
 
 
 def _packed_slices(values: np.ndarray, starts: np.ndarray) -> pa.Array:
@@ -117,7 +130,8 @@ def _blocks(documents: DataFrame, text_column: str, lang_column: str, longest: i
         number, block = TaskContext.get().partitionId() << 32, _Block()
 
         def closed() -> pa.RecordBatch:
-            columns = [[number], [block.keys], [np.concatenate(block.items).tobytes()], [list(block.totals)], [list(block.totals.values())]]
+            items = np.concatenate(block.items)
+            columns = [[number], [block.keys], [len(items)], [_narrow(items).tobytes()], [list(block.totals)], [list(block.totals.values())]]
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _BLOCK, strict=True)], schema=_BLOCK)
 
         for batch in batches:
@@ -143,7 +157,7 @@ def _dealt(block: int, part: np.ndarray, n: np.ndarray, keys: dict[str, np.ndarr
     order = np.argsort(part, kind="stable")
     parts, starts = np.unique(part[order], return_index=True)
     columns = {"part": pa.array(parts.astype(np.int64)), "block": pa.array(np.full(len(parts), block))}
-    columns |= {"codes": _packed_slices(order.astype(np.int32), starts), "n": _packed_slices(n[order].astype(np.int64), starts)}
+    columns |= {"codes": _packed_slices(_narrow(order), starts), "n": _packed_slices(_narrow(n[order]), starts)}
     columns |= {name: _listed_slices(k.take(pa.array(order)), starts) if isinstance(k, pa.Array) else _packed_slices(k[order], starts) for name, k in keys.items()}
     return pa.RecordBatch.from_pydict(columns)
 
@@ -152,8 +166,8 @@ def _word_counts(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each block's words; look-ahead does not count."""
         for batch in batches:
-            for block, keys, items in zip(*batch.columns, strict=True):
-                own = _unpacked(items, "items")
+            for block, keys, size, items in zip(*batch.columns, strict=True):
+                own = _unpacked(items, size.as_py())
                 counts = np.bincount(own[own >= 0], minlength=len(keys.values))
                 if len(counts):
                     part = np.fromiter((zlib.crc32(k.encode()) % parts for k in keys.as_py()), np.int64, len(counts))
@@ -171,7 +185,7 @@ def _merged(relation: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, np.nda
     items, places, grams = relation["items"], relation["places"], relation["grams"]
     inside = places + k < len(items)
     places, grams = places[inside], grams[inside]
-    following = items[places + k]
+    following = items[places + k].astype(np.int64)
     word = np.where(following <= _AHEAD, _AHEAD - following, following)
     known = word >= 0
     width = max(len(relation["ids"]), 1)
@@ -180,7 +194,14 @@ def _merged(relation: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, np.nda
 
 
 def _relation(row: list[pa.Scalar]) -> dict[str, np.ndarray]:
-    return {name: _unpacked(value, name) for name, value in zip(_RELATION.names[1:], row[1:], strict=True)}
+    """A block's relation; relation 1 is in its items and ids alone."""
+    _, size, items, ids, places, grams, gram_ids = row
+    out = {"items": _unpacked(items, size.as_py()), "ids": _ids(ids)}
+    if places.as_py() is None:
+        own = np.flatnonzero(out["items"] >= 0)
+        return out | {"places": own, "grams": out["items"][own], "gram_ids": out["ids"]}
+    own = np.flatnonzero(np.unpackbits(np.frombuffer(places.as_buffer(), np.uint8), count=size.as_py()))
+    return out | {"places": own, "grams": _unpacked(grams, len(own)), "gram_ids": _ids(gram_ids)}
 
 
 def _candidate_counts(k: int, parts: int):
@@ -199,33 +220,37 @@ def _candidate_counts(k: int, parts: int):
     return run
 
 
-def _words_grouped(dealt: pa.Table) -> tuple[np.ndarray, dict[str, pa.Array]]:
-    keys = dealt.column("keys").combine_chunks().flatten().dictionary_encode()
-    return keys.indices.to_numpy().astype(np.int64), {"keys": keys.dictionary}
+Grouped = tuple[np.ndarray, dict[str, pa.Array], list[int]]  # number of each entry's group, the groups' keys, entries of each row
+
+
+def _words_grouped(dealt: pa.Table) -> Grouped:
+    lists = dealt.column("keys").combine_chunks()
+    keys = lists.flatten().dictionary_encode()
+    return keys.indices.to_numpy().astype(np.int64), {"keys": keys.dictionary}, lists.value_lengths().to_pylist()
 
 
-def _phrases_grouped(dealt: pa.Table) -> tuple[np.ndarray, dict[str, pa.Array]]:
-    first, last = (np.concatenate([_unpacked(v, c) for v in dealt.column(c)]) for c in ("first", "last"))
+def _phrases_grouped(dealt: pa.Table) -> Grouped:
+    first, last = (np.concatenate([_ids(v) for v in dealt.column(c)]) for c in ("first", "last"))
     order = np.lexsort((last, first))
     own = np.append(True, (np.diff(first[order]) != 0) | (np.diff(last[order]) != 0))
     group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(own) - 1
     heads = order[own]
-    return group, {"first": pa.array(first[heads]), "last": pa.array(last[heads])}
+    return group, {"first": pa.array(first[heads]), "last": pa.array(last[heads])}, [len(v.as_buffer()) // 8 for v in dealt.column("first")]
 
 
-def _frequent(min_count: int, grouped: Callable[[pa.Table], tuple[np.ndarray, dict[str, pa.Array]]]):
+def _frequent(min_count: int, grouped: Callable[[pa.Table], Grouped]):
     def run(dealt: pa.Table) -> pa.Table:
         """One part over all blocks: what is frequent there (a row without block), and each block's share of it."""
-        codes, n = [[_unpacked(v, c) for v in dealt.column(c)] for c in ("codes", "n")]
-        group, keys = grouped(dealt)
+        group, keys, sizes = grouped(dealt)
+        codes, n = ([_unpacked(v, size) for v, size in zip(dealt.column(c), sizes, strict=True)] for c in ("codes", "n"))
         total = np.bincount(group, np.concatenate(n)).astype(np.int64)  # exact below 2^53
         often = total >= min_count
         ids = (dealt.column("part")[0].as_py() << 32) + np.cumsum(often) - 1
         kept = often[group]
         starts = np.searchsorted(np.flatnonzero(kept), np.cumsum([0] + [len(c) for c in codes[:-1]]))
         blocks = pa.concat_arrays([pa.array([None], pa.int64()), *dealt.column("block").chunks])
-        shares = [np.concatenate(codes)[kept], ids[group[kept]]]
+        shares = [np.concatenate(codes)[kept].astype(np.int32), ids[group[kept]]]
         columns = {"block": blocks} | {c: pa.concat_arrays([pa.nulls(1, pa.binary()), _packed_slices(v, starts)]) for c, v in zip(("codes", "ids"), shares, strict=True)}
         for name, own in {"id": pa.array(ids[often]), "n": pa.array(total[often]), **{k: v.filter(pa.array(often)) for k, v in keys.items()}}.items():
             columns[name] = pa.concat_arrays([_listed_slices(own, np.zeros(1, np.int64)), pa.nulls(dealt.num_rows, pa.list_(own.type))])
@@ -236,16 +261,20 @@ def _frequent(min_count: int, grouped: Callable[[pa.Table], tuple[np.ndarray, di
 
 def _renumbered(kept: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
     """New numbers of a block's old codes (-1: not frequent), and the frequent ones' ids."""
-    codes, ids = (np.concatenate([_unpacked(v, c) for v in kept.column(c)]) for c in ("codes", "ids"))
+    codes = np.concatenate([np.frombuffer(v.as_buffer(), np.int32) for v in kept.column("codes")])
     new = np.full(size, _BREAK, np.int32)
     new[codes] = np.arange(len(codes), dtype=np.int32)
-    return new, ids
+    return new, np.concatenate([_ids(v) for v in kept.column("ids")])
 
 
-def _table(block: int, *columns: np.ndarray) -> pa.Table:
-    types = [_WIDE.get(name, np.int32) for name in _RELATION.names[1:]]
-    arrays = [pa.array([block], pa.int64())] + [pa.array([c.astype(t).tobytes()], pa.binary()) for c, t in zip(columns, types, strict=True)]
-    return pa.Table.from_arrays(arrays, schema=_RELATION)
+def _table(block: int, items: np.ndarray, ids: np.ndarray, places: np.ndarray | None = None, grams: np.ndarray | None = None, gram_ids: np.ndarray | None = None) -> pa.Table:
+    own = [None] * 3
+    if places is not None:
+        mask = np.zeros(len(items), np.uint8)
+        mask[places] = 1
+        own = [np.packbits(mask).tobytes(), _narrow(grams).tobytes(), gram_ids.tobytes()]
+    row = [block, len(items), _narrow(items).tobytes(), ids.tobytes(), *own]
+    return pa.Table.from_arrays([pa.array([v], t.type) for v, t in zip(row, _RELATION, strict=True)], schema=_RELATION)
 
 
 _NOTHING = _RELATION.empty_table()
@@ -255,15 +284,14 @@ def _frequent_words(blocks: pa.Table, kept: pa.Table) -> pa.Table:
     """Relation 1 of a block: its items with only the frequent words left."""
     if not blocks.num_rows or not kept.num_rows:
         return _NOTHING
-    items = _unpacked(blocks.column("items")[0], "items")
+    items = _unpacked(blocks.column("items")[0], blocks.column("size")[0].as_py()).astype(np.int32)
     new, ids = _renumbered(kept, int(max(items.max(), (_AHEAD - items).max())) + 1)
     ahead, own = items <= _AHEAD, items >= 0
     out = np.full(len(items), _BREAK, np.int32)
     out[own] = new[items[own]]
     moved = new[_AHEAD - items[ahead]]
     out[ahead] = np.where(moved >= 0, _AHEAD - moved, _BREAK)
-    places = np.flatnonzero(out >= 0).astype(np.int32)
-    return _table(blocks.column("block")[0].as_py(), out, ids, places, out[places], ids)
+    return _table(blocks.column("block")[0].as_py(), out, ids)
 
 
 def _frequent_phrases(k: int):
@@ -277,7 +305,11 @@ def _frequent_phrases(k: int):
         new, ids = _renumbered(kept, len(phrase))
         grams = new[number]
         frequent = grams >= 0
-        return _table(row[0].as_py(), relation["items"], relation["ids"], places[frequent], grams[frequent], ids)
+        # Words behind no phrase are blanked out: all parts of a frequent phrase are frequent.
+        reached = np.zeros(len(relation["items"]) + 1, bool)
+        reached[np.minimum(places[frequent] + k + 1, len(relation["items"]))] = True
+        items = np.where(reached[:-1], relation["items"], _BREAK)
+        return _table(row[0].as_py(), items, relation["ids"], places[frequent], grams[frequent], ids)
 
     return run
 
@@ -309,12 +341,12 @@ def frequent_phrases(
     blocks = stage(_blocks(documents, text_column, lang_column, longest, block_words), "phrase-blocks")
     parts = max(1, blocks.count() * min(block_words, BLOCK_WORDS) // PART_WORDS)
     totals = blocks.select(F.inline(F.arrays_zip("langs", "totals"))).groupBy(F.col("langs").alias("lang")).agg(F.sum("totals").alias("n"))
-    counts = blocks.select("block", "keys", "items").mapInArrow(_word_counts(parts), _DEALT_WORDS)
+    counts = blocks.select("block", "keys", "size", "items").mapInArrow(_word_counts(parts), _DEALT_WORDS)
     frequent, kept = _agreed(counts, {"keys": "string"}, min_count, "frequent-1")
     blank = F.instr("keys", " ")
     phrases = frequent.select("id", F.expr("substring(keys, instr(keys, ' ') + 1)").alias("lang"), F.substring("keys", F.lit(1), blank - 1).alias("phrase"), F.lit(1).alias("words"), "n")
     words, found = phrases.select(F.col("id").alias("last"), F.col("phrase").alias("_last")), [phrases]
-    relation = _extended(blocks.select("block", "items"), kept, _frequent_words)
+    relation = _extended(blocks.select("block", "size", "items"), kept, _frequent_words)
     for k in range(1, longest):
         relation = stage(relation, f"occurrences-{k}")
         frequent, kept = _agreed(relation.mapInArrow(_candidate_counts(k, parts), _DEALT_PHRASES), {"first": "long", "last": "long"}, min_count, f"frequent-{k + 1}")
