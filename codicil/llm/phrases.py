@@ -80,14 +80,13 @@ def _listed_slices(values: pa.Array, starts: np.ndarray) -> pa.ListArray:
 class _Codes(dict):
     """Codes of the words of one language in one block, given out as words turn up."""
 
-    def __init__(self, lang: str, block: _Block) -> None:
+    def __init__(self, lang: str, keys: list[str]) -> None:
         super().__init__({b"": _SKIP, b"\n": _BREAK})
-        self.lang, self.block = lang, block
+        self.lang, self.keys = lang, keys
 
     def __missing__(self, word: bytes) -> int:
-        keys = self.block.keys
-        keys.append(f"{word.decode('utf-8', 'replace')} {self.lang}")
-        code = self[word] = len(keys) - 1
+        self.keys.append(f"{word.decode('utf-8', 'replace')} {self.lang}")
+        code = self[word] = len(self.keys) - 1
         return code
 
 
@@ -102,7 +101,7 @@ class _Block:
     def add(self, lang: str, tokens: list[bytes], ahead: list[bytes]) -> None:
         codes = self.codes.get(lang)
         if codes is None:
-            codes = self.codes[lang] = _Codes(lang, self)
+            codes = self.codes[lang] = _Codes(lang, self.keys)
         items = np.fromiter(map(codes.__getitem__, tokens), np.int32, len(tokens))
         items = items[items != _SKIP]
         further = np.array([_AHEAD - codes[w] for w in ahead], np.int32)
@@ -144,7 +143,6 @@ def _blocks(documents: DataFrame, text_column: str, lang_column: str, longest: i
                     at = end
                     if block.size >= block_words:
                         yield closed()
-                        pa.default_memory_pool().release_unused()
                         number, block = number + 1, _Block()
         if block.size:
             yield closed()
