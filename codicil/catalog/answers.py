@@ -22,8 +22,9 @@ def _digits(x: str) -> str:
 
 
 # A source is named when its file name or bare title stands in the sentence; "line-1" must not match inside "line-12".
-_NAMED = """named AS (SELECT answer_id, sentence_no, list(DISTINCT path ORDER BY path) AS cited FROM sents JOIN contexts USING (answer_id)
- WHERE regexp_matches(lower(sentence), '(^|[^a-z0-9])' || title || '($|[^0-9])') GROUP BY answer_id, sentence_no)"""
+# Titles are "line-" and a number, so the titles a sentence spells out meet the sources by equality.
+_NAMED = """spelt AS (SELECT DISTINCT answer_id, sentence_no, unnest(regexp_extract_all(lower(sentence), '(?:^|[^a-z0-9])(line-[0-9]+)', 1)) AS title FROM sents),
+ named AS (SELECT answer_id, sentence_no, list(DISTINCT path ORDER BY path) AS cited FROM spelt JOIN contexts USING (answer_id, title) GROUP BY answer_id, sentence_no)"""
 _BARE = "regexp_replace(regexp_replace(lower(sentence), 'line-[0-9]+(\\.md)?', ' ', 'g'), 'x^', '')"
 _ROLES = rf"""{ANSWERS}, {_SPLIT}, {_NAMED}, roles AS (SELECT answer_id, sentence_no, sentence, coalesce(cited, []) AS cited,
  CASE WHEN sentence[1] = '⚠' THEN 'notice' WHEN cited IS NOT NULL THEN CASE WHEN regexp_matches({_BARE}, '\d') OR list_has_any(string_split({_BARE}, ' '),

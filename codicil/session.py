@@ -38,6 +38,7 @@ def local_session(cpus: int = 8, app: str = "codicil", memory: str = "12g") -> S
         .appName(app)
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cpus))
         # One machine and small tables: keep every core busy after a shuffle.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
