@@ -27,5 +27,5 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     from codicil.catalog import (  # noqa: F401
-        answers, corpus, filters, history, joins, operations, ranking, streams,
+        answers, corpus, filters, grounding, history, joins, operations, ranking, streams,
     )
