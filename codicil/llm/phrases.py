@@ -9,7 +9,7 @@ repeated as a look-ahead.  Texts and pieces of any length are cut into blocks, s
 task holds one block at a time.
 
 Length ``k + 1`` follows from length ``k`` by a merge join of relation ``k`` with
-relation 1 on the next place.  Each block counts its own distinct candidates and deals
+itself on neighbouring places: both phrases of ``k`` words must be frequent.  Each block counts its own distinct candidates and deals
 them out by a hash of the phrase, a row of arrays for each part; a part adds up its
 candidates over all blocks and answers each block with those that reach ``min_count``,
 which alone stay in the relation before the next length.  Phrases are compared as
@@ -20,7 +20,7 @@ third of a corpus is one entry a block.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +40,13 @@ _PUNCTUATION = b".,;:!?\n\x0b\x0c\r"
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
 _PLAIN = bytes.maketrans(_PUNCTUATION + b"\t" + _UPPER, b"\n" * len(_PUNCTUATION) + b" " + _LOWER)
 
-_BLOCK = pa.schema([("block", pa.int64()), ("keys", pa.list_(pa.string())), ("size", pa.int64()), ("items", pa.binary()), ("langs", pa.list_(pa.string())), ("totals", pa.list_(pa.int64()))])
-_RELATION = pa.schema([("block", pa.int64()), ("size", pa.int64())] + [(name, pa.binary()) for name in ("items", "ids", "places", "grams", "gram_ids")])
-_BLOCK_DDL = "block long, keys array<string>, size long, items binary, langs array<string>, totals array<long>"
-_RELATION_DDL = "block long, size long, items binary, ids binary, places binary, grams binary, gram_ids binary"
-_DEALT_WORDS = "part long, block long, codes binary, n binary, keys array<string>"
-_DEALT_PHRASES = "part long, block long, codes binary, n binary, first binary, last binary"
+_BLOCK = pa.schema([("block", pa.int64()), ("keys", pa.binary()), ("count", pa.int64()), ("size", pa.int64()), ("items", pa.binary()), ("langs", pa.list_(pa.string())), ("totals", pa.list_(pa.int64()))])
+_BLOCK_DDL = "block long, keys binary, count long, size long, items binary, langs array<string>, totals array<long>"
+# Places in order, the phrase at each (a number of the block), and the block's phrases' ids; the first ``own`` places are not look-ahead.
+_RELATION = pa.schema([("block", pa.int64()), ("own", pa.int64()), ("size", pa.int64()), ("places", pa.binary()), ("grams", pa.binary()), ("count", pa.int64()), ("ids", pa.binary())])
+_RELATION_DDL = "block long, own long, size long, places binary, grams binary, count long, ids binary"
+_DEALT_WORDS = "part long, block long, count long, codes binary, n binary, keys binary"
+_DEALT_PHRASES = "part long, block long, count long, codes binary, n binary, first binary, last binary"
 
 
 def _narrow(values: np.ndarray) -> np.ndarray:
@@ -62,8 +63,16 @@ def _unpacked(value: pa.Scalar, count: int) -> np.ndarray:
     return np.frombuffer(value.as_buffer(), f"i{len(value.as_buffer()) // count}") if count else np.empty(0, np.int64)
 
 
-def _ids(value: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), np.int64)
+def _steps(values: np.ndarray, starts: Sequence[int] | np.ndarray = (0,)) -> np.ndarray:
+    """Differences of rising numbers, from 0 at each of ``starts``: small where the numbers are close."""
+    out = np.diff(values, prepend=0)
+    heads = np.asarray(starts)[np.asarray(starts) < len(values)]
+    out[heads] = values[heads]
+    return _narrow(out)
+
+
+def _summed(value: pa.Scalar, count: int) -> np.ndarray:
+    return np.cumsum(_unpacked(value, count), dtype=np.int64)
 
 
 def _packed_slices(values: np.ndarray, starts: np.ndarray) -> pa.Array:
@@ -73,8 +82,9 @@ def _packed_slices(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
 
 
-def _listed_slices(values: pa.Array, starts: np.ndarray) -> pa.ListArray:
-    return pa.ListArray.from_arrays(pa.array(np.append(starts, len(values)).astype(np.int32)), values)
+def _listed(values: pa.Array, nulls: int) -> pa.Array:
+    """A list column: all of ``values``, then ``nulls`` rows without."""
+    return pa.concat_arrays([pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values), pa.nulls(nulls, pa.list_(values.type))])
 
 
 class _Codes(dict):
@@ -82,7 +92,7 @@ class _Codes(dict):
 
     def __init__(self, lang: str, keys: list[str]) -> None:
         super().__init__({b"": _SKIP, b"\n": _BREAK})
-        self.lang, self.keys = lang, keys
+        self.lang, self.keys = lang.replace("\t", "\tt").replace("\n", "\tn"), keys  # on one line
 
     def __missing__(self, word: bytes) -> int:
         self.keys.append(f"{word.decode('utf-8', 'replace')} {self.lang}")
@@ -130,7 +140,7 @@ def _blocks(documents: DataFrame, text_column: str, lang_column: str, longest: i
 
         def closed() -> pa.RecordBatch:
             items = np.concatenate(block.items)
-            columns = [[number], [block.keys], [len(items)], [_narrow(items).tobytes()], [list(block.totals)], [list(block.totals.values())]]
+            columns = [[number], ["\n".join(block.keys).encode()], [len(block.keys)], [len(items)], [_narrow(items).tobytes()], [list(block.totals)], [list(block.totals.values())]]
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _BLOCK, strict=True)], schema=_BLOCK)
 
         for batch in batches:
@@ -141,7 +151,7 @@ def _blocks(documents: DataFrame, text_column: str, lang_column: str, longest: i
                     end = min(len(tokens), at + max(block_words - block.size, 1))
                     block.add(name, tokens[at:end], _ahead(tokens, end, longest - 1))
                     at = end
-                    if block.size >= block_words:
+                    if block.size >= block_words or at < len(tokens):  # look-ahead ends a block
                         yield closed()
                         number, block = number + 1, _Block()
         if block.size:
@@ -150,13 +160,17 @@ def _blocks(documents: DataFrame, text_column: str, lang_column: str, longest: i
     return texts.mapInArrow(run, _BLOCK_DDL)
 
 
-def _dealt(block: int, part: np.ndarray, n: np.ndarray, keys: dict[str, np.ndarray | pa.Array]) -> pa.RecordBatch:
+def _dealt(block: int, part: np.ndarray, n: np.ndarray, keys: dict[str, np.ndarray] | list[bytes]) -> pa.RecordBatch:
     """A row for each part that a block has candidates for: their numbers in the block, their counts and keys."""
     order = np.argsort(part, kind="stable")
     parts, starts = np.unique(part[order], return_index=True)
-    columns = {"part": pa.array(parts.astype(np.int64)), "block": pa.array(np.full(len(parts), block))}
-    columns |= {"codes": _packed_slices(_narrow(order), starts), "n": _packed_slices(_narrow(n[order]), starts)}
-    columns |= {name: _listed_slices(k.take(pa.array(order)), starts) if isinstance(k, pa.Array) else _packed_slices(k[order], starts) for name, k in keys.items()}
+    sizes = np.diff(np.append(starts, len(order)))
+    columns = {"part": pa.array(parts.astype(np.int64)), "block": pa.array(np.full(len(parts), block)), "count": pa.array(sizes)}
+    columns |= {"codes": _packed_slices(_steps(order, starts), starts), "n": _packed_slices(_narrow(n[order]), starts)}
+    if isinstance(keys, dict):
+        columns |= {name: _packed_slices(_narrow(k[order]), starts) for name, k in keys.items()}
+    else:
+        columns["keys"] = pa.array([b"\n".join([keys[i] for i in order[a : a + size]]) for a, size in zip(starts, sizes, strict=True)], pa.binary())
     return pa.RecordBatch.from_pydict(columns)
 
 
@@ -164,162 +178,142 @@ def _word_counts(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each block's words; look-ahead does not count."""
         for batch in batches:
-            for block, keys, size, items in zip(*batch.columns, strict=True):
-                own = _unpacked(items, size.as_py())
-                counts = np.bincount(own[own >= 0], minlength=len(keys.values))
-                if len(counts):
-                    part = np.fromiter((zlib.crc32(k.encode()) % parts for k in keys.as_py()), np.int64, len(counts))
-                    yield _dealt(block.as_py(), part, counts, {"keys": keys.values})
+            for block, keys, count, size, items in zip(*batch.columns, strict=True):
+                if count.as_py():
+                    own, words = _unpacked(items, size.as_py()), keys.as_py().split(b"\n")
+                    part = np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))
+                    yield _dealt(block.as_py(), part, np.bincount(own[own >= 0], minlength=len(words)), words)
 
     return run
 
 
-def _merged(relation: dict[str, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Merge join of relation ``k`` with relation 1 on the place behind each phrase.
+def _relation(row: Sequence[pa.Scalar]) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
+    """own, places, grams, ids"""
+    _, own, size, places, grams, count, ids = row
+    size = size.as_py()
+    return own.as_py(), _summed(places, size), _unpacked(grams, size), _unpacked(ids, count.as_py())
+
+
+def _merged(places: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Merge join of a relation with itself on the next place.
 
-    Returned are the places that match, their candidates as numbers of this block, and for
-    each candidate its phrase of ``k`` words and its next word (both numbers of this block).
+    Returned are the rows that have a neighbour, their candidates as numbers of this block, and
+    for each candidate its two phrases (numbers of this block).
     """
-    items, places, grams = relation["items"], relation["places"], relation["grams"]
-    inside = places + k < len(items)
-    places, grams = places[inside], grams[inside]
-    following = items[places + k].astype(np.int64)
-    word = np.where(following <= _AHEAD, _AHEAD - following, following)
-    known = word >= 0
-    width = max(len(relation["ids"]), 1)
-    pairs, number = np.unique(grams[known].astype(np.int64) * width + word[known], return_inverse=True)
-    return places[known], number.astype(np.int32), pairs // width, pairs % width
-
-
-def _relation(row: list[pa.Scalar]) -> dict[str, np.ndarray]:
-    """A block's relation; relation 1 is in its items and ids alone."""
-    _, size, items, ids, places, grams, gram_ids = row
-    out = {"items": _unpacked(items, size.as_py()), "ids": _ids(ids)}
-    if places.as_py() is None:
-        own = np.flatnonzero(out["items"] >= 0)
-        return out | {"places": own, "grams": out["items"][own], "gram_ids": out["ids"]}
-    own = np.flatnonzero(np.unpackbits(np.frombuffer(places.as_buffer(), np.uint8), count=size.as_py()))
-    return out | {"places": own, "grams": _unpacked(grams, len(own)), "gram_ids": _ids(gram_ids)}
-
-
-def _candidate_counts(k: int, parts: int):
+    rows = np.flatnonzero(np.diff(places) == 1)
+    width = int(grams.max()) + 1 if len(grams) else 1
+    pairs, number = np.unique(grams[rows].astype(np.int64) * width + grams[rows + 1], return_inverse=True)
+    return rows, number.astype(np.int32), pairs // width, pairs % width
+
+
+def _candidate_counts(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each block's candidates of ``k + 1`` words."""
+        """Each block's candidates of one word more; look-ahead does not count."""
         for batch in batches:
             for row in zip(*batch.columns, strict=True):
-                relation = _relation(row)
-                _, number, phrase, word = _merged(relation, k)
-                if len(phrase):
-                    first, last = relation["gram_ids"][phrase], relation["ids"][word]
+                own, places, grams, ids = _relation(row)
+                rows, number, one, two = _merged(places, grams)
+                if len(one):
+                    first, last = ids[one].astype(np.int64), ids[two].astype(np.int64)
                     mixed = (first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (last.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
                     part = ((mixed >> np.uint64(29)) % np.uint64(parts)).astype(np.int64)
-                    yield _dealt(row[0].as_py(), part, np.bincount(number, minlength=len(phrase)), {"first": first, "last": last})
+                    yield _dealt(row[0].as_py(), part, np.bincount(number[rows < own], minlength=len(one)), {"first": first, "last": last})
 
     return run
 
 
-Grouped = tuple[np.ndarray, dict[str, pa.Array], list[int]]  # number of each entry's group, the groups' keys, entries of each row
+Grouped = tuple[np.ndarray, dict[str, pa.Array]]  # the number of each entry's group, the groups' keys
 
 
 def _words_grouped(dealt: pa.Table) -> Grouped:
-    lists = dealt.column("keys").combine_chunks()
-    keys = lists.flatten().dictionary_encode()
-    return keys.indices.to_numpy().astype(np.int64), {"keys": keys.dictionary}, lists.value_lengths().to_pylist()
+    keys = pa.array([w for row in dealt.column("keys") for w in row.as_py().decode().split("\n")], pa.string()).dictionary_encode()
+    return keys.indices.to_numpy().astype(np.int64), {"keys": keys.dictionary}
 
 
 def _phrases_grouped(dealt: pa.Table) -> Grouped:
-    first, last = (np.concatenate([_ids(v) for v in dealt.column(c)]) for c in ("first", "last"))
+    sizes = dealt.column("count").to_pylist()
+    first, last = (np.concatenate([_unpacked(v, n) for v, n in zip(dealt.column(c), sizes, strict=True)]).astype(np.int64) for c in ("first", "last"))
     order = np.lexsort((last, first))
     own = np.append(True, (np.diff(first[order]) != 0) | (np.diff(last[order]) != 0))
     group = np.empty(len(order), np.int64)
     group[order] = np.cumsum(own) - 1
     heads = order[own]
-    return group, {"first": pa.array(first[heads]), "last": pa.array(last[heads])}, [len(v.as_buffer()) // 8 for v in dealt.column("first")]
+    return group, {"first": pa.array(first[heads]), "last": pa.array(last[heads])}
 
 
-def _frequent(min_count: int, grouped: Callable[[pa.Table], Grouped]):
+def _frequent(min_count: int, parts: int, grouped: Callable[[pa.Table], Grouped]):
     def run(dealt: pa.Table) -> pa.Table:
         """One part over all blocks: what is frequent there (a row without block), and each block's share of it."""
-        group, keys, sizes = grouped(dealt)
-        codes, n = ([_unpacked(v, size) for v, size in zip(dealt.column(c), sizes, strict=True)] for c in ("codes", "n"))
-        total = np.bincount(group, np.concatenate(n)).astype(np.int64)  # exact below 2^53
+        sizes = dealt.column("count").to_pylist()
+        group, keys = grouped(dealt)
+        codes = np.concatenate([_summed(v, n) for v, n in zip(dealt.column("codes"), sizes, strict=True)])
+        n = np.concatenate([_unpacked(v, n) for v, n in zip(dealt.column("n"), sizes, strict=True)])
+        total = np.bincount(group, n).astype(np.int64)  # exact below 2^53
         often = total >= min_count
-        ids = (dealt.column("part")[0].as_py() << 32) + np.cumsum(often) - 1
+        ids = (np.cumsum(often) - 1) * parts + dealt.column("part")[0].as_py()
         kept = often[group]
-        starts = np.searchsorted(np.flatnonzero(kept), np.cumsum([0] + [len(c) for c in codes[:-1]]))
-        blocks = pa.concat_arrays([pa.array([None], pa.int64()), *dealt.column("block").chunks])
-        shares = [np.concatenate(codes)[kept].astype(np.int32), ids[group[kept]]]
-        columns = {"block": blocks} | {c: pa.concat_arrays([pa.nulls(1, pa.binary()), _packed_slices(v, starts)]) for c, v in zip(("codes", "ids"), shares, strict=True)}
-        for name, own in {"id": pa.array(ids[often]), "n": pa.array(total[often]), **{k: v.filter(pa.array(often)) for k, v in keys.items()}}.items():
-            columns[name] = pa.concat_arrays([_listed_slices(own, np.zeros(1, np.int64)), pa.nulls(dealt.num_rows, pa.list_(own.type))])
-        return pa.table(columns)
+        row = np.repeat(np.arange(len(sizes)), sizes)[kept]
+        starts = np.searchsorted(row, np.arange(len(sizes)))
+        shares = {"codes": _steps(codes[kept], starts), "ids": _narrow(ids[group[kept]])}
+        columns = {"block": pa.concat_arrays([pa.array([None], pa.int64()), *dealt.column("block").chunks]), "count": pa.array([0, *np.diff(np.append(starts, len(row))).tolist()], pa.int64())}
+        columns |= {name: pa.concat_arrays([pa.nulls(1, pa.binary()), _packed_slices(v, starts)]) for name, v in shares.items()}
+        groups = {"id": pa.array(ids[often]), "n": pa.array(total[often])} | {k: v.filter(pa.array(often)) for k, v in keys.items()}
+        return pa.table(columns | {name: _listed(v, len(sizes)) for name, v in groups.items()})
 
     return run
 
 
+_NOTHING = _RELATION.empty_table()
+
+
 def _renumbered(kept: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
     """New numbers of a block's old codes (-1: not frequent), and the frequent ones' ids."""
-    codes = np.concatenate([np.frombuffer(v.as_buffer(), np.int32) for v in kept.column("codes")])
-    new = np.full(size, _BREAK, np.int32)
+    sizes = kept.column("count").to_pylist()
+    codes = np.concatenate([_summed(v, n) for v, n in zip(kept.column("codes"), sizes, strict=True)])
+    new = np.full(size, -1, np.int32)
     new[codes] = np.arange(len(codes), dtype=np.int32)
-    return new, np.concatenate([_ids(v) for v in kept.column("ids")])
+    return new, np.concatenate([_unpacked(v, n) for v, n in zip(kept.column("ids"), sizes, strict=True)])
 
 
-def _table(block: int, items: np.ndarray, ids: np.ndarray, places: np.ndarray | None = None, grams: np.ndarray | None = None, gram_ids: np.ndarray | None = None) -> pa.Table:
-    own = [None] * 3
-    if places is not None:
-        mask = np.zeros(len(items), np.uint8)
-        mask[places] = 1
-        own = [np.packbits(mask).tobytes(), _narrow(grams).tobytes(), gram_ids.tobytes()]
-    row = [block, len(items), _narrow(items).tobytes(), ids.tobytes(), *own]
+def _table(block: int, own: int, places: np.ndarray, grams: np.ndarray, ids: np.ndarray) -> pa.Table:
+    row = [block, own, len(places), _steps(places).tobytes(), _narrow(grams).tobytes(), len(ids), _narrow(ids).tobytes()]
     return pa.Table.from_arrays([pa.array([v], t.type) for v, t in zip(row, _RELATION, strict=True)], schema=_RELATION)
 
 
-_NOTHING = _RELATION.empty_table()
-
-
 def _frequent_words(blocks: pa.Table, kept: pa.Table) -> pa.Table:
-    """Relation 1 of a block: its items with only the frequent words left."""
+    """Relation 1 of a block: the places of its frequent words."""
     if not blocks.num_rows or not kept.num_rows:
         return _NOTHING
-    items = _unpacked(blocks.column("items")[0], blocks.column("size")[0].as_py()).astype(np.int32)
-    new, ids = _renumbered(kept, int(max(items.max(), (_AHEAD - items).max())) + 1)
-    ahead, own = items <= _AHEAD, items >= 0
-    out = np.full(len(items), _BREAK, np.int32)
-    out[own] = new[items[own]]
-    moved = new[_AHEAD - items[ahead]]
-    out[ahead] = np.where(moved >= 0, _AHEAD - moved, _BREAK)
-    return _table(blocks.column("block")[0].as_py(), out, ids)
-
-
-def _frequent_phrases(k: int):
-    def run(relations: pa.Table, kept: pa.Table) -> pa.Table:
-        """Relation ``k + 1`` of a block: its candidates that are frequent everywhere together."""
-        if not relations.num_rows or not kept.num_rows:
-            return _NOTHING
-        row = [c[0] for c in relations.columns]
-        relation = _relation(row)
-        places, number, phrase, _ = _merged(relation, k)
-        new, ids = _renumbered(kept, len(phrase))
-        grams = new[number]
-        frequent = grams >= 0
-        # Words behind no phrase are blanked out: all parts of a frequent phrase are frequent.
-        reached = np.zeros(len(relation["items"]) + 1, bool)
-        reached[np.minimum(places[frequent] + k + 1, len(relation["items"]))] = True
-        items = np.where(reached[:-1], relation["items"], _BREAK)
-        return _table(row[0].as_py(), items, relation["ids"], places[frequent], grams[frequent], ids)
-
-    return run
+    block, count, size, items = (blocks.column(c)[0] for c in ("block", "count", "size", "items"))
+    items = _unpacked(items, size.as_py()).astype(np.int64)
+    new, ids = _renumbered(kept, count.as_py())
+    word = np.where(items <= _AHEAD, _AHEAD - items, items)
+    number = np.where(word >= 0, new[word], -1)
+    places = np.flatnonzero(number >= 0)
+    return _table(block.as_py(), int((items[places] >= 0).sum()), places, number[places], ids)
+
+
+def _frequent_phrases(relations: pa.Table, kept: pa.Table) -> pa.Table:
+    """The next relation of a block: its candidates that are frequent everywhere together."""
+    if not relations.num_rows or not kept.num_rows:
+        return _NOTHING
+    row = [c[0] for c in relations.columns]
+    own, places, grams, _ = _relation(row)
+    rows, number, one, _ = _merged(places, grams)
+    new, ids = _renumbered(kept, len(one))
+    grams = new[number]
+    rows, grams = rows[grams >= 0], grams[grams >= 0]
+    return _table(row[0].as_py(), int((rows < own).sum()), places[rows], grams, ids)
 
 
-def _agreed(dealt: DataFrame, keys: dict[str, str], min_count: int, purpose: str) -> tuple[DataFrame, DataFrame]:
+def _agreed(dealt: DataFrame, keys: dict[str, str], min_count: int, parts: int, purpose: str) -> tuple[DataFrame, DataFrame]:
     """``id, n`` and the keys of the frequent groups, and each block's frequent numbers."""
     grouped = _words_grouped if "keys" in keys else _phrases_grouped
     names = {"id": "long", "n": "long"} | keys
-    ddl = ", ".join(["block long, codes binary, ids binary"] + [f"{c} array<{t}>" for c, t in names.items()])
-    found = stage(dealt.groupBy("part").applyInArrow(_frequent(min_count, grouped), ddl), purpose)
+    ddl = ", ".join(["block long, count long, codes binary, ids binary"] + [f"{c} array<{t}>" for c, t in names.items()])
+    found = stage(dealt.groupBy("part").applyInArrow(_frequent(min_count, parts, grouped), ddl), purpose)
     groups = found.where("block is null").select(F.inline(F.arrays_zip(*names)))
-    return groups, found.where("block is not null and length(codes) > 0").select("block", "codes", "ids")
+    return groups, found.where("block is not null and count > 0").select("block", "count", "codes", "ids")
 
 
 def _extended(relation: DataFrame, kept: DataFrame, function) -> DataFrame:
@@ -339,21 +333,22 @@ def frequent_phrases(
     blocks = stage(_blocks(documents, text_column, lang_column, longest, block_words), "phrase-blocks")
     parts = max(1, blocks.count() * min(block_words, BLOCK_WORDS) // PART_WORDS)
     totals = blocks.select(F.inline(F.arrays_zip("langs", "totals"))).groupBy(F.col("langs").alias("lang")).agg(F.sum("totals").alias("n"))
-    counts = blocks.select("block", "keys", "size", "items").mapInArrow(_word_counts(parts), _DEALT_WORDS)
-    frequent, kept = _agreed(counts, {"keys": "string"}, min_count, "frequent-1")
+    counts = blocks.select("block", "keys", "count", "size", "items").mapInArrow(_word_counts(parts), _DEALT_WORDS)
+    frequent, kept = _agreed(counts, {"keys": "string"}, min_count, parts, "frequent-1")
     blank = F.instr("keys", " ")
-    phrases = frequent.select("id", F.expr("substring(keys, instr(keys, ' ') + 1)").alias("lang"), F.substring("keys", F.lit(1), blank - 1).alias("phrase"), F.lit(1).alias("words"), "n")
-    words, found = phrases.select(F.col("id").alias("last"), F.col("phrase").alias("_last")), [phrases]
-    relation = _extended(blocks.select("block", "size", "items"), kept, _frequent_words)
+    lang = F.replace(F.replace(F.expr("substring(keys, instr(keys, ' ') + 1)"), F.lit("\tn"), F.lit("\n")), F.lit("\tt"), F.lit("\t"))
+    phrases = frequent.select("id", lang.alias("lang"), F.substring("keys", F.lit(1), blank - 1).alias("phrase"), F.lit(1).alias("words"), "n")
+    found, function = [phrases], _frequent_words
+    relation = blocks.select("block", "count", "size", "items")
     for k in range(1, longest):
-        relation = stage(relation, f"occurrences-{k}")
-        frequent, kept = _agreed(relation.mapInArrow(_candidate_counts(k, parts), _DEALT_PHRASES), {"first": "long", "last": "long"}, min_count, f"frequent-{k + 1}")
-        shorter = phrases.select(F.col("id").alias("first"), "lang", F.col("phrase").alias("_first"))
-        longer = frequent.join(shorter, "first").join(words, "last")
+        relation = stage(_extended(relation, kept, function), f"occurrences-{k}")
+        frequent, kept = _agreed(relation.mapInArrow(_candidate_counts(parts), _DEALT_PHRASES), {"first": "long", "last": "long"}, min_count, parts, f"frequent-{k + 1}")
+        ahead = phrases.select(F.col("id").alias("first"), "lang", F.col("phrase").alias("_first"))
+        behind = phrases.select(F.col("id").alias("last"), F.substring_index("phrase", " ", -1).alias("_last"))
+        longer = frequent.join(ahead, "first").join(behind, "last")
         phrases = stage(longer.select("id", "lang", F.concat_ws(" ", "_first", "_last").alias("phrase"), F.lit(k + 1).alias("words"), "n"), f"phrases-{k + 1}")
         found.append(phrases)
-        if k + 1 < longest:
-            relation = _extended(relation, kept, _frequent_phrases(k))
+        function = _frequent_phrases
     everything = found[0]
     for own in found[1:]:
         everything = everything.unionByName(own)

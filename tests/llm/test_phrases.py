@@ -51,6 +51,7 @@ ROWS = [
     ("nul\x00l nul\x00l nul\x00l\x0bnul\x00l nul\x00l", "xx"),
     ("same in two", "en"),
     ("same in two", "de"),
+    ("odd tag odd tag odd", "a\n\tb\tn \\n"),
 ]
 
 
