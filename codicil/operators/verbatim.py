@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codicil.functions.text import word_shingles
 from codicil.scale import small_or_shuffled
+from codicil.session import materialise
 
 ANCHOR = 4
+PASS_BYTES = 16 << 20  # of needles that one pass over the texts looks for
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -41,7 +47,7 @@ def bearers(
     """
     needles = needles.where(F.length(needle) >= least)
     if not within:
-        return _anchored(needles, texts, needle, text, key, within, least)
+        return _matched(needles, texts, needle, text, key)
     few, many = by_group_size(needles, list(within))
     own = [c for c in needles.columns if c not in within]
     lists = few.groupBy(*within).agg(F.collect_set(F.struct(*own)).alias("_n"))
@@ -56,6 +62,49 @@ def bearers(
     return rows
 
 
+def _passes(needles: DataFrame, needle: str) -> Iterator[list[str]]:
+    """The distinct needles in lots of about ``PASS_BYTES`` each, dealt by a hash."""
+    own = materialise(needles.select(F.col(needle).alias("n")).where("n is not null and n <> ''").distinct(), "needles")
+    size = own.agg(F.coalesce(F.sum(F.octet_length("n") + 16), F.lit(0))).first()[0]
+    lots = max(1, -(-int(size) // PASS_BYTES))
+    for i in range(lots):
+        found = [r["n"] for r in own.where(F.pmod(F.xxhash64("n"), F.lit(lots)) == i).collect()]  # bounded by PASS_BYTES
+        if found:
+            yield found
+
+
+def _matched(needles: DataFrame, texts: DataFrame, needle: str, text: str, key: list[str]) -> DataFrame:
+    """Containment through an automaton over all needles (Aho-Corasick), run along each text once.
+
+    The needles of one pass are bounded in bytes; more of them take further passes over
+    the texts.  Needles that begin alike cost no more than others, and nothing but hits leaves a task.
+    """
+    fields = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in key)
+    source = texts.select(*key, F.col(text).cast("string").alias("_text"))
+    out = None
+    for lot in _passes(needles, needle):
+
+        def scan(batches: Iterator[pa.RecordBatch], lot: list[str] = lot) -> Iterator[pa.RecordBatch]:
+            automaton = ahocorasick.Automaton()
+            for word in lot:
+                automaton.add_word(word, word)
+            automaton.make_automaton()
+            for batch in batches:
+                rows, hits = [], []
+                for i, value in enumerate(batch.column(batch.num_columns - 1)):
+                    found = {word for _, word in automaton.iter(value.as_py() or "")}
+                    rows += [i] * len(found)
+                    hits += sorted(found)
+                taken = [c.take(pa.array(rows, pa.int64())) for c in batch.columns[:-1]]
+                yield pa.RecordBatch.from_arrays([*taken, pa.array(hits, pa.string())], names=[*batch.schema.names[:-1], "_needle"])
+
+        part = source.mapInArrow(scan, f"{fields}, _needle string")
+        out = part if out is None else out.unionAll(part)
+    if out is None:
+        out = texts.select(*key, F.lit(None).cast("string").alias("_needle")).limit(0)
+    return out.join(needles.withColumnRenamed(needle, "_own"), F.col("_needle") == F.col("_own")).drop("_needle").withColumnRenamed("_own", needle).select(*needles.columns, *key)
+
+
 def _anchored(needles, texts, needle, text, key, within, least) -> DataFrame:
     """Containment through anchors, for texts of any number.
 
