@@ -6,7 +6,9 @@ window and the sum of ``c * log2(c)`` over them are updated by the character tha
 enters and the one that leaves, so a run of any length takes linear time.  A
 window is compared with the mean of random strings of its length and class
 (``expected_bits``) less ``MARGIN``; the windows above that are joined to a span of
-kind ``entropy``, unless an allow-list entry covers the run.
+kind ``entropy``, unless an allow-list entry covers the run.  A run that has no class
+for its separators is judged without them; letters alone then need a part of ``SEGMENT``
+letters, since words joined by separators have shorter ones.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ CLASSES = (
     ("lower letters", re.compile(r"[a-z]+"), 26),
     ("letters", re.compile(r"[A-Za-z]+"), 52),
 )
+SEPARATORS = "+/_=-"
+_SEPARATOR = re.compile(r"[+/_=-]")
 MARGIN = 0.35  # bits a character below a random string's mean
 HEX_MARGIN = 0.5  # few letters spread more
 
@@ -88,11 +92,23 @@ def hot_windows(run: str, threshold: float, window: int = WINDOW) -> tuple[int,
     return None if first is None else (first, last)
 
 
+def _class(run: str) -> tuple[str | None, int]:
+    return next(((name, size) for name, pattern, size in CLASSES if pattern.fullmatch(run)), (None, 0))
+
+
 def _hot(run: str) -> tuple[int, int] | None:
-    name, letters = next(((name, size) for name, pattern, size in CLASSES if pattern.fullmatch(run)), (None, 0))
+    name, letters = _class(run)
+    places = None
+    if name is None:
+        places = [i for i, c in enumerate(run) if c not in SEPARATORS]
+        whole, run = run, "".join(run[i] for i in places)
+        name, letters = _class(run) if len(run) >= MIN_LENGTH // 2 else (None, 0)
+        if name == "hex" and run.isdigit() or run.isalpha() and max(map(len, _SEPARATOR.split(whole))) < SEGMENT:
+            name = None
     if name is None:
         return None
-    return hot_windows(run, expected_bits(min(WINDOW, len(run)), letters) - (HEX_MARGIN if name == "hex" else MARGIN))
+    hot = hot_windows(run, expected_bits(min(WINDOW, len(run)), letters) - (HEX_MARGIN if name == "hex" else MARGIN))
+    return hot if hot is None or places is None else (places[hot[0]], places[hot[1] - 1] + 1)
 
 
 def _is_path(run: str) -> bool:

@@ -47,7 +47,7 @@ def _words(text: str | None) -> Counter[str]:
 
 def _bases(word: str) -> list[int]:
     """Hashes of a word and its beginnings (60 bits, so clashes are rare)."""
-    names = [f"={word[:60]}"] + [f"^{word[:n]}" for n in PREFIXES if len(word) >= n]
+    names = [f"={word}"] + [f"^{word[:n]}" for n in PREFIXES if len(word) >= n]
     return [xxhash.xxh64_intdigest(n) >> 4 for n in names]
 
 

@@ -30,3 +30,28 @@ def test_keys_with_slashes_are_no_paths_and_names_are_no_keys():
     assert pathlike and sum(bool(spans(k)) for k in pathlike) >= 0.8 * len(pathlike)
     for run in ("getElementByIdFromDocument", "AbstractSingletonProxyFactoryBean", "/usr/lib/x86_64-linux-gnu/libstdc", "internationalization"):
         assert not spans(run), run
+
+
+@pytest.mark.parametrize("signs", ["-", "_", "/", "+", "/+", "-_", "+/_=-"])
+@pytest.mark.parametrize("alphabet", [LOWER + UPPER + DIGITS, LOWER + DIGITS, UPPER + DIGITS, LOWER, UPPER, LOWER + UPPER])
+def test_random_keys_with_separators_are_found(alphabet, signs):
+    draw = random.Random(len(alphabet) * 100 + len(signs))
+    keys = ["".join(draw.choices(alphabet + signs, k=40)) for _ in range(300)]
+    found = sum(bool(spans(k)) for k in keys)
+    # Runs with slashes may be paths; letters alone need a part of 12 letters, which many kinds of separators cut up.
+    least = 0.93
+    if "/" in signs:
+        least = 0.8 if alphabet in (LOWER, UPPER) else 0.9
+    elif alphabet in (LOWER, UPPER) and len(signs) > 1:
+        least = 0.9
+    if signs == "+/_=-" and alphabet.isalpha():
+        least = 0.5 if len(alphabet) == 26 else 0.85
+    assert found >= least * 300, (alphabet, signs, found)
+
+
+def test_words_joined_by_separators_are_no_keys():
+    for run in (
+        "how-to-write-a-good-commit-message", "the_quick_brown_fox_jumps_over", "HTTP_PROXY_CONNECT_TIMEOUT_MS", "2023-10-11-12-30-45-999",
+        "Main/Controller/Request/Handler", "left-to-right-and-back-again", "user_account_settings_page_view", "spark/sql/catalyst/expressions",
+    ):
+        assert not spans(run), run
