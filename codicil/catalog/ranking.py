@@ -13,13 +13,13 @@ from codicil.operators import context, retrieval
 _TOK = r"regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+')"
 
 
-def _bm25(questions_from: str, docs_from: str, key: str, content: str) -> str:
-    return f"""q AS (SELECT query_id, unnest(list_distinct({_TOK.format('text')})) AS term FROM {questions_from}),
- dt AS (SELECT {key}, {_TOK.format(content)} AS ts FROM {docs_from}), st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM dt),
- tf AS (SELECT {key}, dl, term, count(*) AS tf FROM (SELECT {key}, len(ts) AS dl, unnest(ts) AS term FROM dt) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
- df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
- lex AS (SELECT query_id, {key}, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score, count(*) AS matched
- FROM tf JOIN df USING (term) JOIN q USING (term), st GROUP BY query_id, {key})"""
+def _bm25(questions_from: str, docs_from: str, key: str, content: str, pre: str = "") -> str:
+    return f"""{pre}q AS (SELECT query_id, unnest(list_distinct({_TOK.format('text')})) AS term FROM {questions_from}),
+ {pre}dt AS (SELECT {key}, {_TOK.format(content)} AS ts FROM {docs_from}), {pre}st AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM {pre}dt),
+ {pre}tf AS (SELECT {key}, dl, term, count(*) AS tf FROM (SELECT {key}, len(ts) AS dl, unnest(ts) AS term FROM {pre}dt) WHERE term IN (SELECT term FROM {pre}q) GROUP BY ALL),
+ {pre}df AS (SELECT term, count(*) AS df FROM {pre}tf GROUP BY term),
+ {pre}lex AS (SELECT query_id, {key}, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score, count(*) AS matched
+ FROM {pre}tf t JOIN {pre}df d USING (term) JOIN {pre}q USING (term), {pre}st GROUP BY query_id, {key})"""
 
 
 def _top(source: str, key: str, limit: int, extra: str = "") -> str:
@@ -122,13 +122,17 @@ def _(spark, sf):
 
 
 def _hybrid(ratio: float, docs: str, key: str, where: str = "true") -> str:
-    return f"""WITH {CORPUS}, {_PIECES}, {QUESTIONS}, {_bm25('questions', docs, key, 'content')},
+    return f"WITH {CORPUS}, {_PIECES}, {QUESTIONS}, {_mixed(ratio, docs, key, where)} {{top}}"
+
+
+def _mixed(ratio: float, docs: str, key: str, where: str) -> str:
+    return f"""{_bm25('questions', docs, key, 'content')},
  dv AS (SELECT {key}, {LETTER_VECTOR} AS v FROM {docs}), qv AS (SELECT query_id, {LETTER_VECTOR} AS v FROM (SELECT query_id, text AS content FROM questions)),
  sem AS (SELECT query_id, {key}, round(CASE WHEN list_sum(dv.v) = 0 THEN 0 ELSE list_cosine_similarity(dv.v, qv.v) END, 6) AS score FROM dv, qv),
  ln AS (SELECT query_id, {key}, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END AS s FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM lex WINDOW w AS (PARTITION BY query_id))),
  sn AS (SELECT query_id, {key}, CASE WHEN hi > lo THEN (score - lo) / (hi - lo) ELSE 1 END AS s FROM (SELECT *, min(score) OVER w AS lo, max(score) OVER w AS hi FROM sem WINDOW w AS (PARTITION BY query_id))),
  mix AS (SELECT query_id, {key}, round({ratio} * coalesce(sn.s, 0) + {1 - ratio} * coalesce(ln.s, 0), 4) AS score FROM sn FULL OUTER JOIN ln USING (query_id, {key})),
- kept AS (SELECT * FROM mix WHERE {where}) {{top}}"""
+ kept AS (SELECT * FROM mix WHERE {where})"""
 
 
 _PIECES = """pieces AS (SELECT doc_id || '_' || lpad((i - 1)::VARCHAR, 5, '0') AS chunk_id, doc_id, parts[i] AS content FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i
