@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from codicil.catalog.base import query
-from codicil.catalog.filters import JUDGED, asked
+from codicil.catalog.filters import _ASK, JUDGED, asked
+from codicil.catalog.grounding import index_of, referents_sql
 from codicil.catalog.tables import corpus, table
 from codicil.functions import turns
-from codicil.operators import context, conversation, pins, retrieval
+from codicil.operators import context, conversation, pins
+from codicil.operators.posting_index import indexed_search
 
 
 def _turns(spark, sf):
@@ -135,14 +137,18 @@ def resolved_turns(spark, sf):
     asks = users.select("query_id", F.col("message").alias("text"))
     docs = corpus(spark, sf).select("path", "content")
     quoted = pins.phrase_match(asks, docs, key="path").groupBy("query_id").agg(F.min("path").alias("named_path"))
-    found = retrieval.keyword_search(asks, docs, 1, "path").select("query_id", F.col("path").alias("fallback_path"))
+    found = indexed_search(asks, index_of(spark, sf, "path"), 1).select("query_id", F.col("path").alias("fallback_path"))
     return (
         users.select("conv_id", "turn", "query_id", F.col("message").alias("text"))
         .join(quoted, "query_id", "left").join(found, "query_id", "left").drop("query_id")
     )
 
 
-@query("referent_stack")
+@query(
+    "referent_stack",
+    f"""WITH RECURSIVE {referents_sql(f"{_ASK} || CASE WHEN length(text) < 300 THEN role ELSE text END")}
+ SELECT conv_id, turn, kind AS turn_kind, action, referent, len(before)::INT AS stack_size FROM fold WHERE turn IS NOT NULL""",
+)
 def _(spark, sf):
     return conversation.referent_stack(resolved_turns(spark, sf))
 

@@ -10,9 +10,12 @@ from codicil.catalog.tables import (
     CORPUS, FAILURES, FILES, LIVE_ROOTS, QUESTIONS, SNAPSHOTS, TASKS, corpus, failures, files, live_roots, questions,
     snapshots, table, tasks,
 )
-from codicil.operators import changes, chunks, context, pins, retrieval
+from codicil.catalog.ranking import _bm25, _top
+from codicil.operators import changes, chunks, context, pins
 from codicil.operators import tasks as ops
+from codicil.operators.posting_index import build_index, indexed_search
 from codicil.operators.verbatim import phrase_pairs
+from codicil.session import work_folder
 
 _DIFF = f"""{SNAPSHOTS}, diff AS (SELECT coalesce(prev.path, cur.path) AS path, CASE WHEN prev.path IS NULL THEN 'new'
  WHEN cur.path IS NULL THEN 'deleted' WHEN prev.mtime <> cur.mtime THEN 'modified' ELSE 'unchanged' END AS change_type
@@ -352,16 +355,18 @@ def _(spark, sf):
 
 @query(
     "sample_checks",
+    f"""WITH {CORPUS}, asks AS (SELECT c_custkey AS query_id, 'doc-' || c_custkey AS text FROM customer),
+ {_bm25('asks', 'corpus', 'doc_id', 'title')}, hits AS ({_top('lex', 'doc_id', 5)})
+ SELECT a.query_id AS doc_id, c.doc_id IS NOT NULL AS present, e.vec_id IS NOT NULL AS has_vector, h.doc_id IS NOT NULL AS search_found
+ FROM asks a LEFT JOIN corpus c ON c.doc_id = a.query_id LEFT JOIN embeddings e ON e.vec_id = a.query_id LEFT JOIN hits h ON h.query_id = a.query_id AND h.doc_id = a.query_id""",
 )
 def _(spark, sf):
-    """Stored documents with a vector that a search for their own title finds in the top five."""
+    """Documents expected by number, some of which were never stored: are they there, have they a vector, does a search find them?"""
     docs = corpus(spark, sf).select("doc_id", "title")
-    stored = docs.join(table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi")
-    found = retrieval.title_search(stored.select(F.col("doc_id").alias("query_id"), F.col("title").alias("text")), docs, 5, "doc_id")
-    own = found.where("query_id = doc_id").select("doc_id", F.lit(True).alias("_hit"))
-    return stored.join(own, "doc_id", "left").select(
-        "doc_id", F.lit(True).alias("present"), F.lit(True).alias("has_vector"), F.coalesce("_hit", F.lit(False)).alias("search_found")
-    )
+    asks = table(spark, sf, "customer").select(F.col("c_custkey").alias("query_id"), F.concat(F.lit("doc-"), "c_custkey").alias("text"))
+    titles = build_index(docs, work_folder(spark, "title-index"), "doc_id", "title")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"))
+    return changes.sample_checks(asks, docs.select("doc_id"), vectors, indexed_search(asks, titles, 5))
 
 
 @query(

@@ -186,3 +186,17 @@ def healthy_ids(docs: DataFrame, key: str = "doc_id") -> DataFrame:
 
 def get_document(docs: DataFrame, value, key: str = "doc_id") -> DataFrame:
     return docs.where(F.col(key) == value)
+
+
+def sample_checks(asks: DataFrame, stored: DataFrame, vectors: DataFrame, found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``<key>, present, has_vector, search_found`` of expected documents (``asks``: query_id is the key).
+
+    ``found`` holds the hits (query_id, ``<key>``) of a search for each document's title.
+    """
+    expected = asks.select(F.col("query_id").alias(key)).distinct()
+    marks = [
+        (stored.select(key), "present"), (vectors.select(key), "has_vector"), (found.where(F.col("query_id") == F.col(key)).select(key), "search_found"),
+    ]
+    for rows, name in marks:
+        expected = expected.join(rows.distinct().withColumn(name, F.lit(True)), key, "left")
+    return expected.select(key, *[F.coalesce(name, F.lit(False)).alias(name) for _, name in marks])
