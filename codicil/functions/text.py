@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -223,3 +226,53 @@ def word_shingles(text: Column, size: int) -> Column:
 def flatten_metadata(metadata: Column, core_keys: list[str]) -> Column:
     """Metadata entries that do not collide with a core field."""
     return F.map_filter(metadata, lambda k, v: ~k.isin(core_keys) & v.isNotNull())
+
+
+# --- crops ---------------------------------------------------------------------
+
+CROP_WORDS = 200
+_CROP_WORD = re.compile(r"[^\W]+")
+
+
+def _best_crop(text: str | None, terms: list[str] | None, words: int) -> dict | None:
+    """One sweep over the words: the window with the most distinct terms, the earliest of these, its terms in the middle."""
+    if text is None:
+        return None
+    spans = [m.span() for m in _CROP_WORD.finditer(text)]
+    wanted = set(terms if terms is not None else ())
+    found = [(i, w) for i, (a, b) in enumerate(spans) if (w := text[a:b].lower()) in wanted]
+    best, held, tail = (0, 0, 0), {}, 0
+    for at, (i, word) in enumerate(found):
+        held[word] = held.get(word, 0) + 1
+        while i - found[tail][0] >= words:
+            old = found[tail][1]
+            held[old] -= 1
+            if not held[old]:
+                del held[old]
+            tail += 1
+        if len(held) > best[0]:
+            best = (len(held), found[tail][0], i)
+    matched, first, last = best
+    start = max(0, first - (words - (last - first + 1)) // 2) if matched else 0
+    end = min(len(spans), start + words)
+    if not spans:
+        return {"first_word": 0, "n_words": 0, "matched": 0, "crop": text}
+    a = 0 if not start else spans[start][0]
+    b = len(text) if end == len(spans) else spans[end - 1][1]
+    return {"first_word": start, "n_words": end - start, "matched": matched, "crop": ("…" if start else "") + text[a:b] + ("…" if end < len(spans) else "")}
+
+
+def best_crop(text: Column, terms: Column, words: int = CROP_WORDS) -> Column:
+    """struct(first_word, n_words, matched, crop): the ``words`` words of ``text`` that hold the most distinct ``terms`` (lower case).
+
+    Words are runs of letters, digits and underscores.  Of windows alike the first one
+    counts; what room its terms leave is shared by both sides.  Cut ends are marked by "…".
+    """
+
+    @F.pandas_udf("first_word int, n_words int, matched int, crop string")
+    def crop(texts: pd.Series, wanted: pd.Series) -> pd.DataFrame:
+        rows = [_best_crop(t, w, words) or dict.fromkeys(("first_word", "n_words", "matched", "crop")) for t, w in zip(texts, wanted, strict=True)]
+        out = pd.DataFrame(rows, columns=["first_word", "n_words", "matched", "crop"])
+        return out.astype({c: "Int32" for c in ("first_word", "n_words", "matched")})
+
+    return crop(text, terms)

@@ -11,6 +11,7 @@ from codicil.functions.text import content_fingerprint, is_blank, token_estimate
 from codicil.operators.filters import contains_any_term
 from codicil.operators.retrieval import top_per_query
 from codicil.scale import small_or_shuffled
+from codicil.session import materialise
 
 
 def dedup_by_content(ranked: DataFrame, scope: str = "query_id", rank: str = "rank", row_id: str = "path") -> DataFrame:
@@ -94,26 +95,34 @@ def section_header(kind: str = "documents") -> str:
 
 def pack_context(ranked: DataFrame, max_tokens: int = fv.CONTEXT_MAX_TOKENS, header_tokens: int | None = None,
                  scope: str = "query_id", rank: str = "rank", text: str = "text") -> DataFrame:
-    """Blocks that fit the token budget, in rank order.
+    """Blocks that fit the token budget, in rank order; ``rank`` is unique within ``scope``.
 
     The first block that overflows is cut to what remains less a reserve of
     50 tokens when that leaves more than 100; nothing follows it.
+
+    Costs alone are dealt to ranges of scope and rank.  A prefix sum is the sum of the
+    scope's earlier ranges plus the running sum inside the block's own range, so a scope with
+    very many blocks is spread over ranges; texts meet only the blocks that are kept.
     """
     k = fv.CONTEXT_CHARS_PER_TOKEN
     head = len(section_header()) // k if header_tokens is None else header_tokens
-    order = Window.partitionBy(scope).orderBy(rank)
-    cost = token_estimate(F.col(text), k)
-    upto = ranked.withColumn("_cost", cost).withColumn(
-        "_sum", F.lit(head) + F.sum("_cost").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    )
+    costs = ranked.select(F.col(scope).alias("_scope"), F.col(rank).alias("_rank"), token_estimate(F.col(text), k).alias("_cost"))
+    costs = materialise(costs.repartitionByRange("_scope", "_rank").withColumn("_range", F.spark_partition_id()), "context-costs")
+    earlier = Window.partitionBy("_scope").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = costs.groupBy("_scope", "_range").agg(F.sum("_cost").alias("_total")).withColumn("_before", F.coalesce(F.sum("_total").over(earlier), F.lit(0)))
+    totals = totals.select(F.col("_scope").alias("_of"), F.col("_range").alias("_in"), "_before")
+    inside = Window.partitionBy("_scope", "_range").orderBy("_rank").rowsBetween(Window.unboundedPreceding, 0)
+    upto = costs.join(totals, F.col("_scope").eqNullSafe(F.col("_of")) & (F.col("_range") == F.col("_in")))
+    upto = upto.withColumn("_sum", F.lit(head) + F.col("_before") + F.sum("_cost").over(inside))
     before = F.col("_sum") - F.col("_cost")
     # Sums never fall, so only the first overflowing block has a fitting predecessor.
     first_over = (F.col("_sum") > max_tokens) & (before <= max_tokens)
     room = F.lit(max_tokens) - before - 50
-    cut = F.when(F.length(text) > room * k, F.concat(F.substring(F.col(text), F.lit(1), (room * k).cast("int")), F.lit("..."))).otherwise(F.col(text))
-    marked = upto.withColumn("truncated", first_over)
-    kept = marked.where((F.col("_sum") <= max_tokens) | (first_over & (room > 100)))
-    return kept.withColumn(text, F.when(F.col("truncated"), cut).otherwise(F.col(text))).drop("_cost", "_sum")
+    kept = upto.where((F.col("_sum") <= max_tokens) | (first_over & (room > 100))).select("_scope", "_rank", room.alias("_room"), first_over.alias("truncated"))
+    rows = ranked.join(kept, F.col(scope).eqNullSafe(F.col("_scope")) & F.col(rank).eqNullSafe(F.col("_rank"))).drop("_scope", "_rank")
+    size = F.col("_room") * k
+    cut = F.when(F.length(text) > size, F.concat(F.substring(F.col(text), F.lit(1), size.cast("int")), F.lit("..."))).otherwise(F.col(text))
+    return rows.withColumn(text, F.when(F.col("truncated"), cut).otherwise(F.col(text))).drop("_room")
 
 
 # --- verdicts --------------------------------------------------------------------------
