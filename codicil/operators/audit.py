@@ -15,6 +15,7 @@ from codicil.functions import paths
 from codicil.functions import unicode as uc
 from codicil.functions.queries import structured_tokens
 from codicil.functions.text import is_blank, markdown_headings, sentences
+from codicil.operators.selection import exact_quantile
 from codicil.operators.verbatim import bearers, by_group_size, digit_support
 from codicil.session import materialise
 
@@ -542,14 +543,12 @@ def multi_source_notice(found: DataFrame, sources: DataFrame, bearers_of: DataFr
 
 
 def label_profile(scored: DataFrame) -> DataFrame:
-    """min, median, max and mean score of each label."""
-    return scored.groupBy("label").agg(
-        F.count("*").alias("n"),
-        F.round(F.min("score"), 9).alias("lo"),
-        F.round(F.median("score"), 9).alias("med"),
-        F.round(F.max("score"), 9).alias("hi"),
-        F.round(F.avg("score"), 9).alias("mean"),
+    """min, median, max and mean score of each label; labels may hold any number of scores."""
+    medians = exact_quantile(scored, "label", "score").select(F.col("label").alias("_label"), F.round("quantile", 9).alias("med"))
+    profile = scored.groupBy("label").agg(
+        F.count("*").alias("n"), F.round(F.min("score"), 9).alias("lo"), F.round(F.max("score"), 9).alias("hi"), F.round(F.avg("score"), 9).alias("mean")
     )
+    return profile.join(medians, F.col("label").eqNullSafe(F.col("_label")), "left").select("label", "n", "lo", "med", "hi", "mean")
 
 
 def threshold_sweep(scored: DataFrame, positive: str, negative: str, start: float = 0.20, stop: float = 0.70,
