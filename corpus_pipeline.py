@@ -9,22 +9,40 @@ along untouched up to the last stage, whatever their names.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codicil.llm import near_text, packing, pii, toxicity
 from codicil.llm.shared import stage, table, tokenizer
+from codicil.session import configure
 
 TOXIC = 0.5
 CAPACITY = 4096
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _configured(function: Stage) -> Stage:
+    """A stage under the settings that its operators rely on, whoever calls it."""
+
+    @functools.wraps(function)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return function(configure(spark), docs, sf_dir)
+
+    return run
+
+
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str, str]:
     """``docs`` with columns ``c0, c1 ...``, so that no name of its own can clash; those of the id and the text."""
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     return docs.toDF(*names.values()), names["doc_id"], names["text"]
 
 
+@_configured
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of the category ``toxic`` is below ``TOXIC``; trained on the labels table."""
     chain = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.label_categories())
@@ -33,6 +51,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where(F.col("p_toxic") < TOXIC).select(*own.columns).toDF(*docs.columns)
 
 
+@_configured
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies (five words, similarity 0.8): the one with the smallest id.
 
@@ -57,6 +76,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return kept.toDF(*docs.columns)
 
 
+@_configured
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by ``[KIND]`` in the texts; ``n_chars`` is counted anew where something was."""
     found = pii.find_personal_data(docs.select("doc_id", "text")).select("id", "text_hash", pii.all_spans().alias("spans"))
@@ -70,6 +90,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return joined.select(*[changed.get(c, F.col(c)).alias(c) for c in own.columns]).toDF(*docs.columns)
 
 
+@_configured
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents packed into sequences of at most ``CAPACITY`` tokens."""
     found = packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), end_id=1, capacity=CAPACITY)
