@@ -188,13 +188,12 @@ def _(spark, sf):
     return audit.ground_answers(_roles(spark, sf, sources := contexts(spark, sf)), sources, best).select("answer_id", "sentence_no", "supported")
 
 
-@query(
-    "multi_source_token",
-    """WITH asks AS (SELECT o_orderkey AS answer_id, o_orderpriority || '-2024' AS token FROM orders),
- c AS (SELECT l_orderkey AS answer_id, '/l/' || l_linenumber || '/' || l_partkey AS path, CASE l_returnflag WHEN 'R' THEN '1-URGENT-2024' WHEN 'A' THEN '2-HIGH-2024' ELSE '3-MEDIUM-2024' END AS content FROM lineitem)
- SELECT answer_id, token, count(DISTINCT path) AS sources FROM asks JOIN c USING (answer_id) WHERE contains(lower(content), lower(token)) AND token NOT LIKE '4-%' GROUP BY ALL HAVING count(DISTINCT path) >= 2""",
-)
-def _(spark, sf):
+_FILED = """asks AS (SELECT o_orderkey AS answer_id, o_orderpriority || '-2024' AS token FROM orders),
+ c AS (SELECT l_orderkey AS answer_id, '/l/' || l_linenumber || '/' || l_partkey AS path, CASE l_returnflag WHEN 'R' THEN '1-URGENT-2024' WHEN 'A' THEN '2-HIGH-2024' ELSE '3-MEDIUM-2024' END AS content FROM lineitem),
+ several AS (SELECT answer_id, token, count(DISTINCT path) AS sources FROM asks JOIN c USING (answer_id) WHERE contains(lower(content), lower(token)) AND token NOT LIKE '4-%' GROUP BY ALL HAVING count(DISTINCT path) >= 2)"""
+
+
+def _filed(spark, sf):
     asks = table(spark, sf, "orders").select(
         F.col("o_orderkey").alias("answer_id"),
         F.concat(F.lit("Where is «"), "o_orderpriority", F.lit("-2024» filed?")).alias("question"),
@@ -204,7 +203,28 @@ def _(spark, sf):
         F.col("l_orderkey").alias("answer_id"), F.concat(F.lit("/l/"), "l_linenumber", F.lit("/"), "l_partkey").alias("path"),
         F.lit("").alias("title"), content.alias("content"),
     )
-    return audit.multi_source_token(asks, sources)
+    return asks, sources
+
+
+@query("multi_source_token", f"WITH {_FILED} SELECT * FROM several")
+def _(spark, sf):
+    return audit.multi_source_token(*_filed(spark, sf))
+
+
+@query(
+    "multi_source_notice",
+    f"""WITH {_FILED}, total AS (SELECT content AS token, count(DISTINCT path) AS bearers FROM c GROUP BY content),
+ listed AS (SELECT answer_id, token, list_sort(list(DISTINCT path)) AS l FROM several JOIN c USING (answer_id) WHERE contains(lower(content), lower(token)) GROUP BY ALL)
+ SELECT answer_id, chr(10) || chr(10) || '📎 Cette information apparaît dans ' || CASE WHEN bearers > len(l) THEN 'au moins ' || bearers || ' documents (les ' || len(l) || ' plus pertinents) :' ELSE len(l) || ' documents :' END
+ || chr(10) || array_to_string(list_transform(l, lambda p: '• ' || p), chr(10)) AS notice FROM listed JOIN total USING (token)""",
+)
+def _(spark, sf):
+    """The sources of a token that several hold, beside how many documents hold it in all."""
+    asks, sources = _filed(spark, sf)
+    found = materialise(audit.multi_source_token(asks, sources), "several-sources")
+    held = sources.join(found.select("answer_id", "token"), "answer_id").where(F.contains(F.lower("content"), F.lower("token")))
+    total = sources.groupBy(F.col("content").alias("token")).agg(F.count_distinct("path").alias("bearers"))
+    return audit.multi_source_notice(found, held.select("answer_id", F.col("path").alias("label")), total)
 
 
 # --- model verdicts -----------------------------------------------------------------------------------
