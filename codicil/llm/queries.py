@@ -75,7 +75,7 @@ def op7_max_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return max_score.top_k(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
-@query("op8_dictionary_warc")
+@query("op8_dictionary_warc", sql.WARC)
 def op8_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = work_folder(spark, "warc")
     warc.write_archives(table(spark, sf_dir, "pages"), folder)

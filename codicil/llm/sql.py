@@ -150,3 +150,14 @@ sums AS (
 SELECT n.conv_id, n.d AS depth, u.conv_id AS parent_conv_id, n.n_convs, n.kids AS n_children, n_leaves, saved_tokens, n.ends_sha256
 FROM whole n JOIN sums s ON s.p = n.p AND s.d = n.d LEFT JOIN nodes u ON n.d > 0 AND u.p = n.above AND u.d = n.d - 1
 """
+
+# Base32 of a SHA-1: its 160 bits in groups of five.
+_BITS = "array_to_string(list_transform(range(1, 41), lambda i: right('000' || bin(CAST('0x' || substr(sha1(h), i, 1) AS INTEGER)), 4)), '')"
+WARC = f"""
+WITH bodies AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+bits AS (SELECT page_id, h, CAST(strlen(h) AS BIGINT) AS payload_bytes, {_BITS} AS b, max(page_id) OVER (PARTITION BY h) AS first FROM bodies)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda g: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + list_sum(list_transform(range(0, 5), lambda j: CAST(substr(b, 5 * g + j + 1, 1) AS INTEGER) << (4 - j))) AS INTEGER), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM bits
+"""
