@@ -26,7 +26,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame(ODD_TEXTS, COLUMNS)
-    extra = {c: F.lit("mine") for c in ("id", "node", "key", "length", "count", "spans", "n", "component", "_text", "bucket", "unit", "c0", "_id", "_hash", "_spans", "_masked", "_gone", "_repeated", "_chain_toxic", "p_toxic", "shard_id", "of_id", "text_hash")}
+    extra = {c: F.lit("mine") for c in ("id", "node", "key", "length", "count", "spans", "n", "component", "_text", "bucket", "unit", "c0", "_id", "_hash", "_spans", "_masked", "_gone", "_repeated", "_chain_toxic", "shard_id", "of_id", "text_hash")}
     return df.withColumns(extra)
 
 

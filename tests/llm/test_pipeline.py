@@ -69,7 +69,7 @@ def test_run_applies_the_stages_in_order(spark):
 
 
 def test_stages_on_odd_and_empty_tables(spark, odd, nothing):
-    for source, rows in ((odd, ODD_TEXTS), (nothing, [])):
+    for source, rows in ((odd.withColumn("p_toxic", F.lit("mine")), ODD_TEXTS), (nothing, [])):
         docs = source
         for _, function in corpus_pipeline.STAGES[:-1]:
             out = function(spark, docs, SF)
