@@ -13,13 +13,13 @@ from codicil.session import work_folder
 
 def file_stream(spark: SparkSession, path: str, schema: str, glob: str | None = None, fmt: str = "parquet",
                 max_files: int | None = None) -> DataFrame:
-    """New files of a folder as a stream; ``glob`` picks names within it."""
+    """New files of a folder as a stream; ``glob`` picks files or folders of files within it."""
     reader = spark.readStream.schema(schema).format(fmt)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.load(path)
+    # A table may be one file or a folder of parts; a filter on file names would skip every part.
+    # Braces make the path a pattern: Spark takes a plain path for a folder.
+    return reader.load(f"{path.rstrip('/')}/{{{glob}}}" if glob else path)
 
 
 def drain(stream: DataFrame, mode: str = "append", folder: str | None = None) -> str:
