@@ -2,7 +2,7 @@
 
 Relation ``k`` says at which places which frequent phrase of ``k`` words begins.  It is a
 written table, nested by block: a row holds one block's places in ascending order and,
-beside them, the phrases (packed as little-endian integers, which Spark moves as a whole).  A block is a run of ``BLOCK_WORDS`` places of any texts; a
+beside them, the phrases (packed integers, byte by byte of equal weight and compressed, which Spark moves as a whole).  A block is a run of ``BLOCK_WORDS`` places of any texts; a
 piece's end takes a place of its own, so neighbouring places are neighbouring words of
 one piece, and the words behind a block's end that its last phrases reach into are
 repeated as a look-ahead.  Texts and pieces of any length are cut into blocks, so a
@@ -35,6 +35,7 @@ BLOCK_WORDS = 1 << 18
 PART_WORDS = 1 << 20  # places whose candidates meet in one part
 UNDETERMINED = "und"
 
+_PLAINLY = 0x80  # marks numbers that are not compressed
 _BREAK, _SKIP, _AHEAD = -1, -2, -3  # an item below _SKIP is look-ahead: _AHEAD minus its code
 _PUNCTUATION = b".,;:!?\n\x0b\x0c\r"
 _UPPER, _LOWER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"
@@ -58,9 +59,35 @@ def _narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(np.int64)
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """A byte that gives the numbers' width, then their bytes: all lowest ones first, compressed if that pays."""
+    values = np.ascontiguousarray(_narrow(values))
+    raw = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    packed = pa.compress(raw, codec="zstd", asbytes=True) if len(raw) > 16 else raw
+    return bytes([values.itemsize]) + packed if len(packed) < len(raw) else bytes([values.itemsize | _PLAINLY]) + raw
+
+
 def _unpacked(value: pa.Scalar, count: int) -> np.ndarray:
     """``count`` numbers of any width."""
-    return np.frombuffer(value.as_buffer(), f"i{len(value.as_buffer()) // count}") if count else np.empty(0, np.int64)
+    if not count:
+        return np.empty(0, np.int64)
+    packed = value.as_buffer()
+    width, raw = packed[0] & ~_PLAINLY, packed.slice(1)
+    if not packed[0] & _PLAINLY:
+        raw = pa.decompress(raw, decompressed_size=count * width, codec="zstd")
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, count).T).view(f"i{width}").ravel()
+
+
+def _packed_lines(lines: list[bytes]) -> bytes:
+    """Four bytes that give the size of the joined lines, then these, compressed."""
+    raw = b"\n".join(lines)
+    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _lines(value: pa.Scalar) -> list[bytes]:
+    packed = value.as_buffer()
+    size = int.from_bytes(packed.slice(0, 4).to_pybytes(), "little")
+    return pa.decompress(packed.slice(4), decompressed_size=size, codec="zstd", asbytes=True).split(b"\n")
 
 
 def _steps(values: np.ndarray, starts: Sequence[int] | np.ndarray = (0,)) -> np.ndarray:
@@ -77,9 +104,7 @@ def _summed(value: pa.Scalar, count: int) -> np.ndarray:
 
 def _packed_slices(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     """A binary column whose rows are the slices of ``values`` from each start to the next."""
-    values = np.ascontiguousarray(values)
-    offsets = (np.append(starts, len(values)) * values.itemsize).astype(np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(values)])
+    return pa.array([_packed(values[a:b]) for a, b in zip(starts, [*starts[1:], len(values)], strict=True)], pa.binary())
 
 
 def _listed(values: pa.Array, nulls: int) -> pa.Array:
@@ -140,7 +165,7 @@ def _blocks(documents: DataFrame, text_column: str, lang_column: str, longest: i
 
         def closed() -> pa.RecordBatch:
             items = np.concatenate(block.items)
-            columns = [[number], ["\n".join(block.keys).encode()], [len(block.keys)], [len(items)], [_narrow(items).tobytes()], [list(block.totals)], [list(block.totals.values())]]
+            columns = [[number], [_packed_lines([k.encode() for k in block.keys])], [len(block.keys)], [len(items)], [_packed(items)], [list(block.totals)], [list(block.totals.values())]]
             return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, _BLOCK, strict=True)], schema=_BLOCK)
 
         for batch in batches:
@@ -166,11 +191,11 @@ def _dealt(block: int, part: np.ndarray, n: np.ndarray, keys: dict[str, np.ndarr
     parts, starts = np.unique(part[order], return_index=True)
     sizes = np.diff(np.append(starts, len(order)))
     columns = {"part": pa.array(parts.astype(np.int64)), "block": pa.array(np.full(len(parts), block)), "count": pa.array(sizes)}
-    columns |= {"codes": _packed_slices(_steps(order, starts), starts), "n": _packed_slices(_narrow(n[order]), starts)}
+    columns |= {"codes": _packed_slices(_steps(order, starts), starts), "n": _packed_slices(n[order], starts)}
     if isinstance(keys, dict):
-        columns |= {name: _packed_slices(_narrow(k[order]), starts) for name, k in keys.items()}
+        columns |= {"first": _packed_slices(_steps(keys["first"][order], starts), starts), "last": _packed_slices(keys["last"][order], starts)}
     else:
-        columns["keys"] = pa.array([b"\n".join([keys[i] for i in order[a : a + size]]) for a, size in zip(starts, sizes, strict=True)], pa.binary())
+        columns["keys"] = pa.array([_packed_lines([keys[i] for i in order[a : a + size]]) for a, size in zip(starts, sizes, strict=True)], pa.binary())
     return pa.RecordBatch.from_pydict(columns)
 
 
@@ -180,7 +205,7 @@ def _word_counts(parts: int):
         for batch in batches:
             for block, keys, count, size, items in zip(*batch.columns, strict=True):
                 if count.as_py():
-                    own, words = _unpacked(items, size.as_py()), keys.as_py().split(b"\n")
+                    own, words = _unpacked(items, size.as_py()), _lines(keys)
                     part = np.fromiter((zlib.crc32(w) % parts for w in words), np.int64, len(words))
                     yield _dealt(block.as_py(), part, np.bincount(own[own >= 0], minlength=len(words)), words)
 
@@ -191,19 +216,26 @@ def _relation(row: Sequence[pa.Scalar]) -> tuple[int, np.ndarray, np.ndarray, np
     """own, places, grams, ids"""
     _, own, size, places, grams, count, ids = row
     size = size.as_py()
-    return own.as_py(), _summed(places, size), _unpacked(grams, size), _unpacked(ids, count.as_py())
+    return own.as_py(), _summed(places, size), _unpacked(grams, size), _summed(ids, count.as_py())
 
 
-def _merged(places: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def _merged(places: np.ndarray, grams: np.ndarray, ids: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Merge join of a relation with itself on the next place.
 
     Returned are the rows that have a neighbour, their candidates as numbers of this block, and
-    for each candidate its two phrases (numbers of this block).
+    for each candidate the ids of its two phrases and its part.  Candidates are numbered part by part, and
+    in a part by their phrases' ids, so what a part gets of a block is a run of numbers.
     """
     rows = np.flatnonzero(np.diff(places) == 1)
     width = int(grams.max()) + 1 if len(grams) else 1
     pairs, number = np.unique(grams[rows].astype(np.int64) * width + grams[rows + 1], return_inverse=True)
-    return rows, number.astype(np.int32), pairs // width, pairs % width
+    first, last = ids[pairs // width].astype(np.int64), ids[pairs % width].astype(np.int64)
+    mixed = (first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (last.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+    part = ((mixed >> np.uint64(29)) % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    new = np.empty(len(order), np.int32)
+    new[order] = np.arange(len(order), dtype=np.int32)
+    return rows, new[number], first[order], last[order], part[order]
 
 
 def _candidate_counts(parts: int):
@@ -212,12 +244,9 @@ def _candidate_counts(parts: int):
         for batch in batches:
             for row in zip(*batch.columns, strict=True):
                 own, places, grams, ids = _relation(row)
-                rows, number, one, two = _merged(places, grams)
-                if len(one):
-                    first, last = ids[one].astype(np.int64), ids[two].astype(np.int64)
-                    mixed = (first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (last.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-                    part = ((mixed >> np.uint64(29)) % np.uint64(parts)).astype(np.int64)
-                    yield _dealt(row[0].as_py(), part, np.bincount(number[rows < own], minlength=len(one)), {"first": first, "last": last})
+                rows, number, first, last, part = _merged(places, grams, ids, parts)
+                if len(first):
+                    yield _dealt(row[0].as_py(), part, np.bincount(number[rows < own], minlength=len(first)), {"first": first, "last": last})
 
     return run
 
@@ -226,13 +255,14 @@ Grouped = tuple[np.ndarray, dict[str, pa.Array]]  # the number of each entry's g
 
 
 def _words_grouped(dealt: pa.Table) -> Grouped:
-    keys = pa.array([w for row in dealt.column("keys") for w in row.as_py().decode().split("\n")], pa.string()).dictionary_encode()
+    keys = pa.array([w.decode() for row in dealt.column("keys") for w in _lines(row)], pa.string()).dictionary_encode()
     return keys.indices.to_numpy().astype(np.int64), {"keys": keys.dictionary}
 
 
 def _phrases_grouped(dealt: pa.Table) -> Grouped:
     sizes = dealt.column("count").to_pylist()
-    first, last = (np.concatenate([_unpacked(v, n) for v, n in zip(dealt.column(c), sizes, strict=True)]).astype(np.int64) for c in ("first", "last"))
+    first = np.concatenate([_summed(v, n) for v, n in zip(dealt.column("first"), sizes, strict=True)])
+    last = np.concatenate([_unpacked(v, n) for v, n in zip(dealt.column("last"), sizes, strict=True)]).astype(np.int64)
     order = np.lexsort((last, first))
     own = np.append(True, (np.diff(first[order]) != 0) | (np.diff(last[order]) != 0))
     group = np.empty(len(order), np.int64)
@@ -241,9 +271,9 @@ def _phrases_grouped(dealt: pa.Table) -> Grouped:
     return group, {"first": pa.array(first[heads]), "last": pa.array(last[heads])}
 
 
-def _frequent(min_count: int, parts: int, grouped: Callable[[pa.Table], Grouped]):
+def _frequent(min_count: int, parts: int, grouped: Callable[[pa.Table], Grouped], last: bool):
     def run(dealt: pa.Table) -> pa.Table:
-        """One part over all blocks: what is frequent there (a row without block), and each block's share of it."""
+        """One part over all blocks: what is frequent there (a row without block), and, but for the last length, each block's share of it."""
         sizes = dealt.column("count").to_pylist()
         group, keys = grouped(dealt)
         codes = np.concatenate([_summed(v, n) for v, n in zip(dealt.column("codes"), sizes, strict=True)])
@@ -251,13 +281,16 @@ def _frequent(min_count: int, parts: int, grouped: Callable[[pa.Table], Grouped]
         total = np.bincount(group, n).astype(np.int64)  # exact below 2^53
         often = total >= min_count
         ids = (np.cumsum(often) - 1) * parts + dealt.column("part")[0].as_py()
+        groups = {"id": pa.array(ids[often]), "n": pa.array(total[often])} | {k: v.filter(pa.array(often)) for k, v in keys.items()}
+        if last:
+            none = {"block": pa.nulls(1, pa.int64()), "count": pa.array([0]), "codes": pa.nulls(1, pa.binary()), "ids": pa.nulls(1, pa.binary())}
+            return pa.table(none | {name: _listed(v, 0) for name, v in groups.items()})
         kept = often[group]
         row = np.repeat(np.arange(len(sizes)), sizes)[kept]
         starts = np.searchsorted(row, np.arange(len(sizes)))
-        shares = {"codes": _steps(codes[kept], starts), "ids": _narrow(ids[group[kept]])}
+        shares = {"codes": _steps(codes[kept], starts), "ids": _steps(ids[group[kept]], starts)}
         columns = {"block": pa.concat_arrays([pa.array([None], pa.int64()), *dealt.column("block").chunks]), "count": pa.array([0, *np.diff(np.append(starts, len(row))).tolist()], pa.int64())}
         columns |= {name: pa.concat_arrays([pa.nulls(1, pa.binary()), _packed_slices(v, starts)]) for name, v in shares.items()}
-        groups = {"id": pa.array(ids[often]), "n": pa.array(total[often])} | {k: v.filter(pa.array(often)) for k, v in keys.items()}
         return pa.table(columns | {name: _listed(v, len(sizes)) for name, v in groups.items()})
 
     return run
@@ -267,16 +300,18 @@ _NOTHING = _RELATION.empty_table()
 
 
 def _renumbered(kept: pa.Table, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """New numbers of a block's old codes (-1: not frequent), and the frequent ones' ids."""
+    """New numbers of a block's old codes (-1: not frequent) in the order of their ids, and the frequent ones' ids."""
     sizes = kept.column("count").to_pylist()
     codes = np.concatenate([_summed(v, n) for v, n in zip(kept.column("codes"), sizes, strict=True)])
+    ids = np.concatenate([_summed(v, n) for v, n in zip(kept.column("ids"), sizes, strict=True)])
+    order = np.argsort(ids)
     new = np.full(size, -1, np.int32)
-    new[codes] = np.arange(len(codes), dtype=np.int32)
-    return new, np.concatenate([_unpacked(v, n) for v, n in zip(kept.column("ids"), sizes, strict=True)])
+    new[codes[order]] = np.arange(len(codes), dtype=np.int32)
+    return new, ids[order]
 
 
 def _table(block: int, own: int, places: np.ndarray, grams: np.ndarray, ids: np.ndarray) -> pa.Table:
-    row = [block, own, len(places), _steps(places).tobytes(), _narrow(grams).tobytes(), len(ids), _narrow(ids).tobytes()]
+    row = [block, own, len(places), _packed(_steps(places)), _packed(grams), len(ids), _packed(_steps(ids))]
     return pa.Table.from_arrays([pa.array([v], t.type) for v, t in zip(row, _RELATION, strict=True)], schema=_RELATION)
 
 
@@ -293,25 +328,29 @@ def _frequent_words(blocks: pa.Table, kept: pa.Table) -> pa.Table:
     return _table(block.as_py(), int((items[places] >= 0).sum()), places, number[places], ids)
 
 
-def _frequent_phrases(relations: pa.Table, kept: pa.Table) -> pa.Table:
-    """The next relation of a block: its candidates that are frequent everywhere together."""
-    if not relations.num_rows or not kept.num_rows:
-        return _NOTHING
-    row = [c[0] for c in relations.columns]
-    own, places, grams, _ = _relation(row)
-    rows, number, one, _ = _merged(places, grams)
-    new, ids = _renumbered(kept, len(one))
-    grams = new[number]
-    rows, grams = rows[grams >= 0], grams[grams >= 0]
-    return _table(row[0].as_py(), int((rows < own).sum()), places[rows], grams, ids)
+def _frequent_phrases(parts: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    def run(relations: pa.Table, kept: pa.Table) -> pa.Table:
+        """The next relation of a block: its candidates that are frequent everywhere together."""
+        if not relations.num_rows or not kept.num_rows:
+            return _NOTHING
+        row = [c[0] for c in relations.columns]
+        own, places, grams, ids = _relation(row)
+        rows, number, first, _, _ = _merged(places, grams, ids, parts)
+        new, ids = _renumbered(kept, len(first))
+        grams = new[number]
+        rows, grams = rows[grams >= 0], grams[grams >= 0]
+        return _table(row[0].as_py(), int((rows < own).sum()), places[rows], grams, ids)
+
+    return run
 
 
-def _agreed(dealt: DataFrame, keys: dict[str, str], min_count: int, parts: int, purpose: str) -> tuple[DataFrame, DataFrame]:
-    """``id, n`` and the keys of the frequent groups, and each block's frequent numbers."""
+def _agreed(dealt: DataFrame, keys: dict[str, str], min_count: int, parts: int, purpose: str, last: bool = False) -> tuple[DataFrame, DataFrame]:
+    """``id, n`` and the keys of the frequent groups, and each block's frequent numbers (none for the ``last`` length, which is read once)."""
     grouped = _words_grouped if "keys" in keys else _phrases_grouped
     names = {"id": "long", "n": "long"} | keys
     ddl = ", ".join(["block long, count long, codes binary, ids binary"] + [f"{c} array<{t}>" for c, t in names.items()])
-    found = stage(dealt.groupBy("part").applyInArrow(_frequent(min_count, parts, grouped), ddl), purpose)
+    found = dealt.groupBy("part").applyInArrow(_frequent(min_count, parts, grouped, last), ddl)
+    found = found if last else stage(found, purpose)
     groups = found.where("block is null").select(F.inline(F.arrays_zip(*names)))
     return groups, found.where("block is not null and count > 0").select("block", "count", "codes", "ids")
 
@@ -341,14 +380,16 @@ def frequent_phrases(
     found, function = [phrases], _frequent_words
     relation = blocks.select("block", "count", "size", "items")
     for k in range(1, longest):
-        relation = stage(_extended(relation, kept, function), f"occurrences-{k}")
-        frequent, kept = _agreed(relation.mapInArrow(_candidate_counts(parts), _DEALT_PHRASES), {"first": "long", "last": "long"}, min_count, parts, f"frequent-{k + 1}")
+        last = k == longest - 1
+        relation = _extended(relation, kept, function)
+        relation = relation if last else stage(relation, f"occurrences-{k}")  # the last one is read once
+        frequent, kept = _agreed(relation.mapInArrow(_candidate_counts(parts), _DEALT_PHRASES), {"first": "long", "last": "long"}, min_count, parts, f"frequent-{k + 1}", last)
         ahead = phrases.select(F.col("id").alias("first"), "lang", F.col("phrase").alias("_first"))
         behind = phrases.select(F.col("id").alias("last"), F.substring_index("phrase", " ", -1).alias("_last"))
         longer = frequent.join(ahead, "first").join(behind, "last")
         phrases = stage(longer.select("id", "lang", F.concat_ws(" ", "_first", "_last").alias("phrase"), F.lit(k + 1).alias("words"), "n"), f"phrases-{k + 1}")
         found.append(phrases)
-        function = _frequent_phrases
+        function = _frequent_phrases(parts)
     everything = found[0]
     for own in found[1:]:
         everything = everything.unionByName(own)

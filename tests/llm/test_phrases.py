@@ -3,6 +3,8 @@
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from codicil.llm import phrases
@@ -84,3 +86,20 @@ def test_products_beyond_64_bits(spark):
     rows = spark.createDataFrame([("en", *s) for s in sizes], "lang string, phrase string, words int, n long")
     found = phrases._scored(rows).first()
     assert found["score"] == 2000000 * (big - 1) // (2 * big + 1)
+
+
+def test_what_a_block_sends_is_small():
+    """A block's candidates go to their parts as runs of numbers, their phrases' ids rising (op11_collocations, disk)."""
+    places, grams, parts = np.arange(20_000), np.random.default_rng(7).integers(0, 3_000, 20_000), 8
+    ids = np.arange(3_000) * parts + 3
+    rows, number, first, last, part = phrases._merged(places, grams, ids, parts)
+    assert (first[number] == ids[grams[rows]]).all() and (last[number] == ids[grams[rows + 1]]).all()
+    sent = phrases._dealt(0, part, np.bincount(number, minlength=len(first)), {"first": first, "last": last})
+    group, keys = phrases._phrases_grouped(pa.Table.from_batches([sent]))
+    assert (keys["first"].to_numpy()[group] == first).all() and (keys["last"].to_numpy()[group] == last).all()
+    assert sum(sent.column(c).nbytes for c in ("codes", "n", "first", "last")) < 4 * len(first)
+
+
+def test_packed_numbers_come_back():
+    for values in ([], [5], [-1, 300, 70_000] * 30, [1 << 40, -(1 << 40)], list(range(1000))):
+        assert phrases._unpacked(pa.scalar(phrases._packed(np.array(values, np.int64)) if values else b"", pa.binary()), len(values)).tolist() == values
