@@ -26,6 +26,7 @@ probability below 0.0001, one at 0.85 below 0.000001.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,7 +42,8 @@ COORDINATES = 32
 MATCHES = 16
 PARITY_BITS = 1024
 PIVOTS = 3
-CACHED_WORDS = 200_000
+SECTION_BYTES = 1 << 18  # of texts hashed together
+LONG_WORD = 256
 
 _GOLDEN = 0x9E3779B97F4A7C15
 _WORD = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -58,28 +60,102 @@ _SEEDS = _mix(np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(_GOLDEN
 _FACTORS = _SEEDS | np.uint64(1)
 
 
+_BLANK = re.compile(rb"[\x20\x09-\x0D]")
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_LETTERS = _mix(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + np.uint64(1))  # A-Z count as a-z
+_BASE = int(_SEEDS[0]) | 1
+
+
+def _powers(base: int) -> np.ndarray:
+    return np.cumprod(np.append(np.uint64(1), np.full(SECTION_BYTES, base, np.uint64)))
+
+
 class Shingler:
-    """Texts to sorted arrays of distinct shingle hashes; remembers word hashes."""
+    """Texts to sorted arrays of distinct shingle hashes.
+
+    Some texts are hashed together: a word's hash is what its bytes add to a running sum of
+    powers, so it costs a few array operations on all bytes and none of its own.
+    """
 
     def __init__(self, width: int) -> None:
-        self.width, self.known = width, {}
-
-    def __call__(self, text: str | None) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: A-Z and ASCII white space only
-        if not words:
-            return np.empty(0, np.uint64)
-        known = self.known
-        if len(known) > CACHED_WORDS:
-            known.clear()
-        for word in set(words).difference(known):
-            known[word] = xxhash.xxh64_intdigest(word)
-        hashes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        width = min(self.width, len(words))
-        count = len(words) - width + 1
-        out = np.full(count, len(words) if len(words) < self.width else 0, np.uint64)
-        for i in range(width):
-            out = _mix(out * np.uint64(_GOLDEN) + hashes[i : i + count])
-        return np.unique(out)
+        self.width = width
+        self.up, self.down = _powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))
+
+    def __call__(self, text: str | bytes | None) -> np.ndarray:
+        return self.all([text])[0]
+
+    def all(self, texts: list) -> list[np.ndarray]:
+        """The shingles of each text."""
+        texts = [t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t or b"" for t in texts]
+        found: list[np.ndarray] = []
+        first, size = 0, 0
+        for i, text in enumerate(texts):
+            if size and size + len(text) + 1 > SECTION_BYTES:
+                found += self._section(texts[first:i])
+                first, size = i, 0
+            size += len(text) + 1
+        return found + (self._section(texts[first:]) if first < len(texts) else [])
+
+    def _section(self, texts: list[bytes]) -> list[np.ndarray]:
+        if len(texts) == 1 and len(texts[0]) >= SECTION_BYTES:  # words of a long text, in runs that end at a blank
+            hashes = np.concatenate([self._hashes(np.frombuffer(run, np.uint8))[1] for run in _runs(texts[0])])
+            bounds = [0, len(hashes)]
+        else:
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            starts, hashes = self._hashes(np.frombuffer(b" ".join(texts) + b" ", np.uint8))
+            bounds = np.append(0, np.searchsorted(starts, ends)).tolist()
+        whole = _joined(hashes, self.width) if len(hashes) >= self.width else None
+        out = []
+        for a, b in zip(bounds[:-1], bounds[1:]):
+            if b - a < self.width:
+                own = _joined(hashes[a:b], b - a, b - a) if b > a else np.empty(0, np.uint64)
+            else:
+                own = np.sort(whole[a : b - self.width + 1])
+                own = own[np.append(True, own[1:] != own[:-1])]
+            out.append(own)
+        return out
+
+    def _hashes(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each word starts, and its hash."""
+        inside = np.concatenate([[False], ~_SPACE[data], [False]])
+        edges = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        if len(data) > SECTION_BYTES:  # one word without end
+            return starts, np.array([self._long(data, a, b) for a, b in zip(starts, ends)], np.uint64)
+        total = np.append(np.uint64(0), np.cumsum(_LETTERS[data] * self.up[: len(data)]))
+        hashes = _mix((total[ends] - total[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))
+        for i in np.flatnonzero(ends - starts > LONG_WORD):  # sums of powers tell short words apart
+            hashes[i] = self._long(data, starts[i], ends[i])
+        return starts, hashes
+
+    @staticmethod
+    def _long(data: np.ndarray, start: int, end: int) -> int:
+        return xxhash.xxh64_intdigest(data[start:end].tobytes().lower())
+
+
+def _runs(text: bytes) -> Iterator[bytes]:
+    """A text cut at blanks into runs of at most ``SECTION_BYTES``, longer only where a word is."""
+    at = 0
+    while at < len(text):
+        end = min(at + SECTION_BYTES, len(text))
+        if end < len(text):
+            last = _BLANK.search(text[at:end][::-1])
+            if last:
+                end -= last.start()
+            else:
+                further = _BLANK.search(text, end)
+                end = further.start() if further else len(text)
+        yield text[at:end]
+        at = end
+
+
+def _joined(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """Hashes of each run of ``width`` words."""
+    count = len(hashes) - width + 1
+    out = np.full(count, seed, np.uint64)
+    for i in range(width):
+        out = _mix(out * np.uint64(_GOLDEN) + hashes[i : i + count])
+    return out
 
 
 def _parity(shingles: np.ndarray) -> np.ndarray:
@@ -94,6 +170,13 @@ def _signature(shingles: np.ndarray) -> np.ndarray:
     return _mix(least ^ _SEEDS)
 
 
+def _shingled(shingler: Shingler, texts: pa.Array) -> Iterator[np.ndarray]:
+    """Each text's shingles, some texts at a time."""
+    texts = texts.cast(pa.binary())
+    for i in range(0, len(texts), 64):
+        yield from shingler.all(texts.slice(i, 64).to_pylist())
+
+
 _PROFILE = pa.schema(
     [("id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("keys", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64())), ("parity", pa.list_(pa.int64()))]
 )
@@ -106,8 +189,7 @@ def profiles(documents: DataFrame, width: int, id_column: str, text_column: str)
         shingler = Shingler(width)
         for batch in batches:
             sizes, nodes, keys, sketches, parities = [], [], [], [], []
-            for text in batch.column(1):
-                found = shingler(text.as_py())
+            for found in _shingled(shingler, batch.column(1)):
                 sizes.append(len(found))
                 if not len(found):
                     nodes.append(None), keys.append(None), sketches.append(None), parities.append(None)
@@ -173,7 +255,7 @@ def _sets(documents: DataFrame, classes: DataFrame, posted: DataFrame, width: in
         shingler = Shingler(width)
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
-                found = [shingler(text.as_py()) for text in batch.column(0).slice(i, 512)]
+                found = list(_shingled(shingler, batch.column(0).slice(i, 512)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], pa.binary()), pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64()))],
                     names=["node", "shingles"],
