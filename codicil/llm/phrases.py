@@ -35,6 +35,7 @@ BLOCK_WORDS = 1 << 18
 PART_WORDS = 1 << 20  # places whose candidates meet in one part
 UNDETERMINED = "und"
 
+_LEVEL = 9  # what is packed is moved or written several times
 _PLAINLY = 0x80  # marks numbers that are not compressed
 _BREAK, _SKIP, _AHEAD = -1, -2, -3  # an item below _SKIP is look-ahead: _AHEAD minus its code
 _PUNCTUATION = b".,;:!?\n\x0b\x0c\r"
@@ -63,7 +64,7 @@ def _packed(values: np.ndarray) -> bytes:
     """A byte that gives the numbers' width, then their bytes: all lowest ones first, compressed if that pays."""
     values = np.ascontiguousarray(_narrow(values))
     raw = values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
-    packed = pa.compress(raw, codec="zstd", asbytes=True) if len(raw) > 16 else raw
+    packed = pa.Codec("zstd", compression_level=_LEVEL).compress(raw, asbytes=True) if len(raw) > 16 else raw
     return bytes([values.itemsize]) + packed if len(packed) < len(raw) else bytes([values.itemsize | _PLAINLY]) + raw
 
 
@@ -81,7 +82,7 @@ def _unpacked(value: pa.Scalar, count: int) -> np.ndarray:
 def _packed_lines(lines: list[bytes]) -> bytes:
     """Four bytes that give the size of the joined lines, then these, compressed."""
     raw = b"\n".join(lines)
-    return len(raw).to_bytes(4, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+    return len(raw).to_bytes(4, "little") + pa.Codec("zstd", compression_level=_LEVEL).compress(raw, asbytes=True)
 
 
 def _lines(value: pa.Scalar) -> list[bytes]:
